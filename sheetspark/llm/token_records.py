@@ -152,8 +152,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int, shards
                 ids = batch.column(0).to_pylist()
                 for doc_id, text in zip(ids, texts_of(batch.column(1)), strict=True):
                     packed = enc.packed(text) + end
-                    flags = NULL_ID * (doc_id is None) + WIDE * enc.wide
-                    record = frame(ROW.pack(doc_id or 0, flags) + packed)
+                    record = frame(pack(doc_id, packed, enc.wide))
                     index.append((doc_id or 0, offset, len(packed) // width))
                     offset += len(record)
                     waiting.append(record)
@@ -188,6 +187,10 @@ def read_index(filesystem, root: str, shard: dict) -> np.ndarray:
     return np.frombuffer(raw, INDEX)
 
 
+def pack(doc_id: int | None, packed: bytes, wide: bool) -> bytes:
+    return ROW.pack(doc_id or 0, NULL_ID * (doc_id is None) + WIDE * wide) + packed
+
+
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, flags = ROW.unpack_from(payload)
     ids = np.frombuffer(payload, "<u4" if flags & WIDE else "<u2", offset=ROW.size)
