@@ -23,10 +23,12 @@ and no records; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,9 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("tokens", "<u8")])
 NULL_ID, WIDE = 1, 2
 FLUSH = 8 << 20
 
+#: A word of letters below U+0250, none of which NFC changes.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
 MANIFEST = "shard long, data string, index string, n_docs long, n_tokens long, n_bytes long, index_crc long"
 RECORDS = "doc_id long, start long, n_tokens long, ids array<int>"
 
@@ -75,18 +80,34 @@ def unframe(data, at: int = 0) -> tuple[bytes, int]:
     return payload, start + length + TAIL.size
 
 
+@cache
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printing characters of Latin-1 stand for themselves; the others, in order, for
+    those from code point 256 on.
+    """
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class ChunkEncoder(dict):
     """The ids, packed, of a piece of text between blanks, by the tokenizers library.
 
     Its pre-tokeniser drops white space and no token of it spans any, so a text's
-    ids are those of its pieces in order. Pieces repeat, so most are looked up.
+    ids are those of its pieces in order. Pieces repeat, so most are looked up. Of
+    the rest, words of Latin letters are normalised here (lower case is all that
+    happens to them) and go to the library's model at once, one full stop or comma
+    behind a word apart; whatever else there is goes through the whole library.
     The memory is emptied when it holds ``limit`` pieces.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.limit = limit
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "<u4" if self.wide else "<u2"
@@ -94,10 +115,23 @@ class ChunkEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = packed = np.asarray(ids, self.kind).tobytes()
+        word = piece[:-1] if piece[-1:] in (".", ",") else piece
+        if not LATIN(word):
+            packed = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        elif word is not piece:
+            packed = self[word] + self[piece[-1]]
+        elif (lower := word.lower()) != word:
+            packed = self[lower]
+        else:
+            if not word.isascii():
+                word = "".join(map(byte_letters().__getitem__, word.encode()))
+            packed = self.pack([t.id for t in self.model.tokenize(word)])
+        self[piece] = packed
         return packed
 
+    def pack(self, ids: list[int]) -> bytes:
+        return np.asarray(ids, self.kind).tobytes()
+
     def packed(self, text: str) -> bytes:
         # str.split() would also cut at separators that the tokenizer may keep
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
