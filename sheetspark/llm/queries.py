@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, decontaminate, language_id, token_records
+from sheetspark.llm import byte_bpe, decontaminate, language_id, ngram_join, token_records
 from sheetspark.llm.common import fresh_path, with_arrow
 
 
@@ -75,12 +75,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_sets(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
         "op3_language_id": op3_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_decontamination": op8_decontamination,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
 
