@@ -47,8 +47,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("tokens", "<u8")])
 NULL_ID, WIDE = 1, 2
 FLUSH = 8 << 20
 
-#: A word of letters below U+0250, none of which NFC changes.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: A word of letters below U+0250, none of which NFC changes, without the one letter whose lower case is two.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
 MANIFEST = "shard long, data string, index string, n_docs long, n_tokens long, n_bytes long, index_crc long"
 RECORDS = "doc_id long, start long, n_tokens long, ids array<int>"
