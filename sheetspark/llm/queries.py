@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, decontaminate, language_id, ngram_join, token_records
+from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_records
 from sheetspark.llm.common import fresh_path, with_arrow
 
 
@@ -42,6 +42,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_arrow(rows, ["ids"], [T.StructField("ids_crc32", T.LongType())], make, ["doc_id", "start", "n_tokens"])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -83,6 +88,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
+        "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op8_decontamination": op8_decontamination,
@@ -91,4 +97,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}
+
+
+#: Every line against every earlier one of about its length, where a half is equal.
+OP2_SQL = """
+with cut as (
+    select doc_id, generate_subscripts(l, 1) - 1 as no, unnest(l) as raw
+    from (select doc_id, string_split(text, chr(10)) as l from documents)
+), lines as (
+    select doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from cut
+), firsts as (
+    select line, length(line) as n, min((doc_id, no)) as place from lines where line <> '' group by line
+), sides as (
+    select *, 'l' as side, left(line, (n // 2)::int) as half, (n // 2)::int as size from firsts where n >= 20
+    union select *, 'l', left(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts where n >= 20
+    union select *, 'r', right(line, (n // 2)::int), (n // 2)::int from firsts where n >= 20
+    union select *, 'r', right(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts where n >= 20
+), near as (
+    select distinct a.line from sides a join sides b
+    on a.side = b.side and a.half = b.half and b.place < a.place and abs(a.n - b.n) <= 1
+    where levenshtein(a.line, b.line) <= 1
+), kept as (
+    select l.doc_id, l.no, l.raw, l.line = '' or (f.place = (l.doc_id, l.no) and l.line not in (select line from near)) as keep
+    from lines l left join firsts f on l.line = f.line
+)
+select d.doc_id, coalesce(count(k.no), 0)::bigint as n_lines, coalesce(count(k.no) filter (where not keep), 0)::bigint as n_dropped,
+    case when any_value(d.text) is not null then sha256(coalesce(string_agg(raw, chr(10) order by no) filter (where keep), '')) end as text_sha256
+from documents d left join kept k on d.doc_id = k.doc_id group by d.doc_id
+"""
