@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, token_records
-from sheetspark.llm.common import fresh_path, with_arrow
+from sheetspark.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, secret_scan, token_records
+from sheetspark.llm.common import fresh_path, materialized, with_arrow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    records = rows.unionByName(more).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    formatted = chat_format.format_turns(chat_format.canonical_turns(records))
+    return chat_format.digests(materialized(formatted, "chat-formatted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, offsets=False, keep=["doc_id"])
@@ -66,6 +75,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.judged(table(spark, sf_dir, "documents"))
+    base = F.expr("transform(candidates, c -> struct(c.kind as kind, c.start as start, c.end as end))")
+    count = lambda k: F.size(F.expr(f"filter(candidates, c -> c.kind = {k})")).cast("long")
+    added = F.coalesce("added", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.concat(base, added)).alias("spans"),
+    )
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
@@ -90,7 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_records": op1_token_records,
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
+        "op4_chat_format": op4_chat_format,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_secret_scan": op6_secret_scan,
         "op8_decontamination": op8_decontamination,
         "op9_ngram_jaccard": op9_ngram_jaccard,
     }
