@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Rows that a function gets at once, so that what it builds stays small.
+SLICE = 2000
+
 #: The A-Z to a-z part of lower-casing; other letters stay as they are.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -75,10 +78,12 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for batch in batches:
+        for whole in batches:
             call = call or make()
-            made = call(*[batch.column(i) for i in at])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                made = call(*[batch.column(i) for i in at])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
 

@@ -16,8 +16,9 @@ out its smallest parts, which say little, while they are s at most. Lists are
 scanned in two rounds. First each member is compared with the list's centre, the
 member that shares most lists; groups of near copies fall together by one
 comparison a member. Then, where a list still spans several components, members of
-different ones are compared if the elements that no other such set has leave room
-for a link. Comparisons count the intersection exactly.
+different ones are compared if their parity maps leave room for a link: the bits in
+which the maps differ are a lower bound of the elements in which the sets do.
+Comparisons count the intersection exactly.
 
 Sets that are equal are one class from the start, so copies cost nothing after.
 Elements are 64-bit hashes of the words.
@@ -203,6 +204,23 @@ def set_id(elements: np.ndarray) -> int:
 
 
 LONGS = T.ArrayType(T.LongType())
+BITS = [f"b{k}" for k in range(8)]
+
+
+def parities(elements: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the elements that hash to it.
+
+    Two sets differ in as many elements, at least, as their maps differ in bits.
+    """
+    counts = np.bincount((elements & np.uint64(511)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def room(p: str, q: str, num: int, den: int) -> str:
+    """Whether sizes and maps leave two sets room for a link, as SQL over two row names."""
+    apart = " + ".join(f"bit_count({p}.{b} ^ {q}.{b})" for b in BITS)
+    both = f"({p}.size + {q}.size)"
+    return f"{den} * least({p}.size, {q}.size) >= {num} * greatest({p}.size, {q}.size) and {den} * ({both} - ({apart})) >= {num} * ({both} + ({apart}))"
 
 
 def signed(lists: list[list[int]]) -> pa.ListArray:
@@ -243,12 +261,13 @@ def elements_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    fields = [T.StructField("set_id", T.LongType()), T.StructField("elements", T.BinaryType())]
+    fields = [T.StructField("set_id", T.LongType()), T.StructField("elements", T.BinaryType()), *[T.StructField(b, T.LongType()) for b in BITS]]
 
     def make():
         def call(column: pa.Array) -> list[pa.Array]:
             sets = element_sets(texts_of(column), n)
-            return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            maps = np.array([parities(s) for s in sets], np.int64).reshape(len(sets), len(BITS))
+            return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *[pa.array(maps[:, k].copy()) for k in range(len(BITS))]]
 
         return call
 
@@ -301,32 +320,27 @@ def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Dat
     ranked = lists.join(score, "set_id")
     centres = ranked.groupBy("key").agg(F.max(F.struct("score", "set_id", "size")).alias("c"))
     fits = f"{den} * least({{0}}, {{1}}) >= {num} * greatest({{0}}, {{1}})"
-    first = lists.join(centres, "key").where("set_id <> c.set_id and " + fits.format("size", "c.size"))
-    first = first.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b")).distinct()
-    first = materialized(first, "ngram-pairs")
     wanted = classes.join(lists.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first_doc")
     elements = materialized(elements_of(docs, wanted, n), "ngram-elements")
+    maps = elements.select("set_id", *BITS)
+    sized = f"{den} * least(size, c.size) >= {num} * greatest(size, c.size)"
+    first = lists.join(centres, "key").where(f"set_id <> c.set_id and {sized}")
+    first = materialized(first.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b")).distinct(), "ngram-pairs")
     links = materialized(links.unionByName(verified(first, elements, num, den)), "ngram-links")
     groups = components(links)
 
     # what stands in lists that still span several components
     placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "set_id"))
+    placed = placed.select("key", "set_id", "size", F.coalesce("component", "set_id").alias("component"))
     spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = materialized(placed.join(spans, "key", "left_semi"), "ngram-open")
-    alone = alone_counts(elements.join(placed.select("set_id").distinct(), "set_id", "left_semi"))
-    placed = placed.join(alone, "set_id", "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0)))
-    # a set needs a partner of num / den of its own size at least, all in common
-    placed = placed.where(f"{den} * common >= {num} * size").select("key", "set_id", "size", "component", "common")
+    placed = materialized(placed.join(spans, "key", "left_semi").join(maps, "set_id"), "ngram-open")
     p, q = placed.alias("p"), placed.alias("q")
-    room = "least(p.common, q.common)"
-    second = p.join(q, F.expr("p.key = q.key and p.component < q.component and " + fits.format("p.size", "q.size") + f" and {den} * {room} >= {num} * (p.size + q.size - {room})"))
+    second = p.join(q, F.expr("p.key = q.key and p.component < q.component and " + room("p", "q", num, den)))
     second = second.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
     more = materialized(verified(second, elements, num, den), "ngram-links")
     if not more.isEmpty():
-        joined = links.unionByName(more)
-        groups = components(joined)
+        groups = components(links.unionByName(more))
     named = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
@@ -338,19 +352,6 @@ def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Dat
     )
 
 
-def alone_counts(elements: DataFrame) -> DataFrame:
-    """How many elements of each set no other set of the table has."""
-
-    def explode(batches):
-        for batch in batches:
-            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(packed.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i)), pa.array(own)], names=["set_id", "e"])
-
-    single = elements.select("set_id", "elements").mapInArrow(explode, "set_id long, e long").groupBy("e").agg(F.count("*").alias("n"), F.min("set_id").alias("set_id"))
-    return single.where("n = 1").groupBy("set_id").agg(F.count("*").cast("int").alias("alone"))
-
-
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without all but one of each component: that with the smallest doc_id, or any one of equal rows."""
     found = near_sets(docs, n, num, den)
