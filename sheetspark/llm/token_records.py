@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -110,7 +111,7 @@ class ChunkEncoder(dict):
         self.model = self.tokenizer.model
         self.limit = limit
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
+        self.code = "I" if self.wide else "H"
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
@@ -130,7 +131,7 @@ class ChunkEncoder(dict):
         return packed
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def packed(self, text: str) -> bytes:
         # str.split() would also cut at separators that the tokenizer may keep
