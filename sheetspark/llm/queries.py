@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, chat_format, decontaminate, language_id, line_dedup, ngram_join, secret_scan, token_records
+from sheetspark.llm import byte_bpe, chat_format, decontaminate, doc_fingerprint, language_id, line_dedup, ngram_join, secret_scan, token_records
 from sheetspark.llm.common import fresh_path, materialized, with_arrow
 
 
@@ -90,6 +90,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_doc_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
@@ -117,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_secret_scan": op6_secret_scan,
+        "op7_doc_fingerprint": op7_doc_fingerprint,
         "op8_decontamination": op8_decontamination,
         "op9_ngram_jaccard": op9_ngram_jaccard,
     }
