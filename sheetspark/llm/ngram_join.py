@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm.common import ASCII_LOWER, materialized, runs, texts_of, with_arrow
+from sheetspark.llm.common import ASCII_LOWER, materialized, quoted, runs, texts_of, with_arrow
 from sheetspark.llm.components import components
 
 BLANKS = np.zeros(256, bool)
@@ -355,5 +355,7 @@ def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Dat
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without all but one of each component: that with the smallest doc_id, or any one of equal rows."""
     found = near_sets(docs, n, num, den)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialized(found.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])

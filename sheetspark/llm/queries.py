@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, chat_format, decontaminate, doc_fingerprint, language_id, line_dedup, ngram_join, secret_scan, token_records
+from sheetspark.llm import byte_bpe, chat_format, decontaminate, doc_fingerprint, language_id, line_dedup, ngram_join, secret_scan, token_records, token_rollup
 from sheetspark.llm.common import fresh_path, materialized, with_arrow
 
 
@@ -113,6 +113,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    return token_rollup.corpus_totals(docs, ranks, "byte_bpe_multi_50k", fresh_path(spark, "token-rollup"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
@@ -124,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_doc_fingerprint": op7_doc_fingerprint,
         "op8_decontamination": op8_decontamination,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_token_counts": op10_token_counts,
     }
 
 
