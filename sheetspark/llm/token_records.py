@@ -166,7 +166,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int, shards
         if first is None:
             return
         enc = encoder(tokenizer)
-        end = np.asarray([end_id], enc.kind).tobytes()
+        end = enc.pack([end_id])
         width = len(end)
         filesystem, root = pafs.FileSystem.from_uri(data_dir)
         filesystem.create_dir(root, recursive=True)
