@@ -1 +1 @@
-
+"""Relational operators over pixels, histograms, lines and scan catalogs."""

@@ -1 +1 @@
-
+"""Recipes: operators in a fixed order."""

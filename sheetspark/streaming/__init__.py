@@ -1 +1 @@
-
+"""Work that arrives over time."""
