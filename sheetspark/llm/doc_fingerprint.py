@@ -31,8 +31,15 @@ RANGE_ROWS = 1000
 MAX_RANGES = 4096
 
 
+def flat(text: str) -> str:
+    """Lower case, with a space for each kind of blank."""
+    for blank in ("\\t", "\\n", "\\u000B", "\\f", "\\r"):
+        text = f"replace({text}, '{blank}', ' ')"
+    return f"lower({text})"
+
+
 def words(text: str) -> str:
-    return f"array_remove(split(lower({text}), '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
+    return f"array_remove(split({text}, ' '), '')"
 
 
 def term_hashes(w: str, text: str, first: str = "0") -> str:
@@ -81,6 +88,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.when(first, F.array(seat(F.lit(last), 2))).otherwise(none),
     )
     seated = rows.select("doc_id", "text", F.xxhash64("text").alias("th"), F.explode(seats).alias("s")).select("s.part", "s.guest", "doc_id", "th", "text")
+    # a task for each range, so that what a task sums stays small at every size
+    seated = seated.repartition(last, "part")
     return seated.withColumn("following", F.lead("text").over(Window.partitionBy("part").orderBy(*PLACE)))
 
 
@@ -90,9 +99,13 @@ def fingerprints(rows: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ``rows`` has KEYS, text, head, which begins text, and tail. Terms that both texts
     have from the head are sampled once.
     """
-    cut = rows.withColumn("edited", F.concat("head", "tail"))
-    cut = cut.withColumn("wa", F.expr(words("text"))).withColumn("wb", F.expr(words("edited"))).withColumn("h", F.size(F.expr(words("head"))) - 1)
-    cut = cut.withColumn("nc", F.when((F.size("wa") >= WORDS) & (F.size("wb") >= WORDS), F.greatest(F.lit(0), F.col("h") - WORDS + 1)).otherwise(0))
+    # the last word of the head may go on in what follows, so it is cut with that; the words before it are shared
+    cut = rows.withColumns({"edited": F.concat("head", "tail"), "own": F.expr("substring(text, length(head) + 1)")})
+    cut = cut.withColumns({"fh": F.expr(flat("head")), "fa": F.expr(flat("own")), "fb": F.expr(flat("tail"))})
+    cut = cut.withColumn("open", F.substring_index("fh", " ", -1))
+    cut = cut.withColumn("wh", F.expr(words("substring(fh, 1, length(fh) - length(open))")))
+    cut = cut.withColumn("wa", F.concat("wh", F.expr(words("concat(open, fa)")))).withColumn("wb", F.concat("wh", F.expr(words("concat(open, fb)"))))
+    cut = cut.withColumn("nc", F.when((F.size("wa") >= WORDS) & (F.size("wb") >= WORDS), F.greatest(F.lit(0), F.size("wh") - WORDS + 1)).otherwise(0))
     run = ", ".join(f"get(wa, i + {k})" for k in range(WORDS))
     both = f"case when nc > 0 then transform(sequence(0, nc - 1), i -> xxhash64({run})) else cast(array() as array<bigint>) end"
     cut = cut.withColumn("ta", F.expr(term_hashes("wa", "text", "nc"))).withColumn("na", F.size("ta"))
