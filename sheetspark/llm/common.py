@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,39 @@ def materialized(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that go when the work that needs them is done.
+
+    What leaves the ``with`` block must be written elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, fresh_path(spark, "scratch"), 0
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes ``df`` and reads it back."""
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}-{tag}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, below: str = "") -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root + below)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark drop the shuffle files of plans that nothing refers to any more; it does so after a collection of garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+        self.release()
+
+
 def without(columns: list[str], names) -> list[str]:
     """The columns whose names, case ignored, are not among ``names``."""
     gone = {n.lower() for n in names}

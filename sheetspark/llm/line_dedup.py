@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetspark.llm.common import materialized, quoted
+from sheetspark.llm.common import Scratch, materialized, quoted
 
 NEAR_CHARS = 20
 SEGMENTS = 8
@@ -68,16 +68,16 @@ def shared(keys: DataFrame) -> DataFrame:
     return keys.join(several, "key", "left_semi")
 
 
-def near_drops(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_drops(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """Ids of the lines with an earlier line within one edit."""
     open_ids = shared(distinct.select("id", F.explode("halves").alias("key"))).select("id").distinct()
-    wanted = materialized(distinct.join(open_ids, "id", "left_semi").select("id", "place", "n"), "lines-open")
+    wanted = scratch.table(distinct.join(open_ids, "id", "left_semi").select("id", "place", "n"), "open")
     found = wanted.select(F.col("id").alias("i"), F.col("place").alias("p"), "n")
     if wanted.count() <= BROADCAST_LINES:
         found = F.broadcast(found)
     texts = lines_of(docs).withColumn("id", line_id(F.col("line")))
     texts = texts.join(found, F.expr("id = i and place <=> p")).select("id", "place", "n", "line").dropDuplicates(["id"])
-    texts = materialized(texts, "lines-text")
+    texts = scratch.table(texts, "texts")
 
     # the piece that may differ, for partners of which the shorter has `size` characters
     pieces = texts.select("*", F.explode(F.expr("array(n, n - 1)")).alias("size")).select("*", F.explode(F.expr(f"sequence(0, {SEGMENTS - 1})")).alias("piece"))
@@ -111,9 +111,11 @@ def near_drops(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """place and id of each line that stays; blank lines are not told."""
-    distinct = materialized(distinct_lines(docs, near_chars), "lines")
-    return distinct.join(near_drops(docs, distinct), "id", "left_anti").select("place", "id")
+    """doc_id, th (hash of the text) and nos, the numbers of the lines that stay; blank lines are not told."""
+    with Scratch(docs.sparkSession) as scratch:
+        distinct = scratch.table(distinct_lines(docs, near_chars), "distinct")
+        kept = distinct.join(near_drops(docs, distinct, scratch), "id", "left_anti").select("place.*")
+        return materialized(kept.groupBy("doc_id", "th").agg(F.collect_list("no").alias("nos")), "lines-kept")
 
 
 def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
@@ -121,8 +123,7 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
     The two counts replace columns of those names. Lines keep their blanks and their order.
     """
-    kept = kept_lines(docs.select("doc_id", "text"), near_chars).select("place.*")
-    kept = kept.groupBy("doc_id", "th").agg(F.collect_list("no").alias("nos")).select(F.col("doc_id").alias("\x01d"), F.col("th").alias("\x01h"), F.col("nos").alias("\x01k"))
+    kept = kept_lines(docs.select("doc_id", "text"), near_chars).select(F.col("doc_id").alias("\x01d"), F.col("th").alias("\x01h"), F.col("nos").alias("\x01k"))
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     rows = docs.select(*[quoted(c) for c in names]).withColumn("\x01t", F.xxhash64("text"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("\x01d")) & (F.col("\x01t") == F.col("\x01h")), "left")

@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm.common import ASCII_LOWER, materialized, quoted, runs, texts_of, with_arrow
+from sheetspark.llm.common import ASCII_LOWER, Scratch, materialized, quoted, runs, texts_of, with_arrow
 from sheetspark.llm.components import components
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 TEXT_RUN = 1_000_000
-RATIO = 1.25  # of a size class
+RATIO = 1.5  # of a size class
 HEAVY_WEIGHT = 8
 BROADCAST_IDS = 4_000_000  # 32 MB of ids
 
@@ -203,7 +203,6 @@ def set_id(elements: np.ndarray) -> int:
         return int(mix(np.array([a + mix(np.array([b], np.uint64))[0] + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-LONGS = T.ArrayType(T.LongType())
 BITS = [f"b{k}" for k in range(8)]
 
 
@@ -223,38 +222,47 @@ def room(p: str, q: str, num: int, den: int) -> str:
     return f"{den} * least({p}.size, {q}.size) >= {num} * greatest({p}.size, {q}.size) and {den} * ({both} - ({apart})) >= {num} * ({both} + ({apart}))"
 
 
-def signed(lists: list[list[int]]) -> pa.ListArray:
-    offsets = np.zeros(len(lists) + 1, np.int32)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.array([k for x in lists for k in x], np.uint64).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
-def with_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, set_id and the keys with their subset sizes."""
-    fields = [T.StructField("size", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("keys", LONGS), T.StructField("of", T.ArrayType(T.IntegerType()))]
+def with_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, size and set_id."""
+    fields = [T.StructField("size", T.LongType()), T.StructField("set_id", T.LongType())]
 
     def make():
-        plan = plan_of(num, den)
-
         def call(column: pa.Array) -> list[pa.Array]:
             sets = element_sets(texts_of(column), n)
-            keyed = [plan.keys(s) for s in sets]
-            of = [k[1] for k in keyed]
-            offsets = np.zeros(len(of) + 1, np.int32)
-            np.cumsum([len(x) for x in of], out=offsets[1:])
-            return [
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_id(s) for s in sets], pa.int64()),
-                signed([k[0] for k in keyed]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for o in of for x in o], pa.int32())),
-            ]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())]
 
         return call
 
     return with_arrow(docs, ["text"], fields, make, ["doc_id"])
 
 
+def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """key, of (size of the subset that it names, 0 for a part), set_id and size; equal sets of a task are told once."""
+
+    def run(batches):
+        plan, seen = plan_of(num, den), set()
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for a, b in runs(texts, TEXT_RUN):
+                keys, of, ids, sizes = [], [], [], []
+                for s in element_sets(texts[a:b], n):
+                    i = set_id(s)
+                    if len(s) and i not in seen:
+                        seen.add(i)
+                        k, o = plan.keys(s)
+                        keys.append(np.array(k, np.uint64))
+                        of += o
+                        ids.append(np.full(len(k), i, np.int64))
+                        sizes.append(np.full(len(k), len(s), np.int32))
+                if of:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(of, pa.int32()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
+                        names=["key", "of", "set_id", "size"],
+                    )
+
+    return docs.select("text").mapInArrow(run, "key long, of int, set_id long, size int")
+
+
 def elements_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """set_id and elements (packed, ascending) of the sets in ``wanted`` (set_id, first_doc)."""
     ids = wanted.select(F.col("first_doc").alias("w")).distinct()
@@ -297,59 +305,70 @@ def verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataF
     return with_arrow(both, ["x", "y"], [T.StructField("linked", T.BooleanType())], make, ["a", "b"]).where("linked").select("a", "b")
 
 
+def shared_lists(keys: DataFrame) -> DataFrame:
+    """The rows of keys that several sets have, with df, about how many."""
+    dealt = keys.repartition("key")  # the one shuffle of all keys: counting and picking both use it
+    several = dealt.groupBy("key").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count("*").alias("df"), F.max("of").alias("o"), F.max("size").alias("z"))
+    several = several.where("x <> y and o is not null and z is not null").select("key", "df")
+    return dealt.join(several, "key").distinct()
+
+
 def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Returns doc_id, size (of the set), set_id and component_id, a row for each row of ``docs``.
 
     component_id is the smallest doc_id that links reach, a document's own included.
     """
     docs = docs.select("doc_id", "text")
-    sets = materialized(with_sets(docs, n, num, den), "ngram-sets")
-    classes = sets.where("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("first_doc"))
-    classes = materialized(classes, "ngram-classes")
-    keys = sets.where("size > 0").select("set_id", F.col("size").cast("int").alias("size"), F.explode(F.arrays_zip("keys", "of")).alias("k"))
-    keys = keys.select(F.col("k.keys").alias("key"), F.col("k.of").alias("of"), "set_id", "size").distinct()
-    shared = keys.groupBy("key", "of").agg(F.count("*").alias("df")).where("df > 1")
-    keys = materialized(keys.join(shared, ["key", "of"]), "ngram-lists")
+    with Scratch(docs.sparkSession) as scratch:
+        return materialized(linked(docs, n, num, den, scratch), "ngram-components")
+
+
+def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    table = scratch.table
+    sets = table(with_sets(docs, n), "sets")
+    classes = table(sets.where("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("first_doc")), "classes")
+    keys = table(shared_lists(key_rows(docs, n, num, den)), "lists")
+    scratch.release()
     light = keys.where("of > 0")
-    ends = light.groupBy("key", "of").agg(F.min(F.struct("size", "set_id")).alias("m"))
-    stars = light.join(ends, ["key", "of"]).where(f"{den} * of >= {num} * (size + m.size - of) and set_id <> m.set_id")
+    ends = light.groupBy("key").agg(F.min(F.struct("size", "set_id")).alias("m"))
+    stars = light.join(ends, "key").where(f"{den} * of >= {num} * (size + m.size - of) and set_id <> m.set_id")
     links = stars.select(F.col("set_id").alias("a"), F.col("m.set_id").alias("b")).distinct()
 
     lists = keys.where("of = 0").drop("of")
     score = lists.groupBy("set_id").agg(F.sum("df").alias("score"))
-    ranked = lists.join(score, "set_id")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("score", "set_id", "size")).alias("c"))
-    fits = f"{den} * least({{0}}, {{1}}) >= {num} * greatest({{0}}, {{1}})"
+    centres = lists.join(score, "set_id").groupBy("key").agg(F.max(F.struct("score", "set_id", "size")).alias("c"))
     wanted = classes.join(lists.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first_doc")
-    elements = materialized(elements_of(docs, wanted, n), "ngram-elements")
+    elements = table(elements_of(docs, wanted, n), "elements")
     maps = elements.select("set_id", *BITS)
     sized = f"{den} * least(size, c.size) >= {num} * greatest(size, c.size)"
     first = lists.join(centres, "key").where(f"set_id <> c.set_id and {sized}")
-    first = materialized(first.select(F.least("set_id", "c.set_id").alias("a"), F.greatest("set_id", "c.set_id").alias("b")).distinct(), "ngram-pairs")
-    links = materialized(links.unionByName(verified(first, elements, num, den)), "ngram-links")
-    groups = components(links)
+    first = first.select("set_id", "size", F.col("c.set_id").alias("c_id"), F.col("c.size").alias("c_size")).distinct()
+    # the maps rule most others out before any set is fetched
+    p = first.join(maps, "set_id").alias("p")
+    q = maps.select(F.col("set_id").alias("c_id"), *BITS).alias("q")
+    tried = p.join(q, F.expr("p.c_id = q.c_id")).where(room("p", "q", num, den).replace("q.size", "p.c_size"))
+    first = table(tried.select(F.least("p.set_id", "p.c_id").alias("a"), F.greatest("p.set_id", "p.c_id").alias("b")).distinct(), "pairs")
+    links = table(links.unionByName(verified(first, elements, num, den)), "linked")
+    groups = components(links, scratch)
 
     # what stands in lists that still span several components
     placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = placed.select("key", "set_id", "size", F.coalesce("component", "set_id").alias("component"))
     spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = materialized(placed.join(spans, "key", "left_semi").join(maps, "set_id"), "ngram-open")
+    placed = table(placed.join(spans, "key", "left_semi").join(maps, "set_id"), "open")
     p, q = placed.alias("p"), placed.alias("q")
     second = p.join(q, F.expr("p.key = q.key and p.component < q.component and " + room("p", "q", num, den)))
     second = second.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
     second = second.join(first, ["a", "b"], "left_anti")
-    more = materialized(verified(second, elements, num, den), "ngram-links")
+    more = table(verified(second, elements, num, den), "linked")
     if not more.isEmpty():
-        groups = components(links.unionByName(more))
+        groups = components(links.unionByName(more), scratch)
     named = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = named.join(least, "component").select("set_id", "component_id")
-    return (
-        sets.select("doc_id", "size", "set_id")
-        .join(named, "set_id", "left")
-        .select("doc_id", "size", "set_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    rows = sets.join(named, "set_id", "left")
+    return rows.select("doc_id", "size", "set_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
