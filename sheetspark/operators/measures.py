@@ -111,7 +111,10 @@ def line_sharpness(pixels: DataFrame, sizes: DataFrame, angles: DataFrame) -> Da
     at = at.withColumn("shift", F.when(F.col("sin") > 0, F.col("width") * F.col("sin")).otherwise(0.0))
     at = at.withColumn("last", F.ceil(F.round(F.col("height") * F.col("cos") + F.col("width") * F.abs("sin"), 9)).cast("int"))
     place = F.round(F.col("y") * F.col("cos") - F.col("x") * F.col("sin") + F.col("shift"), 9).cast("int")
-    bins = pixels.join(at, "image_id").groupBy("image_id", "tilt", F.least(place, "last").alias("bin"))
+    # an image's angles travel as one row, so pixels are matched once and spread after
+    at = at.groupBy("image_id").agg(F.collect_list(F.struct("tilt", "sin", "cos", "shift", "last")).alias("angles"))
+    spread = pixels.select("image_id", "x", "y", "v").join(at, "image_id").select("image_id", "x", "y", "v", F.explode("angles").alias("a")).select("image_id", "x", "y", "v", "a.*")
+    bins = spread.groupBy("image_id", "tilt", F.least(place, "last").alias("bin"))
     bins = bins.agg(F.avg(255 - F.col("v")).alias("dark"), F.count("*").alias("n"))
     along = Window.partitionBy("image_id", "tilt").orderBy("bin")
     full = F.greatest(F.lit(1), F.floor(F.max("n").over(Window.partitionBy("image_id", "tilt")) * 9 / 10))

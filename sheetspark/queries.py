@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetspark.functions import geometry, tones
-from sheetspark.operators import acts, catalog, measures, sheet
+from sheetspark.kernels import raster
+from sheetspark.operators import acts, catalog, images, measures, sheet
+from sheetspark.plans import recipe
 from sheetspark.sources import synthetic
+from sheetspark.sources.files import images_to_pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -734,3 +738,92 @@ def u1_known_numbers(spark, sf_dir):
 @query(FILES + " select scan_id, next_num from states")
 def u2_next_number(spark, sf_dir):
     return states(spark, sf_dir).select("scan_id", "next_num")
+
+
+# ---- whole pictures; no SQL can draw them, so these are checked by tests
+
+
+def shots(spark, sf_dir):
+    return synthetic.photos(ids(spark, sf_dir))
+
+
+@query()
+def g1_g2_find_paper(spark, sf_dir):
+    return images.find_paper(shots(spark, sf_dir), keep=["image_id"]).select("image_id", "paper.*", "error")
+
+
+@query()
+def a3_levels_of_pictures(spark, sf_dir):
+    return images.suggest_levels(shots(spark, sf_dir), keep=["image_id"]).select("image_id", "levels.*", "error")
+
+
+@query()
+def a11_tilt_of_pictures(spark, sf_dir):
+    return images.suggest_straightening(shots(spark, sf_dir), keep=["image_id"])
+
+
+@query()
+def p8_sharpen(spark, sf_dir):
+    out = images.act(shots(spark, sf_dir), lambda a: raster.sharpen(a, 1.0), keep=["image_id"])
+    return out.select("image_id", "value.width", "value.height", F.md5("value.data").alias("digest"), "error")
+
+
+@query()
+def p9_p22_resize(spark, sf_dir):
+    out = images.act(shots(spark, sf_dir), raster.small_grey, keep=["image_id"])
+    return out.select("image_id", "value.width", "value.height", F.md5("value.data").alias("digest"), "error")
+
+
+@query()
+def p11_p14_flatten_pictures(spark, sf_dir):
+    out = images.act(shots(spark, sf_dir), lambda a: recipe.tools(a, deskew=True), keep=["image_id"])
+    return out.select("image_id", "value.width", "value.height", "error")
+
+
+@query()
+def g16_crop_offset(spark, sf_dir):
+    def work(image: dict) -> dict:
+        a = images.to_array(image)
+        x, y = images.find_crop_offset(a, a[40:200, 30:150])
+        return {"x": x, "y": y}
+
+    kind = T.StructType.fromDDL("x int, y int")
+    return images.apply(shots(spark, sf_dir), ["image"], work, kind, "at", ["image_id"]).select("image_id", "at.*", "error")
+
+
+@query()
+def io2_io5_encoded_pages(spark, sf_dir):
+    out = images.encode(shots(spark, sf_dir), 85, keep=["image_id"])
+    return images.headers(out.drop("error"), "jpeg", keep=["image_id", "jpeg"]).select("image_id", "shape.*", F.length("jpeg").alias("bytes"), "error")
+
+
+@query()
+def h1_rebuilt_tables(spark, sf_dir):
+    out = images.encode(shots(spark, sf_dir), 85, keep=["image_id"])
+    return images.rebuild_tables(out.drop("error"), "jpeg", keep=["image_id", "jpeg"]).select("image_id", (F.length("smaller") <= F.length("jpeg")).alias("no_larger"), "error")
+
+
+@query()
+def io3_io4_documents(spark, sf_dir):
+    pages = shots(spark, sf_dir).select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"), "image")
+    made = images_to_pdf(pages)
+    return made.select("scan_id", F.length("pdf").alias("bytes"), F.decode(F.substring("pdf", 1, 8), "ISO-8859-1").alias("head"), "error")
+
+
+@query()
+def r1_scan_page(spark, sf_dir):
+    out = recipe.scan_page(shots(spark, sf_dir), keep=["image_id"])
+    return images.headers(out.drop("error"), "jpeg", keep=["image_id", "jpeg"]).select("image_id", "shape.width", "shape.height", F.length("jpeg").alias("bytes"), "error")
+
+
+@query()
+def r2_suggest_adjustments(spark, sf_dir):
+    return recipe.suggest_adjustments(shots(spark, sf_dir), keep=["image_id"]).select("image_id", "suggestion.*", "error")
+
+
+@query()
+def r3_adjust_page(spark, sf_dir):
+    photos = shots(spark, sf_dir)
+    asked = recipe.suggest_adjustments(photos, keep=["image_id", "image"]).withColumnRenamed("suggestion", "values").drop("error")
+    out = recipe.adjust_page(asked, keep=["image_id"])
+    return out.select("image_id", F.length("jpeg").alias("bytes"), "error")
