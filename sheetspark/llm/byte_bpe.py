@@ -36,7 +36,7 @@ N_CLASSES = 9
 NONE, IN_L, IN_N, IN_O, IN_B, ONE_SPACE, ONE_MORE, TWO_MORE = range(8)
 N_STATES = 8
 BLOCK = 64
-TEXT_RUN = 2_000_000
+TEXT_RUN = 500_000
 
 
 def step(state: int, kind: int) -> tuple[int, bool]:

@@ -11,8 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows that a function gets at once, so that what it builds stays small.
-SLICE = 2000
+#: Rows of an Arrow batch where nobody has chosen otherwise: texts are long, and a
+#: batch is held by the JVM and by Python at once.
+BATCH_ROWS = 500
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_DEFAULT = "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches fit texts, unless the session has its own number."""
+    if spark.conf.get(BATCH_CONF, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_ROWS)
+
 
 #: The A-Z to a-z part of lower-casing; other letters stay as they are.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -112,13 +122,12 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for whole in batches:
+        for batch in batches:
             call = call or make()
-            for start in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(start, SLICE)
-                made = call(*[batch.column(i) for i in at])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
+            made = call(*[batch.column(i) for i in at])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
 
+    small_batches(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 

@@ -36,7 +36,7 @@ ORDER = 3
 FIT_DOCS = 2000
 MODEL_BYTES = 48 << 20
 MIN_COUNT = 4
-TEXT_RUN = 1_000_000
+TEXT_RUN = 300_000
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
 

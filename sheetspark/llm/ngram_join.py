@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm.common import ASCII_LOWER, Scratch, materialized, quoted, runs, texts_of, with_arrow
+from sheetspark.llm.common import ASCII_LOWER, Scratch, materialized, quoted, runs, small_batches, texts_of, with_arrow
 from sheetspark.llm.components import components
 
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, 9, 10, 11, 12, 13]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
-TEXT_RUN = 1_000_000
+TEXT_RUN = 400_000
 RATIO = 1.5  # of a size class
 HEAVY_WEIGHT = 8
 BROADCAST_IDS = 4_000_000  # 32 MB of ids
@@ -260,6 +260,7 @@ def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         names=["key", "of", "set_id", "size"],
                     )
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "key long, of int, set_id long, size int")
 
 

@@ -135,7 +135,61 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_ngram_jaccard": OP9_SQL}
+
+
+#: Escapes add a character for each control string, however many backslashes it has.
+OP4_SQL = r"""
+with c as (
+    select conv_id, turn, role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+    select *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\])')) as body, case when role = 'assistant' then 7 else 6 end as mark from c
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(3 + mark + length(role) + 1 + body + 4)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+#: Every run of words of a document that has the length of an item's window, looked up among the windows.
+OP8_SQL = r"""
+with dw as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents
+), bw as (
+    select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark
+), windows as (
+    select distinct item, least(10, len(w)) as size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as t
+    from (select *, unnest(range(1, greatest(2, len(w) - 8))) as i from bw where len(w) > 0)
+), places as (
+    select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') as t
+    from (select *, unnest(range(1, len(w) - size + 2)) as i from dw, (select distinct size from windows) where len(w) >= size)
+), hits as (
+    select doc_id, item, i, p.size from places p join windows using (size, t)
+), hit_words as (
+    select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + size)) as k from hits) group by doc_id
+), items as (
+    select doc_id, count(*) as n, string_agg(item, ',' order by item) as l from (select distinct doc_id, item from hits) group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(i.n, 0)::bigint as n_items, sha256(coalesce(i.l, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from dw left join hit_words h using (doc_id) left join items i using (doc_id)
+"""
+
+#: Every pair of documents that shares a shingle, counted out, and the transitive closure of its links.
+OP9_SQL = r"""
+with recursive dw as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+    select distinct doc_id, array_to_string(w[i : i + 2], ' ') as s from (select *, unnest(range(1, greatest(2, len(w) - 1))) as i from dw where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+    select a.doc_id as a, b.doc_id as b from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+    where 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n) group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from dw left join sizes using (doc_id) left join (select a as doc_id, min(b) as m from reach group by a) using (doc_id)
+"""
 
 
 #: Every line against every earlier one of about its length, where a half is equal.

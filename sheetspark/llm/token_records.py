@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetspark.llm.common import texts_of
+from sheetspark.llm.common import small_batches, texts_of
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -203,6 +203,7 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int, shards
         row = [shard, f"{name}.rec", f"{name}.idx", len(index), int(table["tokens"].sum()), offset, masked(raw)]
         yield pa.RecordBatch.from_pydict({c.split()[0]: [v] for c, v in zip(MANIFEST.split(", "), row, strict=True)})
 
+    small_batches(spark)
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{out}/manifest")
     return spark.read.parquet(f"{out}/manifest")
 
