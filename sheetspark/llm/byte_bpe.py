@@ -225,7 +225,7 @@ def merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class PieceCache(dict):
     """Ids of a piece as packed int32; emptied when it holds ``limit`` pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
         self.ranks, self.limit = ranks, limit
 
     def __missing__(self, piece: str) -> bytes:
@@ -302,6 +302,7 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", offsets: bool =
             ids = bpe.encode(texts_of(column))
             return [int_lists(ids), int_lists([bpe.offsets(x) for x in ids])][: 1 + offsets]
 
+        call.close = bpe.cache.clear  # texts of another task have other rare pieces
         return call
 
     return with_arrow(docs, [text], fields, make, keep)

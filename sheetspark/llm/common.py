@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -55,6 +56,16 @@ def materialized(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system; a worker process outlives its tasks, idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 class Scratch:
     """Tables in the shared folder that go when the work that needs them is done.
 
@@ -108,8 +119,8 @@ def with_arrow(
     """Adds columns that a function makes from Arrow arrays, batch by batch.
 
     ``make`` runs once a task on the executor and returns the function; that gets
-    the arrays of ``inputs`` and returns one array for each of ``fields``. The
-    other columns pass unchanged. A new column replaces one of the same name.
+    the arrays of ``inputs`` and returns one array for each of ``fields``; if it has
+    a ``close``, that is called when the task ends. The other columns pass unchanged. A new column replaces one of the same name.
     """
     names = [f.name for f in fields]
     kept = without(df.columns if keep is None else keep, names)
@@ -122,10 +133,14 @@ def with_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
-        for batch in batches:
-            call = call or make()
-            made = call(*[batch.column(i) for i in at])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
+        try:
+            for batch in batches:
+                call = call or make()
+                made = call(*[batch.column(i) for i in at])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=[*kept, *names])
+        finally:
+            getattr(call, "close", lambda: None)()
+            tidy()
 
     small_batches(df.sparkSession)
     return source.mapInArrow(run, schema)

@@ -109,7 +109,7 @@ def build(langs: list[str], grams, model_bytes: int) -> Model:
     lang = grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
     gram = grams["gram"].to_numpy().astype(np.int64)
     n = grams["n"].to_numpy().astype(np.float64)
-    used = np.unique(gram & 255)
+    used = np.union1d(gram & 255, [0])  # nothing codes a zero, but the first contexts end with it
     symbol = np.zeros(256, np.int32)
     symbol[used] = np.arange(1, len(used) + 1)
     n_sym = len(used) + 1

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm.common import ASCII_LOWER, Scratch, materialized, quoted, runs, small_batches, texts_of, with_arrow
+from sheetspark.llm.common import ASCII_LOWER, Scratch, materialized, quoted, runs, small_batches, texts_of, tidy, with_arrow
 from sheetspark.llm.components import components
 
 BLANKS = np.zeros(256, bool)
@@ -117,8 +117,8 @@ class Plan:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        n = 1
-        while subsets(n, self.deletions(n)) <= HEAVY_WEIGHT * self.part_count(max(2, n)):
+        n = 1  # at a similarity of 1 there are only equal sets, and no keys
+        while num < den and subsets(n, self.deletions(n)) <= HEAVY_WEIGHT * self.part_count(max(2, n)):
             n += 1
         self.light = n - 1  # the largest size that takes the light way
         self.floor = -(-num * (self.light + 1) // den)  # the smallest partner of a heavy set
@@ -259,6 +259,7 @@ def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         [pa.array(np.concatenate(keys).view(np.int64)), pa.array(of, pa.int32()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
                         names=["key", "of", "set_id", "size"],
                     )
+        tidy()
 
     small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "key long, of int, set_id long, size int")
