@@ -1,0 +1,62 @@
+"""The registered queries on a small scale, and the pipeline by its stages."""
+
+import hashlib
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import public_tokenizers as P
+from sheetspark.llm import byte_bpe, decontaminate
+from sheetspark.llm.queries import oracle_sql, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_sql(name, spark, sf, duck, same):
+    same(queries()[name](spark, sf), duck.sql(oracle_sql()[name]))
+
+
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+def test_query_has_a_row_a_document(name, spark, sf):
+    n = queries()[name](spark, sf).count()
+    assert n == spark.read.parquet(f"{sf}/documents.parquet").count() or name == "op10_token_counts" and n > 10
+
+
+def test_token_counts_are_those_of_distinct_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    engine = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    first = docs.sort_values("doc_id").drop_duplicates("text")
+    want = sum(len(engine.encode_ordinary(t)) + 1 for t in first["text"])
+    got = queries()["op10_token_counts"](spark, sf).agg(F.sum("n_tokens").alias("t"), F.sum("n_docs").alias("d")).first()
+    assert (got["t"], got["d"]) == (want, len(first))
+
+
+def test_pipeline(spark, sf):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "decontamination", "byte_bpe"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept[-1], sf)
+        assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        kept.append(out.cache())
+    counts = [d.count() for d in kept]
+    assert counts == sorted(counts, reverse=True) and counts[-1] > 0.7 * counts[0]
+    bench = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not any(decontaminate.brute_force(r["text"], bench)[1] for r in kept[-1].collect())
+    last = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf).collect()
+    assert len(last) == counts[-1] and all(r["round_trip"] for r in last)
+    engine = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in kept[-1].collect()}
+    assert all(r["token_ids"] == engine.encode_ordinary(texts[r["doc_id"]]) for r in last)
+
+
+def test_pipeline_at_the_edges(spark, sf):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "Some words that are here.\nAnd a line.", None, "s", 1), (3, "Some words that are here.\nAnd a line.", None, "s", 1)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf)
+        docs.collect()
+    assert hashlib.sha256(b"").hexdigest()
