@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join
 from sheetspark.llm.common import materialized
 
-#: Bits for each byte above which no language is taken to have written a text; random bytes of a base64 text cost about six.
-MOST_BITS = 6.0
+#: Bits for each byte above which no language is taken to have written a text, and the bytes that it takes to say so.
+MOST_BITS, LEAST_BYTES = 7.0, 100
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no language: without letters, or too costly to code under every one. A null lang is filled in."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(docs, model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))
+    plain = (F.col("bits_per_byte") <= MOST_BITS) | (F.octet_length("text") < LEAST_BYTES)
+    kept = found.where((F.col("lang_pred") != "und") & plain)
     return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
