@@ -16,13 +16,24 @@ def image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("image_id"))
 
 
+def spread(ids: DataFrame) -> DataFrame:
+    """Deals ids over the cluster by image, before anything is made of them.
+
+    An id is eight bytes and an image is thousands of pixels, so this is the cheap
+    place to shuffle, and sums by image need no other.
+    """
+    session = ids.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return ids.repartition(n, "image_id")
+
+
 def pixels(ids: DataFrame, side: int = SIDE) -> DataFrame:
     """image_id, x, y, v, r, g, b, sheet and writing for each pixel of each id.
 
     Pixels are made where they are used: nothing is shuffled and a later sum by
     image is complete within a task.
     """
-    grid = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))
+    grid = spread(ids).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))
     grid = grid.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"), "y")
     i, x, y = F.col("image_id"), F.col("x"), F.col("y")
     sheet = x.between(8 + i % 5, 55 - i % 3) & y.between(6 + i % 7, 57 - i % 4)
@@ -77,4 +88,4 @@ def photos(ids: DataFrame) -> DataFrame:
             for i in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([images.to_image(drawn(i))], kind)], names=["image_id", "image"])
 
-    return ids.select("image_id").mapInArrow(run, T.StructType([T.StructField("image_id", T.LongType()), T.StructField("image", images.IMAGE)]))
+    return spread(ids.select("image_id")).mapInArrow(run, T.StructType([T.StructField("image_id", T.LongType()), T.StructField("image", images.IMAGE)]))
