@@ -223,13 +223,14 @@ def room(p: str, q: str, num: int, den: int) -> str:
 
 
 def with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size and set_id."""
-    fields = [T.StructField("size", T.LongType()), T.StructField("set_id", T.LongType())]
+    """doc_id, size, set_id and the parity map of each document's set."""
+    fields = [T.StructField(c, T.LongType()) for c in ("size", "set_id", *BITS)]
 
     def make():
         def call(column: pa.Array) -> list[pa.Array]:
             sets = element_sets(texts_of(column), n)
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())]
+            maps = np.array([parities(s) for s in sets], np.int64).reshape(len(sets), len(BITS))
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(BITS))]]
 
         return call
 
@@ -271,13 +272,12 @@ def elements_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    fields = [T.StructField("set_id", T.LongType()), T.StructField("elements", T.BinaryType()), *[T.StructField(b, T.LongType()) for b in BITS]]
+    fields = [T.StructField("set_id", T.LongType()), T.StructField("elements", T.BinaryType())]
 
     def make():
         def call(column: pa.Array) -> list[pa.Array]:
             sets = element_sets(texts_of(column), n)
-            maps = np.array([parities(s) for s in sets], np.int64).reshape(len(sets), len(BITS))
-            return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *[pa.array(maps[:, k].copy()) for k in range(len(BITS))]]
+            return [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
         return call
 
@@ -328,7 +328,15 @@ def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Dat
 def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     table = scratch.table
     sets = table(with_sets(docs, n), "sets")
-    classes = table(sets.where("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("first_doc")), "classes")
+    classes = table(sets.where("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("first_doc"), *[F.max(b).alias(b) for b in BITS]), "classes")
+    maps = classes.select("set_id", *BITS)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link. Sets are fetched for what the maps have left, and no others."""
+        ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+        wanted = table(classes.join(ids, "set_id", "left_semi").select("set_id", "first_doc"), "wanted")
+        return verified(pairs, table(elements_of(docs, wanted, n), "elements"), num, den)
+
     keys = table(shared_lists(key_rows(docs, n, num, den)), "lists")
     scratch.release()
     light = keys.where("of > 0")
@@ -339,9 +347,6 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     lists = keys.where("of = 0").drop("of")
     score = lists.groupBy("set_id").agg(F.sum("df").alias("score"))
     centres = lists.join(score, "set_id").groupBy("key").agg(F.max(F.struct("score", "set_id", "size")).alias("c"))
-    wanted = classes.join(lists.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first_doc")
-    elements = table(elements_of(docs, wanted, n), "elements")
-    maps = elements.select("set_id", *BITS)
     sized = f"{den} * least(size, c.size) >= {num} * greatest(size, c.size)"
     first = lists.join(centres, "key").where(f"set_id <> c.set_id and {sized}")
     first = first.select("set_id", "size", F.col("c.set_id").alias("c_id"), F.col("c.size").alias("c_size")).distinct()
@@ -350,7 +355,7 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     q = maps.select(F.col("set_id").alias("c_id"), *BITS).alias("q")
     tried = p.join(q, F.expr("p.c_id = q.c_id")).where(room("p", "q", num, den).replace("q.size", "p.c_size"))
     first = table(tried.select(F.least("p.set_id", "p.c_id").alias("a"), F.greatest("p.set_id", "p.c_id").alias("b")).distinct(), "pairs")
-    links = table(links.unionByName(verified(first, elements, num, den)), "linked")
+    links = table(links.unionByName(checked(first)), "linked")
     groups = components(links, scratch)
 
     # what stands in lists that still span several components
@@ -361,9 +366,9 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     p, q = placed.alias("p"), placed.alias("q")
     second = p.join(q, F.expr("p.key = q.key and p.component < q.component and " + room("p", "q", num, den)))
     second = second.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
-    second = second.join(first, ["a", "b"], "left_anti")
-    more = table(verified(second, elements, num, den), "linked")
-    if not more.isEmpty():
+    second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = None if second.isEmpty() else table(checked(second), "linked")
+    if more is not None and not more.isEmpty():
         groups = components(links.unionByName(more), scratch)
     named = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
