@@ -82,7 +82,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 def ownership(rows: DataFrame, repository: str, owner: str) -> DataFrame:
     """value, n_repositories, n_owners over all candidates."""
     each = rows.select(F.col(repository).alias("r"), F.col(owner).alias("o"), F.explode(F.array_distinct(F.expr("transform(candidates, c -> c.value)"))).alias("value"))
-    by_owner = each.groupBy("value", "o", "r").agg(F.lit(1).alias("one")).groupBy("value", "o").agg(F.count("r").alias("n"))
+    by_owner = each.distinct().groupBy("value", "o").agg(F.count("r").alias("n"))
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("o").alias("n_owners"))
 
 
