@@ -125,13 +125,6 @@ def a5_paper_floor(spark, sf_dir):
     return measures.paper_floor(measures.channel_histograms(px(spark, sf_dir)), ["image_id", "channel"])
 
 
-OTSU = PX + """, h as (select image_id, v as value, count(*) as n from px group by all), c as (
-    select image_id, value, sum(n) over w as d, sum(n * value) over w as ds, sum(n) over (partition by image_id) as t, sum(n * value) over (partition by image_id) as ts
-    from h window w as (partition by image_id order by value)
-), s as (select *, d::double * (t - d)::double * power(ds::double / d - (ts - ds)::double / (t - d), 2) as apart from c where t > d),
-otsu as (select image_id, arg_max(value, apart)::int as threshold from (select * from s order by image_id, value) group by image_id)"""
-
-
 @query(PX + """, h as (select image_id, v as value, count(*) as n from px group by all), c as (
     select image_id, value, sum(n) over w as d, sum(n * value) over w as ds, sum(n) over (partition by image_id) as t, sum(n * value) over (partition by image_id) as ts
     from h window w as (partition by image_id order by value)

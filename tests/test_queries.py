@@ -28,7 +28,6 @@ def test_entry(spark):
 
 
 def test_entry_without_optional_modules(spark, monkeypatch):
-    import builtins
     import importlib
 
     import __spark_entry__ as entry
@@ -42,4 +41,3 @@ def test_entry_without_optional_modules(spark, monkeypatch):
 
     monkeypatch.setattr(importlib, "import_module", missing)
     assert set(entry.queries()) == set(QUERIES)
-    assert builtins is not None
