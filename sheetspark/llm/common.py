@@ -80,6 +80,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{tag}"
         df.write.parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, below: str = "") -> None:

@@ -338,7 +338,6 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
         return verified(pairs, table(elements_of(docs, wanted, n), "elements"), num, den)
 
     keys = table(shared_lists(key_rows(docs, n, num, den)), "lists")
-    scratch.release()
     light = keys.where("of > 0")
     ends = light.groupBy("key").agg(F.min(F.struct("size", "set_id")).alias("m"))
     stars = light.join(ends, "key").where(f"{den} * of >= {num} * (size + m.size - of) and set_id <> m.set_id")
