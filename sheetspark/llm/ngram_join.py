@@ -95,7 +95,7 @@ def element_sets(texts: list[str], n: int) -> list[np.ndarray]:
         hashes, counts = word_hashes(texts[a:b])
         grams = hashes.copy()
         with np.errstate(over="ignore"):
-            for k in range(1, n):
+            for k in range(1, min(n, len(grams))):
                 grams[: len(grams) - k] = mix(grams[: len(grams) - k] * np.uint64(31) + hashes[k:])
             at = 0
             for c in counts.tolist():

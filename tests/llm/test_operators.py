@@ -458,6 +458,17 @@ def test_near_sets_at_the_edges(spark):
     assert {r["component_id"] for r in ngram_join.near_sets(pair, 3, 90).collect()} == {1}
 
 
+@pytest.mark.parametrize("count", [0, 1, 2, 3, 4, 5])
+def test_a_run_of_fewer_words_than_n(spark, count):
+    text = " ".join("abcde"[:count])
+    (own,) = ngram_join.element_sets([text], 5)
+    assert len(own) == min(count, 1)
+    both = ngram_join.element_sets([text, "some other words that make the run long enough"], 5)
+    assert np.array_equal(own, both[0])
+    one = spark.createDataFrame([(7, text)], "doc_id long, text string")
+    assert [(r["size"], r["component_id"]) for r in ngram_join.near_sets(one, 5, 80, 100).collect()] == [(min(count, 1), 7)]
+
+
 @given(st.lists(st.integers(0, 2**63), min_size=1, max_size=60, unique=True), st.data())
 @settings(max_examples=150, deadline=None)
 def test_linked_sets_share_a_key(elements, data):
