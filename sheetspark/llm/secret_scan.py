@@ -2,17 +2,19 @@
 
 Three patterns give candidates in every text. Each candidate's value is hashed, and
 the hashes are counted over the corpus: in how many repositories (here documents)
-and by how many owners (here sources) a value occurs. A value that several owners
-have is an example that was copied; one that a single owner has, and that looks
-random, is taken for a live credential. The verdicts are spans of two more kinds
-over the value alone, ``live`` and ``copied``; the patterns' own spans stay.
+and by how many owners (here sources) a value occurs. A value in
+``MANY_REPOSITORIES`` or with ``MANY_OWNERS`` is an example that was copied; any
+other is few by both counts and, if it looks random, taken for a live credential.
+The verdicts are spans of two more kinds over the value alone, ``live`` and
+``copied``; the patterns' own spans stay.
 
-Counting takes one row for each value and document at most and sums before it
-shuffles. Of the verdicts only the two kinds that add spans are joined back, by
-hash, in a join that Spark can split where one value is in a third of all rows.
+Counting takes one row for each value, document and owner at most and sums before
+it shuffles. The verdicts are joined back, by hash, in a join that Spark can split
+where one value is in a third of all rows.
 
 Results at the edges: null or empty text has no spans; a null owner counts as no
-owner; equal rows get equal results; an empty table stays empty.
+owner, a null repository as none; equal rows get equal results; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "live", "copied")
 MIN_BITS = 2.5  # of entropy for each character of a live value
 MANY_OWNERS = 3
+MANY_REPOSITORIES = 10
 
 SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.BinaryType()), T.StructField("value_start", T.LongType()), T.StructField("random", T.BooleanType())])
 SPANS_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.binary()), ("value_start", pa.int64()), ("random", pa.bool_())]))
@@ -80,10 +83,9 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
 
 def ownership(rows: DataFrame, repository: str, owner: str) -> DataFrame:
-    """value, n_repositories, n_owners over all candidates."""
+    """value, n_repositories, n_owners over all candidates, each different one once."""
     each = rows.select(F.col(repository).alias("r"), F.col(owner).alias("o"), F.explode(F.array_distinct(F.expr("transform(candidates, c -> c.value)"))).alias("value"))
-    by_owner = each.distinct().groupBy("value", "o").agg(F.count("r").alias("n"))
-    return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("o").alias("n_owners"))
+    return each.groupBy("value").agg(F.count_distinct("r").alias("n_repositories"), F.count_distinct("o").alias("n_owners"))
 
 
 def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -92,7 +94,8 @@ def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source") -
     rows = scan(docs.select(*keep, "text").withColumn("\x01h", F.xxhash64("text")), keep=[*keep, "\x01h"])
     rows = materialized(rows, "secrets")  # spans only, no texts
     counts = ownership(rows.where(F.size("candidates") > 0), repository, owner)
-    verdicts = counts.select(F.col("value").alias("v"), F.when(F.col("n_owners") >= MANY_OWNERS, 4).when(F.col("n_owners") == 1, 3).alias("verdict")).where("verdict is not null")
+    many = (F.col("n_owners") >= MANY_OWNERS) | (F.col("n_repositories") >= MANY_REPOSITORIES)
+    verdicts = counts.select(F.col("value").alias("v"), F.when(many, 4).otherwise(3).alias("verdict"))
     each = rows.select("doc_id", "\x01h", F.explode("candidates").alias("c")).withColumn("v", F.col("c.value"))
     hits = each.join(verdicts, "v").where("verdict = 4 or c.random")
     added = hits.select("doc_id", "\x01h", F.struct(F.col("verdict").alias("kind"), F.col("c.value_start").alias("start"), F.col("c.end").alias("end")).alias("s"))

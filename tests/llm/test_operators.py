@@ -334,6 +334,22 @@ def test_secrets_by_brute_force(spark):
     assert secret_scan.judged(one.limit(0)).count() == 0
 
 
+def test_verdicts_read_documents_and_owners(spark):
+    values = {"two owners": "Zx9Qw3Rt7Yp1Lm5K", "hot owner": "Qa7Ws2Ed9Rf4Tg6H", "below": "Pl3Ok8Ij5Uh1Yg7T", "three owners": "Mn4Bv9Cx2Za6Sd8F", "no owner": "Hj5Kl1Qw8Er3Ty6U"}
+    rows = [("two owners", "a"), ("two owners", "b")]
+    rows += [("hot owner", "a")] * secret_scan.MANY_REPOSITORIES + [("below", "a")] * (secret_scan.MANY_REPOSITORIES - 1)
+    rows += [("three owners", o) for o in "abc"] + [("no owner", None)]
+    docs = spark.createDataFrame([(i, f"token={values[k]}", o) for i, (k, o) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {rows[r["doc_id"]][0]: [s["kind"] for s in r["added"] or []] for r in secret_scan.judged(docs).collect()}
+    assert got == {"two owners": [3], "hot owner": [4], "below": [3], "three owners": [4], "no owner": [3]}
+
+
+def test_a_document_of_two_owners_is_one_repository(spark):
+    docs = spark.createDataFrame([(1, "token=Zx9Qw3Rt7Yp1Lm5K", "a"), (1, "token=Zx9Qw3Rt7Yp1Lm5K", "b"), (2, "token=Zx9Qw3Rt7Yp1Lm5K", "b")], "doc_id long, text string, source string")
+    row = secret_scan.ownership(secret_scan.scan(docs), "doc_id", "source").first()
+    assert (row["n_repositories"], row["n_owners"]) == (2, 2)
+
+
 # ---- fingerprints
 
 
