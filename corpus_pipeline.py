@@ -45,14 +45,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, token_ids, n_tokens, and whether the ids decode to the text."""
+    """doc_id, lang, source, token_ids, token_offsets, n_tokens, and whether the ids decode to the text."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, offsets=False)
-    rows = byte_bpe.decode(rows, ranks)
+    rows = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks)
+    rows = byte_bpe.decode(rows, ranks, offsets="token_offsets")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return rows.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return rows.select("doc_id", "lang", "source", "token_ids", "token_offsets", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

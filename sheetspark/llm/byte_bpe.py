@@ -266,6 +266,15 @@ class ByteBpe:
         sizes = self.lengths[ids]
         return (np.cumsum(sizes) - sizes).astype(np.int32)
 
+    def check(self, ids: np.ndarray, lengths: np.ndarray, given: pa.ListArray) -> None:
+        """Raises ValueError unless ``given`` has the offsets of the ids, of which each row has so many."""
+        sizes = self.lengths[ids]
+        starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        own = starts[:-1] - np.repeat(starts[np.cumsum(lengths) - lengths], lengths)
+        told = given.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        if not np.array_equal(told, lengths) or not np.array_equal(given.flatten().to_numpy(zero_copy_only=False), own):
+            raise ValueError("token offsets are not those of the ids")
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -308,18 +317,23 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text", offsets: bool =
     return with_arrow(docs, [text], fields, make, keep)
 
 
-def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``decoded``, the bytes of the ids; they needn't be whole characters."""
+def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", keep: list[str] | None = None, offsets: str | None = None) -> DataFrame:
+    """Adds ``decoded``, the bytes of the ids; they needn't be whole characters.
+
+    With a column of ``offsets`` each token must begin where that says; if one doesn't, this raises ValueError.
+    """
 
     def make():
         bpe = loaded(ranks_path)
 
-        def call(column: pa.Array) -> list[pa.Array]:
+        def call(column: pa.Array, given: pa.Array | None = None) -> list[pa.Array]:
             filled = np.asarray(column.flatten(), np.int32)
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(lengths)
+            if given is not None:
+                bpe.check(filled, lengths, given)
             return [pa.array([bpe.decode(filled[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())]
 
         return call
 
-    return with_arrow(rows, [ids], [T.StructField("decoded", T.BinaryType())], make, keep)
+    return with_arrow(rows, [ids] if offsets is None else [ids, offsets], [T.StructField("decoded", T.BinaryType())], make, keep)

@@ -65,8 +65,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, offsets=False, keep=["doc_id"])
-    both = byte_bpe.decode(ids, ranks)
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, keep=["doc_id"])
+    both = byte_bpe.decode(ids, ranks, offsets="token_offsets")
     return both.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -283,6 +283,15 @@ def test_any_text_is_encoded_as_by_the_library(reference, text):
     assert ids[0].tolist() == reference.encode_ordinary(text) and ids[1].tolist() == reference.encode_ordinary("x")
 
 
+def test_decoding_checks_the_offsets(spark):
+    rows = byte_bpe.encode(table(spark, [*ODD, "some more words"]), RANKS)
+    plain = {r["doc_id"]: r["decoded"] for r in byte_bpe.decode(rows, RANKS).collect()}
+    assert {r["doc_id"]: r["decoded"] for r in byte_bpe.decode(rows, RANKS, offsets="token_offsets").collect()} == plain
+    for wrong in ("transform(token_offsets, (x, i) -> if(i = 2, x + 1, x))", "slice(token_offsets, 1, 1)", "cast(null as array<int>)"):
+        with pytest.raises(Exception, match="not those of the ids"):
+            byte_bpe.decode(rows.withColumn("token_offsets", F.expr(wrong)), RANKS, offsets="token_offsets").collect()
+
+
 def test_merging_by_heap_is_merging_by_list():
     bpe = byte_bpe.loaded(RANKS)
     rng = random.Random(4)

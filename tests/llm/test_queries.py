@@ -1,5 +1,6 @@
 """The registered queries on a small scale, and the pipeline by its stages."""
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -57,3 +58,15 @@ def test_pipeline_at_the_edges(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         docs.collect()
+
+
+def test_token_offsets_reach_the_end(spark, sf, monkeypatch):
+    docs = spark.createDataFrame([(1, "Some words", "en", "s", 10), (2, None, "en", "s", 0)], spark.read.parquet(f"{sf}/documents.parquet").schema)
+    engine = byte_bpe.loaded(P.path("byte_bpe_multi_50k.tiktoken"))
+    for r in corpus_pipeline.encode(spark, docs, sf).collect():
+        assert r["round_trip"] and r["token_offsets"] == engine.offsets(np.array(r["token_ids"], np.int32)).tolist()
+    asked = []
+    decode = byte_bpe.decode
+    monkeypatch.setattr(byte_bpe, "decode", lambda *a, **k: asked.append(k.get("offsets")) or decode(*a, **k))
+    queries()["op5_byte_bpe"](spark, sf)
+    assert asked == ["token_offsets"]
