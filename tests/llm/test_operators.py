@@ -395,6 +395,20 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert got[0]["fingerprint"] == got[60]["fingerprint"] and got[61]["fingerprint"] == ""
 
 
+def test_fingerprints_at_the_production_size(spark):
+    assert doc_fingerprint.SAMPLES == 32
+    rng = random.Random(9)
+    texts = []
+    for _ in range(100):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(words), " ".join([*words[: rng.randint(60, 115)], *[f"v{rng.randrange(10**6)}" for _ in range(20)]])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["near_next"] for r in doc_fingerprint.compared(rows).collect()}
+    assert all((32 * x).is_integer() for x in got.values())
+    off = [got[i] - jaccard(terms(texts[i]), terms(texts[i + 1])) for i in range(0, len(texts), 2)]
+    assert abs(np.mean(off)) < 0.03 and np.sqrt(np.mean(np.square(off))) < 0.5 / np.sqrt(32) * 1.15
+
+
 def test_fingerprints_at_the_edges(spark):
     rows = spark.createDataFrame([(1, "one text of six words here"), (1, "one text of six words here"), (None, "no id")], "doc_id long, text string")
     assert doc_fingerprint.compared(rows).count() == 3
