@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An A4 page in millimetres, the least share of a picture that a sheet has, and how square two sides must cross.
+#: An A4 page in millimetres, the least share of a picture that a sheet has, and the least determinant of two crossing sides.
 A4_SHORT, A4_LONG = 210.0, 297.0
 LEAST_AREA, LEAST_SIDE = 0.15, 0.25
-SQUARE_ENOUGH = 0.5
+LEAST_DET = 0.5
 MOST_EDGE = 3000
 LEAST_EDGE = 600
 
@@ -98,9 +98,9 @@ def scaled_box(x: Column, y: Column, w: Column, h: Column, small: tuple[Column,
 
 
 def crossing(v_slope: Column, v_offset: Column, h_slope: Column, h_offset: Column) -> tuple[Column, Column]:
-    """Where x = v_slope y + v_offset and y = h_slope x + h_offset meet; null unless they are square enough."""
-    turned = F.lit(1.0) - v_slope * h_slope
-    x = F.when(F.abs(turned) >= SQUARE_ENOUGH, F.try_divide(v_slope * h_offset + v_offset, turned))
+    """Where x = v_slope y + v_offset and y = h_slope x + h_offset meet; null where the two are nearly one line."""
+    det = F.lit(1.0) - v_slope * h_slope
+    x = F.when(F.abs(det) >= LEAST_DET, F.try_divide(v_slope * h_offset + v_offset, det))
     return x, h_slope * x + h_offset
 
 
