@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetspark.functions import geometry, tones
@@ -32,26 +32,39 @@ def to_grey(pixels: DataFrame) -> DataFrame:
 def apply_levels(pixels: DataFrame, levels: DataFrame) -> DataFrame:
     """Stretches each channel by its levels (image_id, channel, black, white), then calms faint colour.
 
+    Each image has a table of 256 values a channel, made once; a pixel looks its three values up.
     Images without levels, or whose levels change nothing, stay as they are.
     """
-    ends = [F.struct(F.max(F.when(F.col("channel") == k, F.col("black"))).alias("lo"), F.max(F.when(F.col("channel") == k, F.col("white"))).alias("hi")).alias(f"l{k}") for k in range(3)]
-    wide = levels.groupBy("image_id").agg(*ends)
-    still = F.lit(True)
-    for k in range(3):
-        still &= (F.coalesce(F.col(f"l{k}.lo"), F.lit(0)) == 0) & (F.coalesce(F.col(f"l{k}.hi"), F.lit(255)) == 255)
-    rows = pixels.join(wide, "image_id", "left").withColumn("still", still)
-    rows = rows.withColumns({f"s{k}": tones.stretched(F.col(c).cast("int"), F.col(f"l{k}.lo"), F.col(f"l{k}.hi")) for k, c in enumerate("rgb")})
-    calm = tones.calmed(F.col("s0"), F.col("s1"), F.col("s2"))
-    return rows.withColumns({c: F.when(F.col("still"), F.col(c).cast("int")).otherwise(calm[c]) for c in "rgb"}).select(*pixels.columns)
+    changed = levels.where((F.col("black") != 0) | (F.col("white") != 255))
+    table = lambda k, c: F.max(F.when(F.col("channel") == k, F.col("table"))).alias(f"t{c}")
+    tables = changed.withColumn("table", tones.stretch_table(F.col("black"), F.col("white")))
+    tables = tables.groupBy("image_id").agg(*[table(k, c) for k, c in enumerate("rgb")])
+    rows = pixels.join(tables, "image_id", "left")
+    rows = rows.withColumns({f"s{c}": F.coalesce(F.get(f"t{c}", F.col(c).cast("int")), F.col(c).cast("int")) for c in "rgb"})
+    calm = tones.calmed(F.col("sr"), F.col("sg"), F.col("sb"))
+    changes = F.coalesce("tr", "tg", "tb").isNotNull()
+    return rows.withColumns({c: F.when(changes, calm[c]).otherwise(F.col(c).cast("int")) for c in "rgb"}).select(*pixels.columns)
+
+
+def scanlines(pixels: DataFrame) -> DataFrame:
+    """image_id, y, line and below: the colours of each line and of the next (of the last one, its own), in order of x.
+
+    A colour is one whole number, red first. A line is the largest thing that a row holds; pictures
+    must have all their pixels, once.
+    """
+    colour = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    lines = pixels.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct(F.col("x"), colour.cast("int").alias("c")))).alias("p"))
+    lines = lines.select("image_id", "y", F.col("p.c").alias("line"))
+    return lines.withColumn("below", F.coalesce(F.lead("line").over(Window.partitionBy("image_id").orderBy("y")), F.col("line")))
 
 
 def flatten(pixels: DataFrame, corners: DataFrame) -> DataFrame:
     """Pulls sheets flat: image_id, x, y, r, g, b of the rectangles.
 
     ``corners`` has image_id, width, height and c0 to c7, the corners' x and y,
-    clockwise from the top left. Each target pixel asks for its four neighbours in
-    the source; sums of at most four shares an answer come from one join on
-    (image_id, x, y), by which both sides spread evenly.
+    clockwise from the top left. Each target pixel lies between two lines of the
+    source; it meets both in one join on (image_id, y), by which both sides spread
+    evenly, and takes its four neighbours from them by place.
     """
     c = [F.col(f"c{k}") for k in range(8)]
     w, h = geometry.flat_size(c)
@@ -62,15 +75,15 @@ def flatten(pixels: DataFrame, corners: DataFrame) -> DataFrame:
     from_x = (F.col("ax") * across + F.col("bx") * down + F.col("x0")) / weight
     from_y = (F.col("ay") * across + F.col("by") * down + F.col("y0")) / weight
     held = lambda v, size: F.round(F.least(F.greatest(v, F.lit(0.0)), F.col(size) - 1.0), 6)
-    grid = grid.select("image_id", "x", "y", "width", "height", held(from_x, "width").alias("fx"), held(from_y, "height").alias("fy"))
-    grid = grid.withColumns({"left": F.floor("fx").cast("int"), "top": F.floor("fy").cast("int")})
-    sx, sy = F.col("fx") - F.col("left"), F.col("fy") - F.col("top")
-    right, low = F.least(F.col("left") + 1, F.col("width") - 1), F.least(F.col("top") + 1, F.col("height") - 1)
-    parts = [(F.col("left"), F.col("top"), (1 - sx) * (1 - sy)), (right, F.col("top"), sx * (1 - sy)), (F.col("left"), low, (1 - sx) * sy), (right, low, sx * sy)]
-    asked = grid.select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"), F.explode(F.array(*[F.struct(a.alias("x"), b.alias("y"), s.alias("share")) for a, b, s in parts])).alias("p"))
-    asked = asked.select("image_id", "tx", "ty", "p.x", "p.y", "p.share").where("share > 0")
-    mixed = asked.join(pixels.select("image_id", "x", "y", "r", "g", "b"), ["image_id", "x", "y"]).groupBy("image_id", "tx", "ty").agg(*[F.round(F.sum(F.col(k) * F.col("share")), 6).alias(k) for k in "rgb"])
-    return mixed.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), *[tones.half_up(F.col(k)).alias(k) for k in "rgb"])
+    grid = grid.select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"), held(from_x, "width").alias("fx"), held(from_y, "height").alias("fy"))
+    met = grid.withColumn("y", F.floor("fy").cast("int")).join(scanlines(pixels), ["image_id", "y"])
+    left = F.floor("fx").cast("int")
+    spots = {"a": ("line", left), "b": ("line", left + 1), "c": ("below", left), "d": ("below", left + 1)}
+    # beyond the last pixel of a line its share is nothing
+    met = met.select("image_id", "tx", "ty", (F.col("fx") - left).alias("sx"), (F.col("fy") - F.col("y")).alias("sy"), *[F.coalesce(F.get(line, at), F.lit(0)).alias(k) for k, (line, at) in spots.items()])
+    shares = {"a": "(1 - sx) * (1 - sy)", "b": "sx * (1 - sy)", "c": "(1 - sx) * sy", "d": "sx * sy"}
+    mixed = {n: F.expr("round(" + " + ".join(f"(shiftright({k}, {shift}) & 255) * {share}" for k, share in shares.items()) + ", 6)") for n, shift in (("r", 16), ("g", 8), ("b", 0))}
+    return met.select("image_id", F.col("tx").alias("x"), F.col("ty").alias("y"), *[tones.half_up(v).alias(n) for n, v in mixed.items()])
 
 
 def digest(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:

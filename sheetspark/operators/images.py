@@ -2,11 +2,13 @@
 
 A picture is the struct that Spark's image source reads (origin, height, width,
 nChannels, mode, data with blue first). Functions see one picture at a time, so a
-task holds one decoded picture and its working planes, whatever the batch.
+task holds the working planes of one, beside its Arrow batch: that has the bytes of
+some rows, at least of one, within Spark's limits for batches.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,13 +60,83 @@ def apply(df: DataFrame, inputs: list[str], work: Callable, kind: T.DataType, va
                     if any(g is None for g in given):
                         raise ValueError("an input is missing")
                     out, error = work(*given), None
-                except (ValueError, ArithmeticError, LookupError) as failed:
+                except (ValueError, ArithmeticError, LookupError, TypeError, struct.error) as failed:
                     out, error = None, str(failed) or type(failed).__name__
                 yield pa.RecordBatch.from_arrays([*row.columns[:n], pa.array([out], arrow), pa.array([error], pa.string())], names=[*keep, value, "error"])
 
     return source.mapInArrow(run, schema)
 
 
+PIXELS = "x int, y int, v int, r int, g int, b int"
+PIXEL_ROWS = 1 << 16
+
+
+def to_pixels(df: DataFrame, key: str = "image_id", image: str = "image") -> DataFrame:
+    """key, x, y, v (brightness), r, g and b of each pixel: what the measures and acts over pixels take.
+
+    A picture comes out in batches of lines, so none of them grows with it. Pictures that can't be read give no rows.
+    """
+    kind = df.schema[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                try:
+                    rgb = raster.as_rgb(to_array(batch.column(1)[k].as_py()))
+                except (ValueError, TypeError):
+                    continue
+                h, w = rgb.shape[:2]
+                lines = max(1, PIXEL_ROWS // w)
+                for top in range(0, h, lines):
+                    part = rgb[top : top + lines].reshape(-1, 3).astype(np.int32)
+                    n = len(part)
+                    at = np.arange(n, dtype=np.int32)
+                    grey = (part @ np.array([2126, 7152, 722], np.int64) // 10000).astype(np.int32)
+                    ids = pa.repeat(batch.column(0)[k], n)
+                    yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (at % w, at // w + np.int32(top), grey, *np.ascontiguousarray(part.T)))], names=[key, "x", "y", "v", "r", "g", "b"])
+
+    schema = T.StructType([kind, *T.StructType.fromDDL(PIXELS).fields])
+    return df.select(key, image).mapInArrow(run, schema)
+
+
+def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
+    """key and image: pictures from their pixels (key, x, y, r, g, b), which must all be there, once.
+
+    Pixels are put in order within their partition; a task holds the pixels of one picture at a time.
+    """
+    rows = pixels.select(key, *[F.col(c).cast("int").alias(c) for c in "xyrgb"])
+    rows = rows.repartition(key).sortWithinPartitions(key, "y", "x")
+    arrow = to_arrow_type(IMAGE)
+
+    def picture(parts: list[np.ndarray]) -> dict:
+        table = np.concatenate(parts)
+        w, h = table[:, 0].max() + 1, table[:, 1].max() + 1
+        if len(table) != w * h:
+            raise ValueError(f"{len(table)} pixels are no picture of {w} by {h}")
+        return to_image(table[:, 2:].astype(np.uint8).reshape(h, w, 3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own.as_py()], own.type), pa.array([picture(held)], arrow)], names=[key, "image"])
+
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            ids = batch.column(0).to_pylist()
+            cuts = [0, *[k for k in range(1, len(ids)) if ids[k] != ids[k - 1]], len(ids)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and batch.column(0)[a].as_py() != own.as_py():
+                    yield done()
+                    held = []
+                held.append(table[a:b])
+                own = batch.column(0)[a]
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, T.StructType([pixels.schema[key], T.StructField("image", IMAGE)]))
+
+
 POINTS = T.ArrayType(T.FloatType())
 PAPER = T.StructType(
     [

@@ -31,10 +31,15 @@ def histogram(pixels: DataFrame, value: str = "v", keys: tuple[str, ...] = ("ima
     return pixels.groupBy(*keys, F.col(value).alias("value")).agg(F.count("*").alias("n"))
 
 
-def channel_histograms(pixels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """The same for each channel (0 red, 1 green, 2 blue), only on the mask's pixels (image_id, x, y) if there is one."""
-    if mask is not None:
+def channel_histograms(pixels: DataFrame, mask: DataFrame | Column | None = None) -> DataFrame:
+    """The same for each channel (0 red, 1 green, 2 blue), only on the sheet if a mask tells it.
+
+    A mask is a condition on the pixels' own columns, or a table of pixels (image_id, x, y) to join with.
+    """
+    if isinstance(mask, DataFrame):
         pixels = pixels.join(mask, ["image_id", "x", "y"], "left_semi")
+    elif mask is not None:
+        pixels = pixels.where(mask)
     channels = F.array(*[F.struct(F.lit(k).alias("channel"), F.col(c).cast("int").alias("value")) for k, c in enumerate("rgb")])
     return pixels.select("image_id", F.explode(channels).alias("c")).groupBy("image_id", "c.channel", "c.value").agg(F.count("*").alias("n"))
 
@@ -61,7 +66,7 @@ def paper_floor(counts: DataFrame, keys: list[str]) -> DataFrame:
     return tops.join(low, keys, "left").select(*keys, F.coalesce("low", "top.value", F.lit(255)).alias("white"))
 
 
-def suggest_levels(pixels: DataFrame, mask: DataFrame | None = None) -> DataFrame:
+def suggest_levels(pixels: DataFrame, mask: DataFrame | Column | None = None) -> DataFrame:
     """image_id, channel, black, white: what becomes 0 and 255; 0 and 255 where the two are too close."""
     keys = ["image_id", "channel"]
     counts = channel_histograms(pixels, mask)

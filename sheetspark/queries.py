@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetspark.functions import geometry, tones
-from sheetspark.kernels import raster
+from sheetspark.kernels import jpeg, raster
 from sheetspark.operators import acts, catalog, images, measures, sheet
 from sheetspark.plans import recipe
 from sheetspark.sources import synthetic
@@ -105,8 +106,16 @@ def a1_brightness_histogram(spark, sf_dir):
     return measures.histogram(px(spark, sf_dir))
 
 
-@query(PX + """ select image_id, channel, value, count(*) as n from (select image_id, 0 as channel, r::int as value from px where sheet union all select image_id, 1, g::int from px where sheet union all select image_id, 2, b::int from px where sheet) group by all""")
+SHEET_SQL = PX + """ select image_id, channel, value, count(*) as n from (select image_id, 0 as channel, r::int as value from px where sheet union all select image_id, 1, g::int from px where sheet union all select image_id, 2, b::int from px where sheet) group by all"""
+
+
+@query(SHEET_SQL)
 def a2_channel_histograms(spark, sf_dir):
+    return measures.channel_histograms(px(spark, sf_dir), F.col("sheet"))
+
+
+@query(SHEET_SQL)
+def j2_histogram_on_a_mask(spark, sf_dir):
     return measures.channel_histograms(px(spark, sf_dir), mask(spark, sf_dir))
 
 
@@ -763,14 +772,31 @@ def p8_sharpen(spark, sf_dir):
 
 @query()
 def p9_p22_resize(spark, sf_dir):
-    out = images.act(shots(spark, sf_dir), raster.small_grey, keep=["image_id"])
-    return out.select("image_id", "value.width", "value.height", F.md5("value.data").alias("digest"), "error")
+    """Photos of 480 by 640: by the fine filter to 600, by the cheap one to the 400 of the small grey copy."""
+    large = synthetic.photos(ids(spark, sf_dir), 480, 640)
+    kind = T.StructType.fromDDL("width int, height int, digest string, small_width int, small_height int, small_digest string")
+
+    def work(image: dict) -> dict:
+        a = images.to_array(image)
+        fit, small = raster.fit_within(a, 600), raster.small_grey(a)
+        out = {}
+        for name, x in (("", fit), ("small_", small)):
+            out |= {f"{name}width": x.shape[1], f"{name}height": x.shape[0], f"{name}digest": hashlib.md5(x.tobytes()).hexdigest()}
+        return out
+
+    return images.apply(large, ["image"], work, kind, "v", ["image_id"]).select("image_id", "v.*", "error")
+
+
+@query(PX + DIGEST.format(RGB, "px"))
+def io1_pictures_to_pixels(spark, sf_dir):
+    """Pixels become pictures and pixels again."""
+    return acts.digest(images.to_pixels(images.from_pixels(px(spark, sf_dir))))
 
 
 @query()
 def p11_p14_flatten_pictures(spark, sf_dir):
     out = images.act(shots(spark, sf_dir), lambda a: recipe.tools(a, deskew=True), keep=["image_id"])
-    return out.select("image_id", "value.width", "value.height", "error")
+    return out.select("image_id", "value.width", "value.height", F.md5("value.data").alias("digest"), "error")
 
 
 @query()
@@ -792,8 +818,10 @@ def io2_io5_encoded_pages(spark, sf_dir):
 
 @query()
 def h1_rebuilt_tables(spark, sf_dir):
-    out = images.encode(shots(spark, sf_dir), 85, keep=["image_id"])
-    return images.rebuild_tables(out.drop("error"), "jpeg", keep=["image_id", "jpeg"]).select("image_id", (F.length("smaller") <= F.length("jpeg")).alias("no_larger"), "error")
+    """Files with tables of even code lengths are rebuilt with the best ones."""
+    even = images.apply(shots(spark, sf_dir), ["image"], lambda i: jpeg.encode(images.to_array(i), 85, jpeg.even_lengths), T.BinaryType(), "jpeg", ["image_id"])
+    out = images.rebuild_tables(even.drop("error"), "jpeg", keep=["image_id", "jpeg"])
+    return out.select("image_id", F.length("jpeg").alias("bytes"), F.length("smaller").alias("rebuilt_bytes"), F.md5("smaller").alias("digest"), "error")
 
 
 @query()

@@ -73,7 +73,7 @@ def drawn(image_id: int, width: int = 240, height: int = 320):
     return np.clip(rgb, 0, 255).astype(np.uint8)
 
 
-def photos(ids: DataFrame) -> DataFrame:
+def photos(ids: DataFrame, width: int = 240, height: int = 320) -> DataFrame:
     """image_id and image: a drawn photo for each id."""
     import pyarrow as pa
     from pyspark.sql import types as T
@@ -86,6 +86,6 @@ def photos(ids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([images.to_image(drawn(i))], kind)], names=["image_id", "image"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([images.to_image(drawn(i, width, height))], kind)], names=["image_id", "image"])
 
     return spread(ids.select("image_id")).mapInArrow(run, T.StructType([T.StructField("image_id", T.LongType()), T.StructField("image", images.IMAGE)]))

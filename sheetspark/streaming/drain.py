@@ -7,8 +7,11 @@ The stream only says when to look.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,7 @@ from sheetspark.operators import catalog
 from sheetspark.plans import recipe
 from sheetspark.sources import files
 
+MOST_PHOTOS = 10_000  # of one call: their names go to the driver
 SCAN_AND_NUM = r"([^/]+)/(photo|page)/([0-9]{4})\.jpg$"
 
 
@@ -30,31 +34,65 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return found.where(F.col("path").rlike(SCAN_AND_NUM)).select("path", part(1).alias("scan_id"), part(2).alias("kind"), part(3).cast("int").alias("num"), "length")
 
 
-def drain(spark: SparkSession, root: str, quality: int = 85, edge: int = 0) -> DataFrame:
-    """scan_id, num, jpeg and error of every photo without a page. Writing is for the caller, a page at a time."""
+def drain(spark: SparkSession, root: str, quality: int = 85, edge: int = 0, most: int = MOST_PHOTOS, failed: frozenset = frozenset()) -> DataFrame:
+    """scan_id, num, jpeg and error of photos without a page, the first ``most`` by scan and number.
+
+    Only those files are read. ``failed`` has (scan_id, num) of photos that aren't tried again. What
+    is left after ``most`` is for the next call, as a page that is written is no longer missing.
+    """
     listed = listing(spark, root)
     left = catalog.unscanned(listed)
     photos = listed.where("kind = 'photo'").join(left, ["scan_id", "num"], "left_semi").select("path", "scan_id", "num")
-    loaded = files.load_images(spark, f"{root}/*/photo/*.jpg").where("error is null").select(F.col("path").alias("p"), "image")
-    work = photos.join(loaded, F.col("path") == F.col("p")).select("scan_id", "num", "image")
-    return recipe.scan_page(work, quality, edge, keep=["scan_id", "num"])
+    if failed:
+        bad = spark.createDataFrame(sorted(failed), "scan_id string, num int")
+        photos = photos.join(F.broadcast(bad), ["scan_id", "num"], "left_anti")
+    paths = [r["path"] for r in photos.orderBy("scan_id", "num").limit(most).collect()]  # names, as many as were asked for
+    if not paths:
+        return spark.createDataFrame([], "scan_id string, num int, jpeg binary, error string")
+    part = lambda k: F.regexp_extract("path", SCAN_AND_NUM, k)
+    loaded = files.load_images(spark, paths).select(part(1).alias("scan_id"), part(3).cast("int").alias("num"), "image", F.col("error").alias("unread"))
+    pages = recipe.scan_page(loaded, quality, edge, keep=["scan_id", "num", "unread"])
+    return pages.select("scan_id", "num", "jpeg", F.coalesce("unread", "error").alias("error"))
 
 
-def publish(spark: SparkSession, root: str, pages: DataFrame) -> int:
-    """Writes finished pages as files, each whole or not at all; returns how many."""
-    n = 0
-    for row in pages.where("error is null").toLocalIterator():
-        files.write_file(spark, f"{root}/{row['scan_id']}/page/{row['num']:04d}.jpg", bytes(row["jpeg"]))
-        n += 1
-    return n
+def publish(spark: SparkSession, root: str, pages: DataFrame) -> tuple[int, set]:
+    """Writes finished pages as files from the tasks that made them, each whole or not at all.
+
+    Returns how many were written, and (scan_id, num) of those that failed. Only names come to the driver.
+    """
+
+    def write(batches):
+        for batch in batches:
+            for scan, num, data, error in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if error is None:
+                    system, folder = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+                    system.create_dir(f"{folder}/{scan}/page", recursive=True)
+                    name = f"{folder}/{scan}/page/{num:04d}"
+                    part = f"{name}.{uuid.uuid4().hex}.part"
+                    with system.open_output_stream(part) as sink:
+                        sink.write(data)
+                    system.move(part, f"{name}.jpg")
+                yield pa.RecordBatch.from_pydict({"scan_id": pa.array([scan], pa.string()), "num": pa.array([num], pa.int32()), "error": pa.array([error], pa.string())})
+
+    done = pages.select("scan_id", "num", "jpeg", "error").mapInArrow(write, "scan_id string, num int, error string").collect()
+    return sum(r["error"] is None for r in done), {(r["scan_id"], r["num"]) for r in done if r["error"] is not None}
 
 
 def watch(spark: SparkSession, root: str, checkpoint: str, done: Callable[[int], None] = lambda n: None, **options) -> StreamingQuery:
-    """Drains whenever new photos are seen; what a batch does depends on the listing alone, so running it twice does no harm."""
+    """Drains whenever new photos are seen; what a batch does depends on the listing alone, so running it twice does no harm.
+
+    A photo that fails isn't tried again while the query runs.
+    """
+    failed: set = set()
     schema = spark.read.format("binaryFile").load(f"{root}/*/photo").schema
     seen = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "[0-9][0-9][0-9][0-9].jpg").load(f"{root}/*/photo").select("path")
 
     def batch(_: DataFrame, __: int) -> None:
-        done(publish(spark, root, drain(spark, root, **options)))
+        while True:
+            n, bad = publish(spark, root, drain(spark, root, failed=frozenset(failed), **options))
+            failed.update(bad)
+            if not n and not bad:
+                return
+            done(n)
 
     return seen.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
