@@ -8,12 +8,19 @@ and no turns.
 
 The text of a turn stands between its mark and ``</s>``. Control strings inside
 texts and roles get a backslash after their first character (one more, if they had
-some), which is undone on reading. The loss mask covers the assistant's texts.
+some), which is undone on reading; in roles, which end with their line, backslashes
+and line breaks are escaped as well. The loss mask covers the assistant's texts.
+
+Layouts whose roles have other names (``human``, ``gpt``) say in their mapping what
+these mean; in all others a role stays as it is.
 
 A conversation is a stream of turns in order, cut into parts of about
 ``PART_CHARS`` so that no row grows with it; offsets run on over the parts.
 
-Results at the edges: null text or role is empty; turns of equal number are ordered
+Results at the edges: a record that isn't JSON, isn't an object, has a list entry
+that isn't one, or has none of a mapping's fields, is a row with an error and without
+turns; null text or role is empty; a very long text makes a part of its own; other
+columns pass unchanged but for those with a result's name; turns of equal number are ordered
 by role and text, repeated ones stay; a null conversation id is a conversation; an
 empty table gives no rows.
 """
@@ -42,7 +49,7 @@ CONTROL = re.compile(r"([<\[])(\\*)(?=/?s>|/?INST\])")
 ESCAPED = re.compile(r"([<\[]\\*)\\(?=/?s>|/?INST\])")
 PART_CHARS = 1_000_000
 
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+ROLES = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
@@ -60,6 +67,7 @@ class Each:
     items: str
     role: str
     text: str
+    roles: tuple[tuple[str, str], ...] = ()  # other names of roles
 
 
 @dataclass(frozen=True)
@@ -68,15 +76,16 @@ class Mapping:
     needed: tuple[str, ...]
     optional: tuple[str, ...]
     turns: tuple[Turn | Each, ...]
+    least: int = 0  # of the optional paths, how many must be there
 
 
 MAPPINGS = (
     Mapping("messages", ("messages[].content", "messages[].role"), ("system",), (Turn("system", ("system",)), Each("messages", "role", "content"))),
-    Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), (Turn("system", ("system",)), Each("conversations", "from", "value"))),
+    Mapping("conversations", ("conversations[].from", "conversations[].value"), ("system",), (Turn("system", ("system",)), Each("conversations", "from", "value", ROLES))),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), (Turn("system", ("system",)), Turn("user", ("instruction", "input")), Turn("assistant", ("output",)))),
     Mapping("prompt", ("prompt",), ("completion", "response", "system"), (Turn("system", ("system",)), Turn("user", ("prompt",)), Turn("assistant", ("completion", "response")))),
     Mapping("question", ("question", "answer"), ("context", "system"), (Turn("system", ("system",)), Turn("user", ("context", "question")), Turn("assistant", ("answer",)))),
-    Mapping("turn", (), ("role", "text"), (Each("", "role", "text"),)),
+    Mapping("turn", (), ("role", "text"), (Each("", "role", "text"),), 1),
 )
 
 
@@ -98,7 +107,7 @@ def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> tuple[dict[str, Mappin
     """Mappings by fingerprint (the first that claims one has it), and all paths that they name."""
     by: dict[str, Mapping] = {}
     for m in mappings:
-        for some in chain.from_iterable(combinations(m.optional, k) for k in range(len(m.optional) + 1)):
+        for some in chain.from_iterable(combinations(m.optional, k) for k in range(m.least, len(m.optional) + 1)):
             by.setdefault(fingerprint({*m.needed, *some}), m)
     return by, frozenset(p for m in mappings for p in (*m.needed, *m.optional))
 
@@ -120,8 +129,10 @@ def canonical(record) -> tuple[list[tuple[str, str]], str | None, str | None]:
     for rule in mapping.turns:
         if isinstance(rule, Each):
             for entry in record.get(rule.items) or [] if rule.items else [record]:
-                role = as_text((entry or {}).get(rule.role))
-                turns.append((ROLES.get(role, role), as_text((entry or {}).get(rule.text))))
+                if not isinstance(entry, dict):
+                    return [], None, f"an entry of {rule.items} is no object"
+                role = as_text(entry.get(rule.role))
+                turns.append((dict(rule.roles).get(role, role), as_text(entry.get(rule.text))))
         elif given := [as_text(record[p]) for p in rule.paths if record.get(p) is not None]:
             turns.append((rule.role, "\n\n".join(given)))
     return turns, mapping.name, None
@@ -138,7 +149,7 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     def read(text: str | None):
         try:
             return canonical(json.loads(text or "null"))
-        except ValueError:
+        except (ValueError, RecursionError):
             return [], None, "not JSON"
 
     def make():
@@ -160,8 +171,17 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def role_line(role: str) -> str:
+    """A role in one line, without control strings."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def role_of(line: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
+
+
 def head(role: str) -> str:
-    return BEGIN + MARKS.get(role, OTHER_MARK) + escape(role).replace("\n", "\\n") + "\n"
+    return BEGIN + MARKS.get(role, OTHER_MARK) + role_line(role) + "\n"
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str, int]]:
@@ -172,7 +192,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int]]:
         stop = formatted.index(END, line)
         mark = formatted[at + len(BEGIN) :]
         size = len(MARKS["assistant"]) if mark.startswith(MARKS["assistant"]) else len(OTHER_MARK)
-        yield unescape(formatted[at + len(BEGIN) + size : line].replace("\\n", "\n")), formatted[line + 1 : stop], line + 1
+        yield role_of(formatted[at + len(BEGIN) + size : line]), formatted[line + 1 : stop], line + 1
         at = stop + len(END)
 
 
