@@ -1,37 +1,50 @@
 """Token counts by source, language and tokenizer version, kept up by signed deltas.
 
-A batch of changes (insert, revise, delete) becomes two tables: ledger rows, each a
-document's count with sign +1 or -1, and the sums of those by group. Totals are sums
-over batches, so a batch adds to them and nothing is counted anew. A delete or a
-revision takes back what the ledger says of the document, not what the change says.
-
-A batch is written under a name of its own attempt and committed by one rename to
-its batch id, which fails if the id is there. So a batch that is committed again, by
-a retry or a second writer, changes nothing, and a writer that dies leaves no trace
-in the totals.
+A batch of changes (insert, revise, delete) becomes signed sums by group: what the
+ledger had of the documents it touches is taken back, what they have now is added.
+Totals are additive, so a batch adds its sums to them and nothing is counted anew. A
+delete or a revision takes back what the ledger says, not what the change says.
+
+The ledger has a row for each document and tokenizer version, dealt by hash over
+``buckets`` folders. A batch reads and writes anew the buckets that it touches; a
+version's manifest tells for each bucket which version wrote it last. So neither the
+number of batches before nor what they changed makes a batch dearer.
+
+A batch is written under a name of its own attempt and published by one rename to
+the next version's name, which fails if that is there. Of two writers that read the
+same version one is first; the other reads anew and tries again, so what it takes
+back is what holds then. A version bears its batch's id, and a batch whose id is
+there changes nothing when it comes again, by a retry or a second writer. A writer
+that dies leaves no trace in the totals.
 
 Of several changes of a document and version in one batch the last by ``seq`` holds
 (then the largest count); an insert of what is there counts as a revision, a
 revision of what isn't as an insert, a delete of what isn't as nothing. A null in
 doc_id, source, lang or version is a value like others; a null count is 0. Groups
-that come to nothing are not told. An empty batch commits and changes nothing.
+that come to nothing are not told. An empty batch commits and changes nothing. Null
+and empty texts have no tokens; a very long text is one call of the library; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetspark.llm.common import materialized, texts_of, with_arrow
 
 GROUP = ["source", "lang", "version"]
-LEDGER = "doc_id long, source string, lang string, version string, n_tokens long, sign int"
-TOTALS = "source string, lang string, version string, d_docs long, d_tokens long"
+KEY = ["doc_id", "version"]
+ENTRIES = "doc_id long, source string, lang string, version string, n_tokens long, bucket int"
+TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
+MANIFEST = "bucket int, at long"
 CHANGES = ["op", "doc_id", "source", "lang", "version", "n_tokens", "seq"]
+BUCKETS = 32
 
 _engines: dict = {}
 
@@ -72,86 +85,135 @@ def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
 
+def same(a: str, b: str, columns: list[str]) -> Column:
+    """Whether the columns of two aliased tables agree; null is a value."""
+    return reduce(Column.__and__, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns])
+
+
 class Rollup:
-    """The totals under a shared folder."""
+    """The ledger and totals under a shared folder."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _found(self, pattern: str) -> list:
+        return list(_context(self.spark, self.root).util().globStatus(_path(self.spark, f"{self.root}/{pattern}")) or [])
 
     def committed(self, batch_id: str) -> bool:
-        return _context(self.spark, self.root).util().exists(_path(self.spark, f"{self.root}/batches/{batch_id}"))
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        if not _context(self.spark, self.root).util().exists(_path(self.spark, f"{self.root}/batches")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/batches/*/{kind}")
-
-    def entries(self) -> DataFrame:
-        """What holds now of each document and version."""
-        state = self._read("ledger", LEDGER).groupBy("doc_id", *GROUP, "n_tokens").agg(F.sum("sign").alias("n"))
-        return state.where("n > 0").drop("n")
-
-    def totals(self) -> DataFrame:
-        sums = self._read("totals", TOTALS).groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
-
-    def signed(self, changes: DataFrame) -> DataFrame:
-        """The ledger rows of a batch."""
-        rows = changes.select(*CHANGES)
-        last = rows.groupBy("doc_id", "version").agg(F.max(F.struct("seq", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "op", "source", "lang")).alias("c"))
-        last = last.select("doc_id", "version", "c.op", "c.source", "c.lang", "c.n_tokens")
-        old, new = self.entries().alias("o"), last.select("doc_id", "version").alias("n")
-        same = F.col("o.doc_id").eqNullSafe(F.col("n.doc_id")) & F.col("o.version").eqNullSafe(F.col("n.version"))
-        back = old.join(new, same, "left_semi").select("doc_id", *GROUP, "n_tokens", F.lit(-1).alias("sign"))
-        fresh = last.where("op <> 'delete'").select("doc_id", *GROUP, "n_tokens", F.lit(1).alias("sign"))
-        return back.unionByName(fresh)
+        return bool(self._found(f"versions/*/batch-{batch_id.encode().hex()}"))
+
+    def head(self) -> int:
+        """The newest version, 0 if there is none."""
+        return max((int(f.getPath().getName()) for f in self._found("versions/*")), default=0)
+
+    def at(self, version: int) -> str:
+        return f"{self.root}/versions/{version:012d}"
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """Which version wrote a bucket last: a row for each bucket."""
+        return {r["bucket"]: r["at"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.at(version)}/manifest").collect()} if version else {}
+
+    def entries(self, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+        """What holds of each document and tokenizer version, in some buckets or in all."""
+        version = self.head() if version is None else version
+        paths = [f"{self.at(v)}/entries/bucket={k}" for k, v in self.manifest(version).items() if buckets is None or k in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], ENTRIES)
+        return self.spark.read.schema(ENTRIES).option("basePath", self.root).parquet(*paths).select(*_names(ENTRIES))
+
+    def totals(self, version: int | None = None) -> DataFrame:
+        version = self.head() if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], TOTALS)
+        return self.spark.read.schema(TOTALS).parquet(f"{self.at(version)}/totals").where("n_docs <> 0 or n_tokens <> 0")
+
+    def latest(self, changes: DataFrame) -> DataFrame:
+        """The change that holds for each document and version, with its bucket."""
+        last = F.max(F.struct("seq", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), "op", "source", "lang")).alias("c")
+        rows = changes.select(*CHANGES).groupBy(*KEY).agg(last).select(*KEY, "c.op", "c.source", "c.lang", "c.n_tokens")
+        return rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(doc_id, version), {self.buckets}) as int)"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch of changes (op, doc_id, source, lang, version, n_tokens, seq); False if it is there already."""
         if self.committed(batch_id):
             return False
-        attempt = f"{self.root}/attempts/{batch_id}-{uuid.uuid4().hex}"
-        self.signed(changes).write.parquet(f"{attempt}/ledger")
-        ledger = self.spark.read.schema(LEDGER).parquet(f"{attempt}/ledger")
-        sums = ledger.groupBy(*GROUP).agg(F.sum("sign").alias("d_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("d_tokens"))
+        base = f"{self.root}/attempts/{batch_id.encode().hex()}-{uuid.uuid4().hex}"
+        self.latest(changes).write.parquet(f"{base}/changes")
+        new = self.spark.read.parquet(f"{base}/changes")
+        while not self.committed(batch_id):
+            version = self.head()
+            attempt = f"{base}/{version + 1}"
+            self._write(attempt, version, new)
+            context = _context(self.spark, self.root)
+            context.mkdir(_path(self.spark, f"{attempt}/batch-{batch_id.encode().hex()}"), _folder(self.spark), True)
+            if self._publish(attempt, version + 1):
+                context.delete(_path(self.spark, base), True)
+                return True
+        return False
+
+    def _write(self, attempt: str, version: int, new: DataFrame) -> None:
+        """The buckets that change, the manifest and the totals, as they follow on a version."""
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most all buckets
+        old = self.entries(version, touched)
+        fresh = new.where("op <> 'delete'").select(*_names(ENTRIES))
+        kept = old.alias("o").join(new.select(*KEY).alias("n"), same("o", "n", KEY), "left_anti")
+        state = kept.unionByName(fresh).hint("rebalance", "bucket")
+        state.write.partitionBy("bucket").parquet(f"{attempt}/entries")
+        written = {int(f.getPath().getName().split("=")[1]) for f in _context(self.spark, self.root).util().globStatus(_path(self.spark, f"{attempt}/entries/bucket=*")) or []}
+        now = {k: v for k, v in self.manifest(version).items() if k not in touched} | {k: version + 1 for k in written}
+        self.spark.createDataFrame(list(now.items()), MANIFEST).coalesce(1).write.parquet(f"{attempt}/manifest")
+        # the signed sums of the batch
+        back = old.alias("o").join(new.select(*KEY).alias("n"), same("o", "n", KEY), "left_semi").select(*GROUP, "n_tokens", F.lit(-1).alias("sign"))
+        signed = back.unionByName(fresh.select(*GROUP, "n_tokens", F.lit(1).alias("sign")))
+        delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+        sums = self.totals(version).unionByName(delta).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.coalesce(1).write.parquet(f"{attempt}/totals")  # a row for each group
-        return self._publish(attempt, batch_id)
 
-    def _publish(self, attempt: str, batch_id: str) -> bool:
+    def _publish(self, attempt: str, version: int) -> bool:
         from py4j.protocol import Py4JJavaError
 
         context = _context(self.spark, self.root)
-        jvm = self.spark.sparkContext._jvm
-        batches = _path(self.spark, f"{self.root}/batches")
-        context.mkdir(batches, jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.mkdir(_path(self.spark, f"{self.root}/versions"), _folder(self.spark), True)
+        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            context.rename(_path(self.spark, attempt), _path(self.spark, f"{self.root}/batches/{batch_id}"), options)
+            context.rename(_path(self.spark, attempt), _path(self.spark, self.at(version)), options)
         except Py4JJavaError:
-            if self.committed(batch_id):  # another writer was first
+            if self.head() >= version:  # another writer was first
                 return False
             raise
         return True
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _folder(spark: SparkSession):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault()
+
+
 def inserts(docs: DataFrame, version: str, op: str = "insert") -> DataFrame:
     return docs.select(F.lit(op).alias("op"), F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.lit(version).alias("version"), "n_tokens", F.lit(0).alias("seq"))
 
 
 def corpus_totals(docs: DataFrame, ranks_path: str, version: str, root: str) -> DataFrame:
-    """Totals of a corpus by three batches, each committed twice.
+    """Totals of a corpus by four batches, one of which comes twice, and what they were without its exact copies.
 
-    All documents come in; exact copies but for the one of the smallest doc_id go;
-    what is left is revised to count an end token too.
+    All documents come in; each is revised to count an end token too; exact copies but for the one of
+    the smallest doc_id go (then the totals are those of distinct texts: n_distinct_docs and
+    n_distinct_tokens); and they come back (n_docs and n_tokens, of all documents).
     """
-    spark = docs.sparkSession
-    rollup = Rollup(spark, root)
+    rollup = Rollup(docs.sparkSession, root)
     rollup.commit("load", inserts(counted(docs, ranks_path, keep=["doc_id", "source", "lang"]), version))
-    firsts = docs.where("text is not null").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    copies = docs.where("text is not null").select("doc_id", "source", "lang").join(firsts.select("doc_id"), "doc_id", "left_anti").withColumn("n_tokens", F.lit(0).cast("long"))
+    rollup.commit("ends", inserts(rollup.entries().withColumn("n_tokens", F.col("n_tokens") + 1), version, "revise"))
+    texts = docs.where("text is not null")
+    firsts = texts.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    copies = texts.select("doc_id").distinct().alias("d").join(firsts.alias("f"), same("d", "f", ["doc_id"]), "left_anti").alias("c")
+    copies = rollup.entries().alias("e").join(copies, same("e", "c", ["doc_id"]), "left_semi")
     copies = materialized(copies, "rollup-copies")
     rollup.commit("copies", inserts(copies, version, "delete"))
-    ended = rollup.entries().withColumn("n_tokens", F.col("n_tokens") + 1)
-    rollup.commit("ends", inserts(ended, version, "revise"))
+    distinct = rollup.totals(rollup.head()).withColumnsRenamed({"n_docs": "n_distinct_docs", "n_tokens": "n_distinct_tokens"}).alias("d")
     rollup.commit("copies", inserts(copies, version, "delete"))  # a retry, which changes nothing
-    return rollup.totals()
+    rollup.commit("back", inserts(copies, version))
+    both = rollup.totals().alias("t").join(distinct, same("t", "d", GROUP), "left")
+    return both.select(*[F.col(f"t.{c}") for c in [*GROUP, "n_docs", "n_tokens"]], *[F.coalesce(F.col(f"d.{c}"), F.lit(0)).alias(c) for c in ("n_distinct_docs", "n_distinct_tokens")])
