@@ -1,26 +1,30 @@
 """Language identification by prediction by partial matching (PPM).
 
 For each language the bytes of training text give counts of symbols after contexts
-of zero to three bytes. A symbol that a context has seen costs what its count says;
-one that it has not seen costs the context's escape and then what the next shorter
-context says, down to 256 equal symbols (method C: the escape's count is the number
-of distinct symbols). Statistics are frozen, so a symbol's exact code length depends
-only on the three bytes before it, and all code lengths of a tree stand in one table.
+of zero to ``max_order`` (at most three) bytes. A symbol that a context has seen costs
+what its count says; one that it has not seen costs the context's escape and then what
+the next shorter context says, down to 256 equal symbols (method C: the escape's count is
+the number of distinct symbols). Statistics are frozen, so a symbol's exact code length
+depends only on the three bytes before it.
 The language with the shortest code of the whole text wins.
 
-Training takes whole texts of at most about ``fit_docs`` documents of each language,
-chosen by a hash of doc_id: a bounded sample. The table has at most ``model_bytes``;
-within that, the most frequent three-byte contexts have nodes of their own and all
-others use their two-byte context, so its size doesn't grow with the data.
+A tree is kept as sorted tables, one for each order: the code length of each symbol
+that was seen after each context, and the escape of each context. Nothing that
+training saw is left out, so the tables are as large as the training sample: whole
+texts of at most about ``fit_docs`` documents of each language, chosen by a hash of
+doc_id. That is the bound of the model, for any amount of data.
 
 Results at the edges: null text, or text without letters, is ``und`` with score 0
 and null bits; without training rows all is ``und``; ties go to the first language
-in order of name. Result columns replace input columns of the same names.
+in order of name; a document whose doc_id is null is not held out; equal rows get
+equal results; a very long text is coded in pieces of ``TEXT_RUN`` bytes; an empty table
+stays empty. Result columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,24 +38,28 @@ from sheetspark.llm.common import runs, texts_of, with_arrow
 LETTER = re.compile(r"[^\W\d_]")
 ORDER = 3
 FIT_DOCS = 2000
-MODEL_BYTES = 48 << 20
-MIN_COUNT = 4
 TEXT_RUN = 300_000
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
 
+@dataclass
+class Tree:
+    """The statistics of a language. A gram is a context and the symbol after it, the last byte lowest."""
+
+    grams: list[np.ndarray]  # of each order, sorted
+    cost: list[np.ndarray]  # bits of each gram
+    contexts: list[np.ndarray]  # of each order, sorted
+    escape: list[np.ndarray]  # bits of each context's escape
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of a byte; 0 is every byte that training hasn't seen
-    row: np.ndarray  # of two bytes, into deep
-    deep: np.ndarray  # node of row and symbol, or 0
-    short: np.ndarray  # node of the two bytes before, or of a shorter context
-    cost: np.ndarray  # bits, by node and symbol, for each language
+    trees: list[Tree]
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:
@@ -77,106 +85,97 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The four bytes that end at each byte of the texts, and where each text ends."""
     parts = [t.encode() for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    joined = np.frombuffer(b"\0\0\0" + b"\0\0\0".join(parts), np.uint8).astype(np.uint32)
+    return grams_of(b"\0\0\0" + b"\0\0\0".join(parts), [len(p) for p in parts]), np.cumsum([len(p) for p in parts])
+
+
+def grams_of(data: bytes, sizes: list[int]) -> np.ndarray:
+    """The four bytes that end at each byte of parts of these sizes, which stand in ``data`` behind three bytes each."""
+    joined = np.frombuffer(data, np.uint8).astype(np.uint32)
     w = (joined[:-3] << 24) | (joined[1:-2] << 16) | (joined[2:-1] << 8) | joined[3:]
-    if len(parts) > 1:
+    if len(sizes) > 1:
         inside = np.ones(len(w), bool)
-        cuts = ends[:-1] + 3 * np.arange(len(parts) - 1)
+        cuts = np.cumsum(sizes[:-1]) + 3 * np.arange(len(sizes) - 1)
         for k in range(3):
             inside[cuts + k] = False
         w = w[inside]
-    return w, ends
+    return w
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, model_bytes: int = MODEL_BYTES, max_order: int = ORDER) -> Model:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, max_order: int = ORDER) -> Model:
     """Learns from text and lang of ``docs`` (doc_id, text, lang), where neither is null."""
+    if not 0 <= max_order <= ORDER:
+        raise ValueError(f"contexts have 0 to {ORDER} bytes, not {max_order}")
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     langs = sorted(sizes)
     if not langs:
-        return Model([], *[np.empty(0)] * 5)
+        return Model([], [])
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, fit_docs / sizes[lang]))])
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
     grams = gram_counts(rows.where(drawn)).toPandas()  # bounded with the sample
     if grams.empty:
-        return Model([], *[np.empty(0)] * 5)
-    return build(langs, grams, model_bytes)
-
-
-def build(langs: list[str], grams, model_bytes: int) -> Model:
-    n_langs = len(langs)
-    lang = grams["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    gram = grams["gram"].to_numpy().astype(np.int64)
-    n = grams["n"].to_numpy().astype(np.float64)
-    used = np.union1d(gram & 255, [0])  # nothing codes a zero, but the first contexts end with it
-    symbol = np.zeros(256, np.int32)
-    symbol[used] = np.arange(1, len(used) + 1)
-    n_sym = len(used) + 1
-    sym = symbol[gram & 255]
-
-    def counted(context: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Counts by context, symbol and language for the sorted contexts in ``wanted``."""
-        at = np.minimum(np.searchsorted(wanted, context), len(wanted) - 1)
-        ok = wanted[at] == context
-        flat = (at[ok] * n_sym + sym[ok]) * n_langs + lang[ok]
-        return np.bincount(flat, n[ok], len(wanted) * n_sym * n_langs).reshape(len(wanted), n_sym, n_langs)
-
-    def coded(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities by method C over those of the shorter context."""
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        room = total + kinds
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(room == 0, shorter, np.where(counts > 0, counts / room, kinds / room * shorter))
-
-    c1, c2, c3 = gram >> 8 & 255, gram >> 8 & 0xFFFF, gram >> 8
-    p0 = coded(counted(np.zeros(len(gram), np.int64), np.zeros(1, np.int64)), np.full((1, n_sym, n_langs), 1 / 256))
-    one = np.unique(c1)
-    p1 = coded(counted(c1, one), p0)
-    room = max(1, model_bytes // (n_sym * n_langs * 4) - len(one) - 1)
-
-    def chosen(context: np.ndarray, most: int) -> np.ndarray:
-        """The most frequent contexts, ties to the lower one."""
-        kinds, inverse = np.unique(context, return_inverse=True)
-        weight = np.bincount(inverse, n)
-        order = np.lexsort((kinds, -weight))[:most]
-        return np.sort(kinds[order[weight[order] >= MIN_COUNT]])
-
-    two = chosen(c2, room // 3)
-    p2 = coded(counted(c2, two), p1[np.searchsorted(one, two & 255)]) if len(two) else np.empty((0, n_sym, n_langs))
-    first_two = 1 + len(one)
-    # a context of three bytes needs the one of its last two
-    three = chosen(c3, room - len(two))
-    three = three[np.isin(three & 0xFFFF, two)]
-    p3 = coded(counted(c3, three), p2[np.searchsorted(two, three & 0xFFFF)]) if len(three) else np.empty((0, n_sym, n_langs))
-    cost = -np.log2(np.concatenate([p0, p1, p2, p3])).astype(np.float32)
-
-    short = np.zeros(1 << 16, np.int32)
-    last = np.arange(1 << 16) & 255
-    at = np.minimum(np.searchsorted(one, last), len(one) - 1)
-    short[:] = np.where(one[at] == last, 1 + at, 0)
-    short[two] = first_two + np.arange(len(two))
-    heads = np.unique(three >> 8)
-    row = np.zeros(1 << 16, np.int32)
-    row[heads] = np.arange(1, len(heads) + 1)
-    deep = np.zeros((len(heads) + 1) * n_sym, np.int32)
-    tail = symbol[three & 255]
-    ok = tail > 0  # a byte that ends a context but is never coded has no symbol
-    deep[row[three[ok] >> 8] * n_sym + tail[ok]] = (first_two + len(two) + np.arange(len(three)))[ok]
-    return Model(langs, symbol, row, deep, short, cost.reshape(-1, n_langs))
+        return Model([], [])
+    of = dict(tuple(grams.groupby("lang")))
+    langs = sorted(of)
+    return Model(langs, [build(of[x]["gram"].to_numpy().astype(np.uint32), of[x]["n"].to_numpy().astype(np.float64), max_order) for x in langs])
+
+
+def build(seen: np.ndarray, n: np.ndarray, max_order: int) -> Tree:
+    """The tree of a language from its four-byte windows and their counts."""
+    tree = Tree([], [], [], [])
+    for k in range(max_order + 1):
+        mask = np.uint32((1 << (8 * (k + 1))) - 1)
+        grams, inverse = np.unique(seen & mask, return_inverse=True)
+        counts = np.bincount(inverse, n)
+        contexts, of = np.unique(grams >> np.uint32(8), return_inverse=True)
+        kinds, total = np.bincount(of), np.bincount(of, counts)
+        tree.grams.append(grams)
+        tree.cost.append(-np.log2(counts / (total + kinds)[of]))
+        tree.contexts.append(contexts)
+        tree.escape.append(-np.log2(kinds / (total + kinds)))
+    return tree
+
+
+def found_in(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+def costs(distinct: np.ndarray, tree: Tree) -> np.ndarray:
+    """Bits of the last byte of each distinct four-byte window under a tree."""
+    out = np.zeros(len(distinct))
+    left = np.arange(len(distinct))
+    for k in range(len(tree.grams) - 1, -1, -1):
+        own = distinct[left] & np.uint32((1 << (8 * (k + 1))) - 1)
+        at, ok = found_in(tree.grams[k], own)
+        out[left[ok]] += tree.cost[k][at[ok]]
+        left, own = left[~ok], own[~ok]
+        at, ok = found_in(tree.contexts[k], own >> np.uint32(8))
+        out[left[ok]] += tree.escape[k][at[ok]]  # an unseen context has no escape to pay for
+    out[left] += 8.0
+    return out
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of texts with their windows and ends; a very long text comes in several pieces."""
+    for a, b in runs(texts, TEXT_RUN):
+        if b - a == 1 and len(texts[a]) > TEXT_RUN:
+            data = b"\0\0\0" + texts[a].encode()
+            for at in range(0, len(data) - 3, TEXT_RUN):
+                part = data[at : at + TEXT_RUN + 3]
+                yield a, b, grams_of(part, [len(part) - 3]), np.array([len(part) - 3])
+        else:
+            yield a, b, *windows(texts[a:b])
 
 
 def code_lengths(texts: list[str], model: Model) -> np.ndarray:
     """Bits of each text under each language; all texts must have bytes."""
-    n_sym = int(model.symbol.max()) + 1
-    out = np.empty((len(texts), len(model.langs)))
-    for a, b in runs(texts, TEXT_RUN):
-        w, ends = windows(texts[a:b])
-        before = (w >> 8) & 255
-        node = model.deep[model.row[w >> 16] * n_sym + model.symbol[before]]
-        node = np.where((node > 0) & (model.symbol[before] > 0), node, model.short[(w >> 8) & 0xFFFF])
-        costs = model.cost[node * n_sym + model.symbol[w & 255]]
-        out[a:b] = np.add.reduceat(costs, np.concatenate(([0], ends[:-1])), axis=0, dtype=np.float64)
+    out = np.zeros((len(texts), len(model.langs)))
+    for a, b, w, ends in pieces(texts):
+        distinct, inverse = np.unique(w, return_inverse=True)
+        starts = np.concatenate(([0], ends[:-1]))
+        for k, tree in enumerate(model.trees):
+            out[a:b, k] += np.add.reduceat(costs(distinct, tree)[inverse], starts)
     return out
 
 
