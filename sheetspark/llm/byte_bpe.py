@@ -13,13 +13,18 @@ runs of letters, numbers or other signs with one space in front, and runs of whi
 space that leave one blank for what follows.
 
 Results at the edges: null text gives no ids, as does empty text; any id list
-decodes to bytes; a null id list decodes to empty bytes.
+decodes to bytes; a null id list decodes to empty bytes; equal rows get equal ids; an
+empty table stays empty; result columns replace input columns of their names, all others
+pass, whatever their names. A very long text is cut before a space that is followed by
+a letter and preceded by one, where a piece begins whatever stands around; only a text without such
+places is taken as one.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import cache
 
 import numpy as np
@@ -223,14 +228,16 @@ def merged_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class PieceCache(dict):
-    """Ids of a piece as packed int32; emptied when it holds ``limit`` pieces."""
+    """Ids of a piece as packed int32; emptied when it holds ``limit`` pieces, or 32 characters for each of as many."""
 
     def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
-        self.ranks, self.limit = ranks, limit
+        self.ranks, self.limit, self.held = ranks, limit, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        self.held += len(piece)
+        if len(self) >= self.limit or self.held >= 32 * self.limit:
             self.clear()
+            self.held = len(piece)
         self[piece] = packed = np.asarray(merged(piece.encode(), self.ranks), np.int32).tobytes()
         return packed
 
@@ -248,6 +255,14 @@ class ByteBpe:
         self.cache = PieceCache(self.ranks)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a very long one by its parts."""
+        if not any(len(t) > 2 * TEXT_RUN for t in texts):
+            return self.encode_runs(texts)
+        parts = [split_long(t) for t in texts]
+        ids = iter(self.encode_runs([p for own in parts for p in own]))
+        return [np.concatenate([next(ids) for _ in own]) for own in parts]
+
+    def encode_runs(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for a, b in runs(texts, TEXT_RUN):
             joined, starts, gaps = piece_starts(texts[a:b], self.classes)
@@ -279,11 +294,24 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+#: A space between two letters of the Latin alphabet: there a piece begins, under any pattern of this kind.
+SEAM = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+def split_long(text: str) -> list[str]:
+    """A text in parts of about ``TEXT_RUN`` characters, whose pieces are those of the text."""
+    out, at = [], 0
+    while len(text) - at > 2 * TEXT_RUN and (seam := SEAM.search(text, at + TEXT_RUN)):
+        out.append(text[at : seam.start()])
+        at = seam.start()
+    return [*out, text[at:]]
+
+
 _loaded: dict[str, ByteBpe] = {}
 
 
 def loaded(path: str, classes: bytes | None = None) -> ByteBpe:
-    """One encoder a worker process and rank file, so that its cache lives across tasks."""
+    """One encoder a worker process and rank file."""
     if path not in _loaded:
         _loaded[path] = ByteBpe(path, None if classes is None else np.frombuffer(classes, np.uint8))
     return _loaded[path]

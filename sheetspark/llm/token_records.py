@@ -17,12 +17,14 @@ them. The manifest is a Parquet table that Spark's committer publishes, so a los
 executor or a second attempt leaves stray files that nobody reads.
 
 Results at the edges: a null or empty text is one end id; null doc_ids come
-first; equal doc_ids are ordered by text; an empty table gives an empty manifest
-and no records; other columns are ignored.
+first; equal doc_ids are ordered by text; a very long text is one record; an empty
+table gives an empty manifest and no records; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -93,6 +95,25 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
+#: The parts, as a file describes them, by which the ids of a text are those of its pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def can_be_cut(description: dict) -> bool:
+    """Whether a tokenizer file has these parts, a plain BPE model, and no added token that blanks matter to."""
+    normalizer, pre, model = (description.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    if normalizer.get("normalizers") != NORMALIZERS or pre.get("pretokenizers") != PRETOKENIZERS:
+        return False
+    if model.get("type") != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("unk_token"):
+        return False
+    added = description.get("added_tokens") or []
+    return not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in added)
+
+
 class ChunkEncoder(dict):
     """The ids, packed, of a piece of text between blanks, by the tokenizers library.
 
@@ -101,7 +122,9 @@ class ChunkEncoder(dict):
     the rest, words of Latin letters are normalised here (lower case is all that
     happens to them) and go to the library's model at once, one full stop or comma
     behind a word apart; whatever else there is goes through the whole library.
-    The memory is emptied when it holds ``limit`` pieces.
+    All that holds for tokenizers of one make, so the file is read for it: of any
+    other, each text goes to the library as it is (``whole``).
+    The memory is emptied when it holds ``limit`` pieces, or 32 characters for each of as many.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
@@ -109,13 +132,17 @@ class ChunkEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.limit = limit
+        with open(path, encoding="utf-8") as file:
+            self.whole = not can_be_cut(json.load(file))
+        self.limit, self.held = limit, 0
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        self.held += len(piece)
+        if len(self) >= self.limit or self.held >= 32 * self.limit:
             self.clear()
+            self.held = len(piece)
         word = piece[:-1] if piece[-1:] in (".", ",") else piece
         if not LATIN(word):
             packed = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
@@ -134,6 +161,8 @@ class ChunkEncoder(dict):
         return array(self.code, ids).tobytes()
 
     def packed(self, text: str) -> bytes:
+        if self.whole:
+            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         # str.split() would also cut at separators that the tokenizer may keep
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
