@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch where nobody has chosen otherwise: texts are long, and a
@@ -32,11 +33,14 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a single machine, as in tests) a local folder is
-    set in its place.
+    Only where that is unset and there is a single machine, as in tests, a local
+    folder is set in its place; on a cluster that would be a folder of its own on
+    each machine, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='sheetspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -126,8 +130,8 @@ def with_arrow(
     names = [f.name for f in fields]
     kept = without(df.columns if keep is None else keep, names)
     extra = [c for c in inputs if c not in kept]
-    # an input that is not kept travels under a name that no column can have
-    source = df.select(*[quoted(c) for c in kept], *[df[quoted(c)].alias(f"\x01{i}") for i, c in enumerate(extra)])
+    # all travel under names without dots, which mapInArrow takes for fields
+    source = df.select(*[F.col(quoted(c)).alias(f"\x01{i}") for i, c in enumerate([*kept, *extra])])
     at = [kept.index(c) if c in kept else len(kept) + extra.index(c) for c in inputs]
     schema = T.StructType([*[df.schema[c] for c in kept], *fields])
     n_kept = len(kept)

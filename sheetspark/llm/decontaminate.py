@@ -7,9 +7,11 @@ search may move on when that block ends at its place. Blocks that are in no
 pattern allow the most. Where the shift is zero, the block picks a bucket, the
 pattern's first block picks within it, and a direct comparison confirms.
 
-Items are read in blocks of bounded bytes; each block's tables go to the
-executors once and its finds are merged with those of the blocks before, so
-neither the driver nor an executor holds more than one block of items.
+Items are read in blocks of bounded bytes. A block's items go to the executors
+once, where each worker process builds its tables once. Between blocks the finds
+are written, and the next block's are merged with them; so neither the driver nor
+an executor holds more than one block of items, and with a single block, the usual
+case, nothing is written.
 
 Results at the edges: a null or empty text has no words and is clean; items that
 are null or have no words match nothing; item_ids are told as strings and a null
@@ -19,6 +21,7 @@ clean. The result columns replace input columns of the same names.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm.common import texts_of, with_arrow
+from sheetspark.llm.common import materialized, quoted, texts_of, with_arrow, without
 
 #: Bytes of UTF-8 text: digits, lower-case letters and all beyond ASCII are in words; A-Z are lower-cased; the rest separates.
 WORD_BYTES = bytes(
@@ -126,21 +129,34 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
 
     ``keep`` names the columns that stay (all of them if not given).
     """
-    keep = docs.columns if keep is None else keep
-    out, first = docs, True
+    keep = without(docs.columns if keep is None else keep, [f.name for f in FIELDS])
+    hidden = {c: f"\x04{i}" for i, c in enumerate(dict.fromkeys([*keep, text]))}
+    out, first = docs.select(*[F.col(quoted(c)).alias(h) for c, h in hidden.items()]), True
     for block in item_blocks(benchmark, block_bytes):
-        out = find_block(out, block, text, window, first, [*dict.fromkeys([*keep, text])])
+        out = find_block(out if first else materialized(out, "decontaminate"), block, hidden[text], window, first)
         first = False
     if first:
-        out = find_block(out, [], text, window, True, [*dict.fromkeys([*keep, text])])
-    return out.select(*[c for c in out.columns if c in keep or c in {f.name for f in FIELDS}])
+        out = find_block(out, [], hidden[text], window, True)
+    return out.select(*[F.col(hidden[c]).alias(c) for c in keep], *[f.name for f in FIELDS])
 
 
-def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window: int, first: bool, keep: list[str]) -> DataFrame:
+#: The tables of the block at hand, by its name: one in each worker process, for all its tasks.
+_built: dict[str, list[Patterns]] = {}
+
+
+def built(name: str, block: list[tuple[str, str]], window: int) -> list[Patterns]:
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(block, window)
+    return _built[name]
+
+
+def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window: int, first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most the block's bytes and one text more
+    name = uuid.uuid4().hex
 
     def make():
-        patterns = build(shared.value, window)
+        patterns = built(name, shared.value, window)
 
         def call(column: pa.Array, *before: pa.Array) -> list[pa.Array]:
             counts, all_spans, all_items = [], [], []
@@ -163,16 +179,14 @@ def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window:
 
         return call
 
-    return with_arrow(docs, [text] if first else [text, "hit_spans", "items"], FIELDS, make, keep)
+    return with_arrow(docs, [text] if first else [text, "hit_spans", "items"], FIELDS, make)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns only."""
-    names = {f.name for f in FIELDS}
-    held = docs.select(*[F.col(c).alias(f"\x02{i}") for i, c in enumerate(docs.columns)])
-    place = f"\x02{docs.columns.index('text')}"
-    found = find_benchmark(held, benchmark, place, window)
-    clean = found.where(F.size("hit_spans") == 0).drop(*names)
+    held = docs.select(*[F.col(quoted(c)).alias(f"\x02{i}") for i, c in enumerate(docs.columns)])
+    found = find_benchmark(held, benchmark, f"\x02{docs.columns.index('text')}", window)
+    clean = found.where(F.size("hit_spans") == 0)
     return clean.select(*[F.col(f"\x02{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

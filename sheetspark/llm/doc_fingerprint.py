@@ -14,9 +14,13 @@ doc_id with about ``RANGE_ROWS`` documents each are the only groups; the first
 document of a range also stands, as a guest, at the end of the range before, and the
 first of all at the end of the last. So one shuffle of the texts serves all of it.
 
+There are at most ``MAX_RANGES`` ranges, which bounds how many tasks share the work;
+what a range has more it sorts and sums with spilling, so results don't change.
+
 Results at the edges: null text is empty; an empty text has the empty fingerprint,
 which is like another empty one and unlike all else; a text without words is one
-term; a null doc_id comes first; equal doc_ids are ordered by a hash of the text;
+term; a null doc_id comes first; all rows without one are in the first range; equal
+doc_ids are ordered by a hash of the text; a very long text is one row like others;
 an empty table stays empty; other columns are ignored.
 """
 
@@ -70,7 +74,8 @@ PLACE = ("guest", "doc_id", "th")
 def with_next(docs: DataFrame) -> DataFrame:
     """part, guest, doc_id, th (hash of the text), text and following (the next document's text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    stats = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("m")).first()
+    nameless = F.min(F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    stats = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("m"), nameless.alias("h")).first()
     ranges = min(MAX_RANGES, max(1, stats["n"] // RANGE_ROWS))
     shares = [k / ranges for k in range(ranges)]
     found = rows.agg(F.percentile_approx("doc_id", shares, 10 * ranges + 10000).alias("q"), F.min("doc_id").alias("low")).first()
@@ -79,7 +84,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     last = len(bounds)
     own = F.greatest(F.lit(1), F.size(F.filter(lows, lambda b: b <= F.col("doc_id"))))
     starts = F.coalesce(F.array_contains(lows, F.col("doc_id")), F.lit(False))
-    first = F.col("doc_id").isNull() if stats["m"] < stats["n"] else F.col("doc_id") == F.lit(bounds[0])
+    # the first of all: of rows without a doc_id that of the least hash
+    first = F.col("doc_id").isNull() & (F.xxhash64("text") == F.lit(stats["h"])) if stats["m"] < stats["n"] else F.col("doc_id") == F.lit(bounds[0])
     seat = lambda part, guest: F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
     none = F.array().cast("array<struct<part:int,guest:int>>")
     seats = F.concat(

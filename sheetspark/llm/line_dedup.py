@@ -16,8 +16,9 @@ needs, and no pairs within a group are made. The edit distance of each line that
 would go and its witness is then verified on the texts.
 
 Results at the edges: null text stays null; rows that are equal in doc_id and text
-share their places, so none of them is earlier; a null doc_id comes first; other
-columns pass unchanged; an empty table stays empty.
+share their places, so none of them is earlier; a null doc_id comes first; a very
+long text is cut to its lines, a very long line is compared by pieces; other columns
+pass unchanged, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ it shuffles. The verdicts are joined back, by hash, in a join that Spark can spl
 where one value is in a third of all rows.
 
 Results at the edges: null or empty text has no spans; a null owner counts as no
-owner, a null repository as none; equal rows get equal results; an empty table
+owner, a null repository as none; equal rows get equal results; a very long text is
+scanned whole; result columns replace input columns of their names; an empty table
 stays empty.
 """
 
