@@ -16,17 +16,20 @@ out its smallest parts, which say little, while they are s at most. Lists are
 scanned in two rounds. First each member is compared with the list's centre, the
 member that shares most lists; groups of near copies fall together by one
 comparison a member. Then, where a list still spans several components, members of
-different ones are compared if their parity maps leave room for a link: the bits in
-which the maps differ are a lower bound of the elements in which the sets do.
-Comparisons count the intersection exactly.
+different ones are compared, in bounded blocks of the list, if their parity maps leave
+room for a link: the bits in which the maps differ are a lower bound of the elements
+in which the sets do. A map of 512 bits tells nothing of sets with thousands of
+elements, so these have wide maps as well, of a bit an element, which are looked at
+before any such set is fetched. Comparisons count the intersection exactly.
 
 Sets that are equal are one class from the start, so copies cost nothing after.
 Elements are 64-bit hashes of the words.
 
 Results at the edges: a document with fewer words than n has one element, all its
 words; one without words or text has none and links with nothing; equal rows are
-equal sets; a null doc_id takes part but is never the smallest; other columns are
-ignored; an empty table gives an empty result.
+equal sets; a very long text is hashed in pieces of ``TEXT_RUN`` bytes; a null doc_id
+takes part but is never the smallest; other columns are ignored, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 TEXT_RUN = 400_000
 RATIO = 1.5  # of a size class
 HEAVY_WEIGHT = 8
+WIDE_FROM = 1000  # elements from which on a set has a wide map
+LIST_BLOCK = 2000  # members of an open list that meet in one block
 BROADCAST_IDS = 4_000_000  # 32 MB of ids
 
 
@@ -67,25 +72,57 @@ def powers(n: int) -> np.ndarray:
         return np.cumprod(np.full(n, BASE, np.uint64))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and how many words each text has."""
-    parts = [t.encode().translate(ASCII_LOWER) for t in texts]
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words of a stretch of bytes begin and end, and a sum over each one's bytes and their places."""
     blank = BLANKS[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    closes = np.cumsum([len(p) + 1 for p in parts])
-    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, closes))))
     if not len(starts):
-        return np.empty(0, np.uint64), counts
+        return starts, ends, np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        # place in its word of each byte; a word's hash is a sum over its bytes
         place = np.zeros(len(data), np.int64)
         place[starts[0] :] = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
         table = powers(1 << max(10, int(place.max() + 1).bit_length()))
         values = np.where(blank, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * table[place])
-        sums = np.add.reduceat(values, starts)
-    return mix(sums + (ends - starts).astype(np.uint64)), counts
+        return starts, ends, np.add.reduceat(values, starts)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and how many words each text has."""
+    parts = [t.encode().translate(ASCII_LOWER) for t in texts]
+    if len(parts) == 1 and len(parts[0]) > 2 * TEXT_RUN:
+        hashes = long_text(parts[0])
+        return hashes, np.array([len(hashes)])
+    starts, ends, sums = byte_sums(np.frombuffer(b" ".join(parts) + b" ", np.uint8))
+    closes = np.cumsum([len(p) + 1 for p in parts])
+    counts = np.diff(np.concatenate(([0], np.searchsorted(starts, closes))))
+    with np.errstate(over="ignore"):
+        return mix(sums + (ends - starts).astype(np.uint64)), counts
+
+
+def long_text(data: bytes) -> np.ndarray:
+    """The same for one text, piece by piece; a word that a cut divides is summed over its pieces."""
+    out: list[np.ndarray] = []
+    open_sum, open_size = np.zeros(1, np.uint64), 0
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), TEXT_RUN):
+            piece = np.frombuffer(data, np.uint8, min(TEXT_RUN, len(data) - at), at)
+            starts, ends, sums = byte_sums(piece)
+            sizes = ends - starts
+            if open_size and (not len(starts) or starts[0] > 0):
+                out.append(mix(open_sum + np.uint64(open_size)))
+                open_size = 0
+            if open_size:
+                sums[0] = (open_sum + sums[0] * np.uint64(pow(BASE, open_size, 1 << 64)))[0]
+                sizes[0] += open_size
+                open_size = 0
+            if len(ends) and ends[-1] == len(piece):
+                open_sum, open_size = sums[-1:].copy(), int(sizes[-1])
+                sums, sizes = sums[:-1], sizes[:-1]
+            out.append(mix(sums + sizes.astype(np.uint64)))
+        if open_size:
+            out.append(mix(open_sum + np.uint64(open_size)))
+    return np.concatenate(out)
 
 
 def element_sets(texts: list[str], n: int) -> list[np.ndarray]:
@@ -215,6 +252,29 @@ def parities(elements: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_map(elements: np.ndarray) -> bytes | None:
+    """The size of a large set and a parity map of at least a bit an element; as long as a power of two."""
+    n = len(elements)
+    if n <= WIDE_FROM:
+        return None
+    bits = 1 << (n - 1).bit_length()
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return n.to_bytes(8, "little") + np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_room(a: bytes | None, b: bytes | None, num: int, den: int) -> bool:
+    """The same as ``room`` by wide maps; a map folds to half its length by the parity of its halves."""
+    if a is None or b is None:
+        return True
+    both = int.from_bytes(a[:8], "little") + int.from_bytes(b[:8], "little")
+    x, y = (np.frombuffer(m, np.uint8, offset=8) for m in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    apart = int(np.bitwise_count(x ^ y).sum())
+    return den * (both - apart) >= num * (both + apart)
+
+
 def room(p: str, q: str, num: int, den: int) -> str:
     """Whether sizes and maps leave two sets room for a link, as SQL over two row names."""
     apart = " + ".join(f"bit_count({p}.{b} ^ {q}.{b})" for b in BITS)
@@ -223,14 +283,14 @@ def room(p: str, q: str, num: int, den: int) -> str:
 
 
 def with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, set_id and the parity map of each document's set."""
-    fields = [T.StructField(c, T.LongType()) for c in ("size", "set_id", *BITS)]
+    """doc_id, size, set_id, the parity map and the wide map of each document's set."""
+    fields = [*[T.StructField(c, T.LongType()) for c in ("size", "set_id", *BITS)], T.StructField("wide", T.BinaryType())]
 
     def make():
         def call(column: pa.Array) -> list[pa.Array]:
             sets = element_sets(texts_of(column), n)
             maps = np.array([parities(s) for s in sets], np.int64).reshape(len(sets), len(BITS))
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(BITS))]]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), *[pa.array(maps[:, k].copy()) for k in range(len(BITS))], pa.array([wide_map(s) for s in sets], pa.binary())]
 
         return call
 
@@ -307,6 +367,23 @@ def verified(pairs: DataFrame, elements: DataFrame, num: int, den: int) -> DataF
     return with_arrow(both, ["x", "y"], [T.StructField("linked", T.BooleanType())], make, ["a", "b"]).where("linked").select("a", "b")
 
 
+def with_room(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) but for those of large sets whose wide maps (set_id, wide) leave no room for a link."""
+    left, right = (wide.select(F.col("set_id").alias(k), F.col("wide").alias(w)) for k, w in (("a", "x"), ("b", "y")))
+    # a pair of which only one is large has no map to compare, so all others stay as they are
+    large = pairs.join(wide.select(F.col("set_id").alias("a")), "a", "left_semi").join(wide.select(F.col("set_id").alias("b")), "b", "left_semi")
+    small = pairs.join(large, ["a", "b"], "left_anti")
+
+    def make():
+        def call(x: pa.Array, y: pa.Array) -> list[pa.Array]:
+            return [pa.array([wide_room(p, q, num, den) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.bool_())]
+
+        return call
+
+    tried = with_arrow(large.join(left, "a").join(right, "b"), ["x", "y"], [T.StructField("room", T.BooleanType())], make, ["a", "b"])
+    return small.select("a", "b").unionByName(tried.where("room").select("a", "b"))
+
+
 def shared_lists(keys: DataFrame) -> DataFrame:
     """The rows of keys that several sets have, with df, about how many."""
     dealt = keys.repartition("key")  # the one shuffle of all keys: counting and picking both use it
@@ -331,10 +408,14 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     classes = table(sets.where("size > 0").groupBy("set_id", "size").agg(F.min("doc_id").alias("first_doc"), *[F.max(b).alias(b) for b in BITS]), "classes")
     maps = classes.select("set_id", *BITS)
 
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link. Sets are fetched for what the maps have left, and no others."""
-        ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-        wanted = table(classes.join(ids, "set_id", "left_semi").select("set_id", "first_doc"), "wanted")
+        wide = table(sets.where("wide is not null").select("set_id", "wide").join(ends_of(pairs), "set_id", "left_semi").dropDuplicates(["set_id"]), "wide")
+        pairs = table(with_room(pairs, wide, num, den), "near")
+        wanted = table(classes.join(ends_of(pairs), "set_id", "left_semi").select("set_id", "first_doc"), "wanted")
         return verified(pairs, table(elements_of(docs, wanted, n), "elements"), num, den)
 
     keys = table(shared_lists(key_rows(docs, n, num, den)), "lists")
@@ -357,14 +438,7 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     links = table(links.unionByName(checked(first)), "linked")
     groups = components(links, scratch)
 
-    # what stands in lists that still span several components
-    placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = placed.select("key", "set_id", "size", F.coalesce("component", "set_id").alias("component"))
-    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    placed = table(placed.join(spans, "key", "left_semi").join(maps, "set_id"), "open")
-    p, q = placed.alias("p"), placed.alias("q")
-    second = p.join(q, F.expr("p.key = q.key and p.component < q.component and " + room("p", "q", num, den)))
-    second = second.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
+    second = open_pairs(lists, groups, maps, num, den, scratch)
     second = table(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more = None if second.isEmpty() else table(checked(second), "linked")
     if more is not None and not more.isEmpty():
@@ -377,6 +451,25 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     return rows.select("doc_id", "size", "set_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def open_pairs(lists: DataFrame, groups: DataFrame, maps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a list and whose maps leave room for a link.
+
+    A long list is cut into blocks of about ``LIST_BLOCK`` members; each pair of blocks meets on its own,
+    in whatever task.
+    """
+    placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = placed.select("key", "set_id", "size", F.coalesce("component", "set_id").alias("component"))
+    spans = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    spans = spans.where("x <> y").select("key", F.expr(f"cast((n + {LIST_BLOCK - 1}) div {LIST_BLOCK} as int)").alias("blocks"))
+    own = scratch.table(placed.join(spans, "key").join(maps, "set_id"), "open").withColumn("block", F.expr("cast(pmod(xxhash64(set_id), blocks) as int)"))
+    # of two blocks the lower meets the higher, and each meets itself
+    p = own.withColumn("other", F.explode(F.expr("sequence(block, blocks - 1)"))).alias("p")
+    q = own.withColumn("other", F.explode(F.expr("sequence(0, block)"))).alias("q")
+    meet = "p.key = q.key and p.other = q.block and p.block = q.other and p.component <> q.component and (p.block <> q.block or p.component < q.component)"
+    pairs = p.join(q, F.expr(f"{meet} and {room('p', 'q', num, den)}"))
+    return pairs.select(F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents without all but one of each component: that with the smallest doc_id, or any one of equal rows."""
     found = near_sets(docs, n, num, den)
