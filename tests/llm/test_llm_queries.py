@@ -1,5 +1,7 @@
 """The registered queries on a small scale, and the pipeline by its stages."""
 
+import zlib
+
 import numpy as np
 import pytest
 import tiktoken
@@ -22,13 +24,17 @@ def test_query_has_a_row_a_document(name, spark, sf):
     assert n == spark.read.parquet(f"{sf}/documents.parquet").count() or name == "op10_token_counts" and n > 10
 
 
-def test_token_counts_are_those_of_distinct_texts(spark, sf):
+def test_token_counts_of_all_and_of_distinct_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     engine = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    first = docs.sort_values("doc_id").drop_duplicates("text")
-    want = sum(len(engine.encode_ordinary(t)) + 1 for t in first["text"])
-    got = queries()["op10_token_counts"](spark, sf).agg(F.sum("n_tokens").alias("t"), F.sum("n_docs").alias("d")).first()
-    assert (got["t"], got["d"]) == (want, len(first))
+    docs["n"] = [len(engine.encode_ordinary(t)) + 1 for t in docs["text"]]
+    docs["first"] = ~docs.sort_values("doc_id").duplicated("text")
+    want = {}
+    for r in docs.itertuples():
+        was = want.get((r.source, r.lang), (0, 0, 0, 0))
+        want[r.source, r.lang] = tuple(a + b for a, b in zip(was, (1, r.n, int(r.first), r.n * r.first), strict=True))
+    got = {(r["source"], r["lang"]): tuple(r)[3:] for r in queries()["op10_token_counts"](spark, sf).collect()}
+    assert got == want
 
 
 def test_pipeline(spark, sf):
@@ -52,12 +58,26 @@ def test_pipeline(spark, sf):
 
 def test_pipeline_at_the_edges(spark, sf):
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "Some words that are here.\nAnd a line.", None, "s", 1), (3, "Some words that are here.\nAnd a line.", None, "s", 1)]
+    known, unknown = [i for i in range(3, 60) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    text, other = "Some words that are here.\nAnd a line.", "Other words are there, too, and more of them."
+    rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (2, "12 34", "en", "s", 5), (known, text, "en", "s", 1), (known, text, "en", "s", 1), (unknown, other, None, "s", None), (None, other, None, "s", 9)]
     for given in (rows, []):
         docs = spark.createDataFrame(given, schema)
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-        docs.collect()
+        # columns with the names of results
+        docs = docs.withColumns({c: F.lit(7) for c in ("score", "bits_per_byte", "N_LINES", "n_dropped", "items", "size", "a.b")})
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns
+            docs = out
+        kept = sorted((tuple(r) for r in docs.collect()), key=repr)
+        # repeated rows share their lines' places, so they keep them, and stay as rows of one document;
+        # a null doc_id comes first, so its line stays and the later document has none left
+        want = [(known, text, "en", "s", len(text), *[7] * 7)] * 2 + [(None, other, "en", "s", len(other), *[7] * 7)]
+        assert kept == (sorted(want, key=repr) if given else [])
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert len(last) == len(kept) and all(r["round_trip"] for r in last)
+    untaught = spark.createDataFrame([(known, text, None, "s", 1)], schema)
+    assert corpus_pipeline.identify_language(spark, untaught, sf).count() == 0
 
 
 def test_token_offsets_reach_the_end(spark, sf, monkeypatch):

@@ -21,6 +21,7 @@ import public_tokenizers as P
 from sheetspark.llm import (
     byte_bpe,
     chat_format,
+    common,
     components,
     decontaminate,
     doc_fingerprint,
@@ -170,15 +171,17 @@ def ppm_brute(train, text, order=3):
     return bits
 
 
-def test_code_lengths_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MIN_COUNT", 1)
+@pytest.mark.parametrize("order", [0, 2, 3])
+def test_code_lengths_by_brute_force(spark, order, monkeypatch):
     train = {"a": ["the cat sat on the mat", "on the mat"], "b": ["der hund und die katze", "die katze"]}
     rows = spark.createDataFrame([(i, t, lang, "s") for lang, ts in train.items() for i, t in enumerate(ts)], SCHEMA)
-    model = language_id.fit(rows, fit_docs=10**6)
-    texts = ["the hund sat", "zzzé!", "on", "der der mat katze on"]
-    got = language_id.code_lengths(texts, model)
-    for k, lang in enumerate(model.langs):
-        assert np.allclose(got[:, k], [ppm_brute(train[lang], t) for t in texts], rtol=1e-5)
+    model = language_id.fit(rows, fit_docs=10**6, max_order=order)
+    texts = ["the hund sat", "zzzé!", "on", "der der mat katze on", "the mat é " * 40]
+    for run in (language_id.TEXT_RUN, 30):  # the last text in one piece, and in several
+        monkeypatch.setattr(language_id, "TEXT_RUN", run)
+        got = language_id.code_lengths(texts, model)
+        for k, lang in enumerate(model.langs):
+            assert np.allclose(got[:, k], [ppm_brute(train[lang], t, order) for t in texts])
 
 
 def test_language_on_held_out_documents(spark, sf):
@@ -187,8 +190,7 @@ def test_language_on_held_out_documents(spark, sf):
     found = language_id.identify(docs, model).where(language_id.held_out(F.col("doc_id")))
     n, right = found.count(), found.where("lang_pred = lang").count()
     assert n > 200 and right / n > 0.97
-    small = language_id.fit(docs, fit_docs=100, model_bytes=1 << 20)
-    assert small.cost.nbytes <= 2 << 20
+    small = language_id.fit(docs, fit_docs=100)
     assert language_id.identify(docs, small).where("lang_pred = lang").count() > 900
     ids = {r["doc_id"]: r["h"] for r in docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in ids.items())
@@ -223,7 +225,11 @@ def test_layouts_become_the_same_turns(spark):
     more = [json.dumps({"instruction": "Add", "input": "1 2", "output": "3", "system": "Be brief"}), '{"odd": 1}', "no json", None, '[1]', '{"messages": []}']
     got = chat_format.canonical_turns(spark.createDataFrame([(i, r) for i, r in enumerate(more)], "conv_id long, record string")).orderBy("conv_id").collect()
     assert [tuple(t) for t in got[0]["turns"]] == [("system", "Be brief"), ("user", "Add\n\n1 2"), ("assistant", "3")]
-    assert all(r["error"] for r in got[1:5] if r["conv_id"] != 1)
+    assert all(r["error"] and not r["turns"] for r in got[1:6])
+    bad = ['{"messages": [["x"], {"role": "a", "content": "b"}]}', '{"messages": [null, {"role": "a", "content": "b"}]}', '{"messages": "x"}', "[" * 9000, '{"role": null, "text": null}', "3"]
+    for r in chat_format.canonical_turns(spark.createDataFrame([(i, r, 1) for i, r in enumerate(bad)], "conv_id long, record string, `a.b` int")).collect():
+        assert r["error"] and not r["turns"] and r["a.b"] == 1
+    assert chat_format.canonical({"role": "human", "text": "x"})[0] == [("human", "x")]
 
 
 @given(st.text(alphabet="<>[]/\\sINST ok\n", max_size=60))
@@ -232,8 +238,9 @@ def test_escapes_are_undone_and_hide_control_strings(text):
     hidden = chat_format.escape(text)
     assert chat_format.unescape(hidden) == text
     assert not re.search(r"</?s>|\[/?INST\]", hidden)
-    out = chat_format.head("user") + hidden + chat_format.END
-    assert [(r, chat_format.unescape(b)) for r, b, _ in chat_format.parse(out + out)] == [("user", text)] * 2
+    for role in ("user", text):
+        out = chat_format.head(role) + hidden + chat_format.END
+        assert [(r, chat_format.unescape(b)) for r, b, _ in chat_format.parse(out + out)] == [(role, text)] * 2
 
 
 def test_formatted_conversations_by_brute_force(spark):
@@ -497,6 +504,26 @@ def test_near_sets_at_the_edges(spark):
     assert {r["component_id"] for r in ngram_join.near_sets(pair, 3, 90).collect()} == {1}
 
 
+def test_a_long_text_in_pieces(monkeypatch):
+    text = "  ".join("w" * (k % 37 + 1) + str(k) for k in range(3000)) + " " + "ab" * 900 + " end"
+    for t in (text, " " + text + "\n", "x" * 5000, " " * 5000):
+        whole = ngram_join.element_sets([t], 3)[0]
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "TEXT_RUN", 101)
+            assert np.array_equal(ngram_join.element_sets([t], 3)[0], whole)
+
+
+def test_blocks_and_wide_maps_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.03 else f"n{rng.randrange(10**6)}" for w in base)) for i in range(60)]
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "WIDE_FROM", 20)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["size"], r["component_id"]) for r in ngram_join.near_sets(df, 3, 80, 100).collect()}
+    assert got == link_brute(docs, 3, 80, 100) and len({c for _, c in got.values()}) > 1
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 3, 4, 5])
 def test_a_run_of_fewer_words_than_n(spark, count):
     text = " ".join("abcde"[:count])
@@ -522,6 +549,19 @@ def test_linked_sets_share_a_key(elements, data):
         assert any(of == 0 or 100 * of >= 90 * (len(a) + len(b) - of) for _, of in keys[0] & keys[1])
 
 
+@given(st.integers(1001, 5000), st.integers(0, 900), st.integers(0, 900), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_wide_maps_rule_no_link_out(size, gone, added, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+    b = np.unique(np.concatenate((a[gone:], rng.integers(0, 2**63, added).astype(np.uint64))))
+    common = len(np.intersect1d(a, b))
+    linked = 100 * common >= 80 * (len(a) + len(b) - common)
+    assert ngram_join.wide_room(ngram_join.wide_map(a), ngram_join.wide_map(b), 80, 100) or not linked
+    other = np.unique(np.concatenate((a[: size // 3], rng.integers(0, 2**63, size).astype(np.uint64))))
+    assert not ngram_join.wide_room(ngram_join.wide_map(a), ngram_join.wide_map(other), 80, 100)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(10, 40)] + [(99, k) for k in range(50, 70)] + [(7, 7), (3, 2), (2, 3), (3, 2)]
     df = spark.createDataFrame(links, "a long, b long")
@@ -531,11 +571,69 @@ def test_components_of_chains_and_stars(spark):
         assert components.components(df.limit(0), scratch).count() == 0
 
 
+# ---- columns and long texts
+
+
+def test_columns_of_any_name_pass_and_long_texts_work(spark, reference, monkeypatch):
+    long = " ".join(f"word{k % 977} and more, it's {k}" for k in range(40_000)) + "x" * 100_000
+    rows = spark.createDataFrame([(1, long, "en", "s"), (2, None, "en", "s"), (3, "a short one", "en", "s")], SCHEMA)
+    rows = rows.withColumn("a.b", F.col("doc_id")).withColumn("back`tick", F.col("doc_id")).withColumn("HIT_SPANS", F.lit(1))
+    bench = spark.createDataFrame([(1, " ".join(long.split()[5000:5020]))], "item_id long, text string")
+    model = language_id.fit(rows)
+    extra = ["a.b", "back`tick"]
+    for out in (
+        language_id.identify(rows, model),
+        line_dedup.dedup_lines(rows),
+        byte_bpe.encode(rows, RANKS),
+        decontaminate.find_benchmark(rows, bench, block_bytes=10),
+        secret_scan.scan(rows),
+        ngram_join.one_of_each(rows),
+    ):
+        assert set(extra) <= set(out.columns)
+        assert {(r["doc_id"], r["a.b"], r["back`tick"]) for r in out.collect()} == {(k, k, k) for k in (1, 2, 3)}
+    assert decontaminate.decontaminated(rows, bench).columns == rows.columns
+    assert {r["doc_id"] for r in decontaminate.decontaminated(rows, bench).collect()} == {2, 3}
+    assert doc_fingerprint.compared(rows).where("n_chars > 0").count() == 2
+    monkeypatch.setattr(byte_bpe, "TEXT_RUN", 1000)
+    assert np.array_equal(byte_bpe.loaded(RANKS).encode([long, "x"])[0], reference.encode_ordinary(long))
+    assert len(byte_bpe.split_long(long)) > 100
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    description = json.load(open(WORDS))
+    assert token_records.can_be_cut(description)
+    description["normalizer"]["normalizers"][1]["content"] = "_"
+    assert not token_records.can_be_cut(description)
+    description["pre_tokenizer"] = None
+    with open(tmp_path / "other.json", "w") as file:
+        json.dump(description, file)
+    tokenizer = Tokenizer.from_file(str(tmp_path / "other.json"))
+    out = fresh_path(spark, "t")
+    token_records.write_records(table(spark, ["Two words", "a  b\nc"]), out, str(tmp_path / "other.json"), end_id=2)
+    got = {r["doc_id"]: r["ids"] for r in token_records.read_records(spark, out).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(["Two words", "a  b\nc"])}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 # ---- token rollup
 
 
 def test_rollup_by_brute_force(spark):
-    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
+    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"), buckets=4)
     schema = "op string, doc_id long, source string, lang string, version string, n_tokens long, seq int"
     assert rollup.totals().count() == 0
     rng, held, batches = random.Random(2), {}, []
@@ -559,9 +657,12 @@ def test_rollup_by_brute_force(spark):
     assert {(r["source"], r["lang"], r["version"]): 1000 * r["n_docs"] + r["n_tokens"] for r in rollup.totals().collect()} == got
 
 
+CHANGE = "op string, doc_id long, source string, lang string, version string, n_tokens long, seq int"
+
+
 def test_a_second_writer_of_a_batch_changes_nothing(spark, monkeypatch):
-    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"))
-    rows = spark.createDataFrame([("insert", 1, "a", "en", "v", 5, 0)], "op string, doc_id long, source string, lang string, version string, n_tokens long, seq int")
+    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"), buckets=3)
+    rows = spark.createDataFrame([("insert", 1, "a", "en", "v", 5, 0)], CHANGE)
     assert rollup.commit("b", rows)
     seen = iter([False])  # the writer looked before the other had committed
     real = rollup.committed
@@ -570,8 +671,32 @@ def test_a_second_writer_of_a_batch_changes_nothing(spark, monkeypatch):
     assert rollup.totals().first()["n_tokens"] == 5
 
 
+def test_two_writers_of_one_document(spark, monkeypatch):
+    root = fresh_path(spark, "rollup")
+    one, other = token_rollup.Rollup(spark, root, buckets=3), token_rollup.Rollup(spark, root, buckets=3)
+    rows = lambda n: spark.createDataFrame([("insert", 1, "a", "en", "v", n, 0), ("insert", None, "a", "en", "v", n, 0)], CHANGE)
+    real, turns = one._publish, []
+
+    def late(attempt, version):  # the other commits after this one has read the ledger
+        if not turns:
+            turns.append(other.commit("other", rows(5)))
+        return real(attempt, version)
+
+    monkeypatch.setattr(one, "_publish", late)
+    assert one.commit("one", rows(7)) and turns == [True]
+    assert (one.totals().first()["n_docs"], one.totals().first()["n_tokens"]) == (2, 14)
+    assert one.entries().count() == 2 and one.head() == 2
+    # a batch that touches one bucket leaves the others where they were
+    before = one.manifest(2)
+    one.commit("third", spark.createDataFrame([("delete", 1, None, None, "v", 0, 0)], CHANGE))
+    assert sum(v == 3 for v in one.manifest(3).values()) + len(before) - len(one.manifest(3)) <= 1
+    assert one.totals().first()["n_docs"] == 1
+
+
 def test_corpus_totals(spark, reference):
-    docs = spark.createDataFrame([(1, "same text", "en", "a"), (2, "same text", "en", "b"), (3, "other", None, "a"), (4, None, "en", "a"), (5, "same text", "en", "a")], "doc_id long, text string, lang string, source string")
-    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in token_rollup.corpus_totals(docs, RANKS, "v", fresh_path(spark, "rollup")).collect()}
+    docs = spark.createDataFrame([(1, "same text", "en", "a", 1), (2, "same text", "en", "b", 1), (3, "other", None, "a", 1), (4, None, "en", "a", 1), (5, "same text", "en", "a", 1), (None, "no id", "en", "c", 1)], "doc_id long, text string, lang string, source string, `n.tokens` int")
+    got = {(r["source"], r["lang"]): tuple(r)[3:] for r in token_rollup.corpus_totals(docs, RANKS, "v", fresh_path(spark, "rollup")).collect()}
     n = lambda t: len(reference.encode_ordinary(t)) + 1
-    assert got == {("a", "en"): (2, n("same text") + 1), ("a", None): (1, n("other"))}
+    same = n("same text")
+    assert got == {("a", "en"): (3, 2 * same + 1, 2, same + 1), ("b", "en"): (1, same, 0, 0), ("a", None): (1, n("other"), 1, n("other")), ("c", "en"): (1, n("no id"), 1, n("no id"))}
+    assert token_rollup.corpus_totals(docs.limit(0), RANKS, "v", fresh_path(spark, "rollup")).count() == 0
