@@ -2,6 +2,12 @@
 
 Each stage gets what its predecessor kept, read back from Parquet, and returns the
 columns of ``documents``; the last returns token ids.
+
+Results at the edges: a null or empty text, or one without letters, is in no language
+and goes in the first stage; a null lang is filled in; of equal rows, and of equal or
+near texts, lines that came before go, and one document of a group stays; columns
+beyond those of ``documents`` pass unchanged, whatever their names, up to the last stage; a
+very long text is a document like others; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -12,26 +18,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join
-from sheetspark.llm.common import materialized
+from sheetspark.llm.common import materialized, quoted
+
+#: Bits for each byte above which no language is taken to have written a text. The first bytes of a text cost most, as
+#: nothing is known before them; so a text may cost SPARE_BITS beyond that.
+MOST_BITS, SPARE_BITS = 7.0, 64.0
 
-#: Bits for each byte above which no language is taken to have written a text, and the bytes that it takes to say so.
-MOST_BITS, LEAST_BYTES = 7.0, 100
+
+def alongside(docs: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on some columns, with all others hidden under names that no result has; their own names come back after."""
+    hidden = {c: f"\x03{i}" for i, c in enumerate(docs.columns) if c not in columns}
+    out = work(docs.select(*[F.col(quoted(c)).alias(hidden.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(hidden.get(c, c)).alias(c) for c in docs.columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are in no language: without letters, or too costly to code under every one. A null lang is filled in."""
-    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model)
-    plain = (F.col("bits_per_byte") <= MOST_BITS) | (F.octet_length("text") < LEAST_BYTES)
-    kept = found.where((F.col("lang_pred") != "und") & plain)
-    return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id")) | F.col("doc_id").isNull()).select("doc_id", "text", "lang"))
+
+    def work(rows: DataFrame) -> DataFrame:
+        size = F.octet_length("text")
+        plain = F.col("bits_per_byte") * size <= MOST_BITS * size + SPARE_BITS
+        found = language_id.identify(rows, model).where((F.col("lang_pred") != "und") & plain)
+        return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return alongside(docs, ["doc_id", "text", "lang"], work)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that an earlier line equals within one edit; documents of which nothing is left go."""
-    found = line_dedup.dedup_lines(docs)
-    left = found.where((F.col("n_dropped") == 0) | (line_dedup.trimmed(F.regexp_replace("text", "\n", " ")) != ""))
-    return left.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+    def work(rows: DataFrame) -> DataFrame:
+        found = line_dedup.dedup_lines(rows)
+        left = found.where((F.col("n_dropped") == 0) | (line_dedup.trimmed(F.regexp_replace("text", "\n", " ")) != ""))
+        return left.withColumn("n_chars", F.length("text").cast("long"))
+
+    return alongside(docs, ["doc_id", "text", "n_chars"], work)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
