@@ -67,6 +67,17 @@ def crop_range(start: Column, length: Column, size: Column) -> tuple[Column, Col
     return at, F.least(half_away(F.greatest(length, F.lit(0.0)) * size).cast("int"), size - at)
 
 
+def upright_size(width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:
+    """The size of a picture that stands as its EXIF orientation asks; from 5 on its sides change places."""
+    lies = orientation >= 5
+    return F.when(lies, height).otherwise(width), F.when(lies, width).otherwise(height)
+
+
+def mask_place(x: Column, y: Column, full: tuple[Column, Column], small: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The pixel of a small mask that stands for a pixel of the full picture."""
+    return F.floor(x * small[0] / full[0]).cast("int"), F.floor(y * small[1] / full[1]).cast("int")
+
+
 def page_is_wide(width: Column, height: Column) -> Column:
     return width > height
 

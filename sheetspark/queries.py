@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -380,10 +380,12 @@ def p15_straighten_corners(spark, sf_dir):
     return shapes(spark, sf_dir).select("image_id", *[F.round(c[k], 6).alias(n) for k, n in ((0, "x0"), (1, "y0"), (4, "x2"), (5, "y2"))])
 
 
-@query(PX + " select a.image_id, count(*) as n from px a join px m on m.image_id = a.image_id and m.x = a.x * 64 // 64 and m.y = a.y * 64 // 64 and m.sheet where a.v > 100 group by a.image_id")
+@query(PX + " select a.image_id, count(*) as n from px a join px m on m.image_id = a.image_id and m.x = a.x // 2 * 2 and m.y = a.y // 2 * 2 and m.sheet where a.v > 100 group by a.image_id")
 def p16_on_paper(spark, sf_dir):
-    small = mask(spark, sf_dir).select("image_id", F.col("x").alias("mx"), F.col("y").alias("my"))
-    at = px(spark, sf_dir).where("v > 100").withColumns({"mx": F.expr(f"cast(least(x * {SIDE} div {SIDE}, {SIDE - 1}) as int)"), "my": F.expr(f"cast(least(y * {SIDE} div {SIDE}, {SIDE - 1}) as int)")})
+    """Pixels on a mask of half the size."""
+    small = mask(spark, sf_dir).where("x % 2 = 0 and y % 2 = 0").select("image_id", F.expr("x div 2").cast("int").alias("mx"), F.expr("y div 2").cast("int").alias("my"))
+    full, half = (F.lit(SIDE), F.lit(SIDE)), (F.lit(SIDE // 2), F.lit(SIDE // 2))
+    at = px(spark, sf_dir).where("v > 100").withColumns(dict(zip(("mx", "my"), geometry.mask_place(F.col("x"), F.col("y"), full, half), strict=True)))
     return at.join(small, ["image_id", "mx", "my"], "left_semi").groupBy("image_id").agg(F.count("*").alias("n"))
 
 
@@ -612,14 +614,13 @@ def io8_io9_placed(spark, sf_dir):
 @query("select page_id as image_id, case when page_id % 5 = 0 then 'Scan' else 'doc' || page_id end as title from pages")
 def io10_title(spark, sf_dir):
     path = F.when(F.col("image_id") % 5 == 0, F.lit("/a/b/")).otherwise(F.concat(F.lit("/a/b/doc"), F.col("image_id").cast("string"), F.lit(".pdf")))
-    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return ids(spark, sf_dir).select("image_id", F.coalesce(F.nullif(stem, F.lit("")), F.lit("Scan")).alias("title"))
+    return ids(spark, sf_dir).select("image_id", catalog.title_of(path).alias("title"))
 
 
 @query(f"select image_id, case when image_id % 9 >= 5 then height else width end as width, case when image_id % 9 >= 5 then width else height end as height from ({SHAPE})")
 def io17_upright_size(spark, sf_dir):
-    turned = F.col("image_id") % 9 >= 5
-    return shapes(spark, sf_dir).select("image_id", F.when(turned, F.col("height")).otherwise(F.col("width")).alias("width"), F.when(turned, F.col("width")).otherwise(F.col("height")).alias("height"))
+    w, h = geometry.upright_size(F.col("width"), F.col("height"), F.col("image_id") % 9)
+    return shapes(spark, sf_dir).select("image_id", w.alias("width"), h.alias("height"))
 
 
 # ---- catalogs
@@ -717,14 +718,67 @@ def w4_w5_positions(spark, sf_dir):
     return catalog.positions(files(spark, sf_dir))
 
 
-@query(FILES + " select scan_id, first_unscanned from states where first_unscanned is not null")
+@query(FILES + " select scan_id, num from page qualify row_number() over (partition by scan_id order by num) = 2")
+def w5_page_at(spark, sf_dir):
+    return catalog.page_at(files(spark, sf_dir), 2)
+
+
+@query(FILES + " select scan_id, state, row_number() over (order by scan_id desc) as place from states")
+def o1_all_scans(spark, sf_dir):
+    """The listing in order, and each row's place in it to tell the order by."""
+    listed = catalog.newest_first(states(spark, sf_dir)).select("scan_id", "state")
+    return listed.withColumn("place", F.row_number().over(Window.orderBy(F.desc("scan_id"))).cast("long"))
+
+
+@query(FILES + " select scan_id, num from page")
+def o2_numbers(spark, sf_dir):
+    return catalog.ascending(files(spark, sf_dir))
+
+
+@query(FILES + " select scan_id, min(num) as num from unscanned where num % 4 <> 1 group by scan_id")
 def o3_first_unscanned(spark, sf_dir):
-    return states(spark, sf_dir).where("first_unscanned is not null").select("scan_id", "first_unscanned")
+    rows = files(spark, sf_dir)
+    return catalog.first_unscanned(rows, catalog.numbers(rows, "photo").where("num % 4 = 1"))
+
+
+@query(FILES + """, stored as (select scan_id, num, num % 2 = 1 as grey from (select page_id // 8 as scan_id, (page_id % 8 + 1)::int as num from pages where page_id % 3 = 1))
+    select scan_id, coalesce(grey, false) as grey from (select distinct scan_id from p) left join (
+    select scan_id, arg_min(grey, num) as grey from stored join (select * from photo union select * from page) using (scan_id, num) group by scan_id) using (scan_id)""")
+def o4_first_stored_decides_grey(spark, sf_dir):
+    i = ids(spark, sf_dir)
+    stored = i.where("image_id % 3 = 1").select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"))
+    return catalog.is_grey(synthetic.scans(i), files(spark, sf_dir), stored.withColumn("grey", F.col("num") % 2 == 1))
 
 
-@query(FILES + " select scan_id, arg_min(num % 2 = 1, num) as grey from page group by scan_id")
-def o4_first_page_decides_grey(spark, sf_dir):
-    return catalog.numbers(files(spark, sf_dir), "page").groupBy("scan_id").agg(F.min_by(F.col("num") % 2 == 1, "num").alias("grey"))
+@query(FILES + """ select scan_id, pages || case when pages = 1 then ' page' else ' pages' end || ', the PDF and ' || photos || case when photos = 1 then ' photo' else ' photos' end || ' go. This cannot be undone.' as body from states""")
+def cat3_delete_text(spark, sf_dir):
+    return catalog.delete_text(states(spark, sf_dir))
+
+
+NAMES_SQL = """with n as (select page_id as p, page_id // 8 as scan_id, lpad((page_id % 8 + 1)::varchar, 4, '0') as num from pages), names as (
+    select scan_id, 'photo' as folder, num || '.jpg' as name, p from n where p % 3 <> 0 union all select scan_id, 'page', num || case when p % 5 = 0 then '.part' else '.jpg' end, p from n where p % 4 = 0
+    union all select scan_id, 'state', num || '.txt', p from n union all select scan_id, '', case p % 3 when 0 then 'scan.pdf' when 1 then 'other' else 'page' end, p from n)"""
+
+
+@query(NAMES_SQL + """ select scan_id, folder, name from names n where case when folder in ('photo', 'page') then not regexp_matches(name, '^[0-9]{4}[.]jpg$')
+    when folder = 'state' then not exists (select 1 from names k where k.scan_id = n.scan_id and k.folder in ('photo', 'page') and k.name = left(n.name, 4) || '.jpg') else name = 'other' end""")
+def cat6_debris(spark, sf_dir):
+    p, num = F.col("image_id"), F.lpad((F.col("image_id") % 8 + 1).cast("string"), 4, "0")
+    i = ids(spark, sf_dir)
+    name = lambda rows, folder, text: rows.select(F.expr("image_id div 8").alias("scan_id"), F.lit(folder).alias("folder"), text.alias("name"))
+    names = name(i.where("image_id % 3 <> 0"), "photo", F.concat(num, F.lit(".jpg")))
+    names = names.unionByName(name(i.where("image_id % 4 = 0"), "page", F.concat(num, F.when(p % 5 == 0, ".part").otherwise(".jpg"))))
+    names = names.unionByName(name(i, "state", F.concat(num, F.lit(".txt"))))
+    return catalog.debris(names.unionByName(name(i, "", F.when(p % 3 == 0, "scan.pdf").when(p % 3 == 1, "other").otherwise("page"))))
+
+
+@query()
+def r9_rewritten_pages(spark, sf_dir):
+    """Every third photo has stored values, the others are looked at anew; all become grey."""
+    photos = shots(spark, sf_dir).select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"), "image")
+    stored = photos.where("num % 3 = 0").select("scan_id", "num", F.struct(F.lit(90.0).cast("float").alias("crop_x"), F.lit(1).alias("turns")).alias("values"))
+    out = recipe.rewritten(photos, stored, grey=True)
+    return images.headers(out.drop("error"), "jpeg", ["scan_id", "num", "jpeg"]).select("scan_id", "num", "shape.*", F.md5("jpeg").alias("digest"), "error")
 
 
 @query(FILES + " select max(scan_id) as scan_id from states where state <> 'done'")
