@@ -21,8 +21,8 @@ from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngr
 from sheetspark.llm.common import materialized, quoted
 
 #: Bits for each byte above which no language is taken to have written a text. The first bytes of a text cost most, as
-#: nothing is known before them; so a text may cost SPARE_BITS beyond that.
-MOST_BITS, SPARE_BITS = 7.0, 64.0
+#: nothing is known before them, and a plain text may hold a number or a key; so a text may cost SPARE_BITS beyond that.
+MOST_BITS, SPARE_BITS = 7.0, 256.0
 
 
 def alongside(docs: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
