@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetspark.llm import byte_bpe, chat_format, decontaminate, doc_fingerprint, language_id, line_dedup, ngram_join, secret_scan, token_records, token_rollup
+from sheetspark.llm import byte_bpe, chat_format, decontaminate, doc_fingerprint, language_id, line_dedup, ngram_join, periodic_runs, secret_scan, source_mix, token_records, token_rollup, whitening
 from sheetspark.llm.common import fresh_path, materialized, with_arrow
 
 
@@ -119,6 +119,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_totals(docs, ranks, "byte_bpe_multi_50k", fresh_path(spark, "token-rollup"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, "embedding")
+    found = whitening.whiten(rows, model, "embedding", keep=["vec_id"])
+    n, explained, error = (model.n, model.explained, model.identity_error) if model else (0, [], 0.0)
+    shares = F.array(*[F.lit(e) for e in explained]).cast("array<double>")
+    found = found.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return found.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def planted_reading(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Every tenth document by hash is read with a period from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs, key="doc_id", reading=planted_reading, keep=["doc_id"])
+    better = "r.length * b.period > b.length * r.period"
+    found = found.withColumn("best", F.expr(f"aggregate(runs, get(runs, 0), (b, r) -> if({better}, r, b))"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_records": op1_token_records,
@@ -131,6 +181,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_token_counts": op10_token_counts,
+        "op11_whitening": op11_whitening,
+        "op12_source_mix": op12_source_mix,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
