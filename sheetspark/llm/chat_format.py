@@ -148,7 +148,12 @@ def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
 
     def read(text: str | None):
         try:
-            return canonical(json.loads(text or "null"))
+            found = canonical(json.loads(text or "null"))
+            for turn in found[0]:
+                "".join(turn).encode()
+            return found
+        except UnicodeEncodeError:
+            return [], None, "half of a surrogate pair, which no text can hold"
         except (ValueError, RecursionError):
             return [], None, "not JSON"
 

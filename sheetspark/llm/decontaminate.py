@@ -8,21 +8,22 @@ pattern allow the most. Where the shift is zero, the block picks a bucket, the
 pattern's first block picks within it, and a direct comparison confirms.
 
 Items are read in blocks of bounded bytes. A block's items go to the executors
-once, where each worker process builds its tables once. Between blocks the finds
-are written, and the next block's are merged with them; so neither the driver nor
-an executor holds more than one block of items, and with a single block, the usual
-case, nothing is written.
+once, where each worker process builds its tables once. A block that isn't the last
+writes its finds, by the hash of the text; the last one merges all of them into its
+own. So neither the driver nor an executor holds more than one block of items, no text
+is ever written, and with a single block, the usual case, nothing is.
 
 Results at the edges: a null or empty text has no words and is clean; items that
 are null or have no words match nothing; item_ids are told as strings and a null
-item_id is left out; equal documents get equal rows; an empty benchmark leaves all
-clean. The result columns replace input columns of the same names.
+item_id is left out; equal documents get equal rows; a very long text is searched whole,
+as one list of words; an empty benchmark leaves all clean, and an empty table stays empty. The result columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
+FOUND = ["hit_spans", "items"]
+BROADCAST_FINDS = 500_000  # spans and items of about 20 bytes
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -131,12 +134,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
     """
     keep = without(docs.columns if keep is None else keep, [f.name for f in FIELDS])
     hidden = {c: f"\x04{i}" for i, c in enumerate(dict.fromkeys([*keep, text]))}
-    out, first = docs.select(*[F.col(quoted(c)).alias(h) for c, h in hidden.items()]), True
+    out = docs.select(*[F.col(quoted(c)).alias(h) for c, h in hidden.items()])
+    own = F.unhex(F.md5(F.col(hidden[text]).cast("string")))
+    found, held = [], []
     for block in item_blocks(benchmark, block_bytes):
-        out = find_block(out if first else materialized(out, "decontaminate"), block, hidden[text], window, first)
-        first = False
-    if first:
-        out = find_block(out, [], hidden[text], window, True)
+        if held:
+            # what a block finds hangs on the text alone, so it is kept by the text's hash; texts are never written
+            part = find_block(out.select(hidden[text], own.alias("hash")), held, hidden[text], window, ["hash"])
+            part = part.where(F.size("items") > 0).select("hash", *FOUND).dropDuplicates(["hash"])
+            found.append(materialized(part, "decontaminate"))
+        held = block
+    if found:
+        # at most one row a block for each text
+        sums = reduce(DataFrame.unionByName, found).groupBy("hash").agg(*[F.flatten(F.collect_list(c)).alias(f"\x05{c}") for c in FOUND])
+        sums = materialized(sums.withColumnRenamed("hash", "\x05hash"), "decontaminate")
+        entries = sums.agg(F.sum(sum((F.size(f"\x05{c}") for c in FOUND), F.lit(1)))).first()[0] or 0
+        if entries <= BROADCAST_FINDS:
+            sums = F.broadcast(sums)
+        out = out.join(sums, own == F.col("\x05hash"), "left")
+    out = find_block(out, held, hidden[text], window, list(hidden.values()), [f"\x05{c}" for c in FOUND] if found else [])
     return out.select(*[F.col(hidden[c]).alias(c) for c in keep], *[f.name for f in FIELDS])
 
 
@@ -151,7 +167,7 @@ def built(name: str, block: list[tuple[str, str]], window: int) -> list[Patterns
     return _built[name]
 
 
-def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window: int, first: bool) -> DataFrame:
+def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window: int, keep: list[str], earlier: list[str] = []) -> DataFrame:  # noqa: B006
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most the block's bytes and one text more
     name = uuid.uuid4().hex
 
@@ -160,7 +176,7 @@ def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window:
 
         def call(column: pa.Array, *before: pa.Array) -> list[pa.Array]:
             counts, all_spans, all_items = [], [], []
-            earlier = zip(*(b.to_pylist() for b in before), strict=True) if before else None
+            known = zip(*(b.to_pylist() for b in before), strict=True) if before else None
             for t in texts_of(column):
                 symbols = words(t)
                 spans, items = [], set()
@@ -168,10 +184,10 @@ def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window:
                     for start, owners in p.search(symbols):
                         spans.append((start, start + p.length))
                         items.update(owners)
-                if earlier is not None:
-                    old_spans, old_items = next(earlier)
-                    spans += [(s["start"], s["end"]) for s in old_spans]
-                    items.update(old_items)
+                if known is not None:
+                    old_spans, old_items = next(known)
+                    spans += [(s["start"], s["end"]) for s in old_spans or []]
+                    items.update(old_items or [])
                 counts.append(len(symbols))
                 all_spans.append([{"start": a, "end": b} for a, b in merged(spans)])
                 all_items.append(sorted(items))
@@ -179,7 +195,7 @@ def find_block(docs: DataFrame, block: list[tuple[str, str]], text: str, window:
 
         return call
 
-    return with_arrow(docs, [text] if first else [text, "hit_spans", "items"], FIELDS, make)
+    return with_arrow(docs, [text, *earlier], FIELDS, make, keep)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from sheetspark.llm.common import runs, texts_of, with_arrow
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some signs that aren't letters, as fractions
 ORDER = 3
 FIT_DOCS = 2000
 TEXT_RUN = 300_000
@@ -101,6 +101,10 @@ def grams_of(data: bytes, sizes: list[int]) -> np.ndarray:
     return w
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, max_order: int = ORDER) -> Model:
     """Learns from text and lang of ``docs`` (doc_id, text, lang), where neither is null."""
     if not 0 <= max_order <= ORDER:
@@ -192,7 +196,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
         def call(column: pa.Array) -> list[pa.Array]:
             texts = texts_of(column)
-            known = [i for i, t in enumerate(texts) if own.langs and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if own.langs and has_letter(t)]
             pred, score, bits = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if known:
                 some = [texts[i] for i in known]

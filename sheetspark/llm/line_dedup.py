@@ -1,8 +1,9 @@
 """Line deduplication across documents by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is dropped if an earlier line, by (doc_id, hash of the text, line number),
-is equal to it or, from ``near_chars`` characters on, within one edit (a character
-more, less or other). Blanks at a line's ends don't count; blank lines stay.
+is equal to it or within one edit (a character more, less or other). In lines of a few
+characters one edit makes another meaning, so callers may set ``near_chars``, from which on
+lines are compared so; by default all are. Blanks at a line's ends don't count; blank lines stay.
 
 Equal lines meet by a 128-bit hash and a minimum. For near ones, two cheap and
 exact filters come first. Lines within one edit agree in a half: those that share
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sheetspark.llm.common import Scratch, materialized, quoted
 
-NEAR_CHARS = 20
+NEAR_CHARS = 1
 SEGMENTS = 8
 BROADCAST_LINES = 400_000  # of about 50 bytes each
 
@@ -128,9 +129,11 @@ def dedup_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     rows = docs.select(*[quoted(c) for c in names]).withColumn("\x01t", F.xxhash64("text"))
     rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("\x01d")) & (F.col("\x01t") == F.col("\x01h")), "left")
-    lines = F.split("text", "\n", -1)
+    rows = rows.withColumn("\x01s", F.split("text", "\n", -1))
+    lines = F.col("\x01s")
     nos = F.coalesce(F.col("\x01k"), F.array().cast("array<int>"))
-    left = F.filter(lines, lambda line, i: (trimmed(line) == "") | F.array_contains(nos, i))
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(trimmed(line) == "", i).otherwise(-1)), lambda i: i >= 0)
+    left = F.transform(F.array_sort(F.concat(nos, blank)), lambda i: F.get(lines, i))
     rows = rows.withColumn("\x01l", left).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
     rows = rows.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("\x01l")).cast("long"))
     new = {"text": F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join("\x01l", "\n")).alias("text")}

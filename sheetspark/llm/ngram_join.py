@@ -56,6 +56,7 @@ HEAVY_WEIGHT = 8
 WIDE_FROM = 1000  # elements from which on a set has a wide map
 LIST_BLOCK = 2000  # members of an open list that meet in one block
 BROADCAST_IDS = 4_000_000  # 32 MB of ids
+BROADCAST_ROWS = 1_000_000  # of about 40 bytes each
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -283,7 +284,7 @@ def room(p: str, q: str, num: int, den: int) -> str:
 
 
 def with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, set_id, the parity map and the wide map of each document's set."""
+    """doc_id, th (a hash of the text), size, set_id, the parity map and the wide map of each document's set."""
     fields = [*[T.StructField(c, T.LongType()) for c in ("size", "set_id", *BITS)], T.StructField("wide", T.BinaryType())]
 
     def make():
@@ -294,7 +295,7 @@ def with_sets(docs: DataFrame, n: int) -> DataFrame:
 
         return call
 
-    return with_arrow(docs, ["text"], fields, make, ["doc_id"])
+    return with_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["text"], fields, make, ["doc_id", "th"])
 
 
 def key_rows(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -393,9 +394,10 @@ def shared_lists(keys: DataFrame) -> DataFrame:
 
 
 def near_sets(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Returns doc_id, size (of the set), set_id and component_id, a row for each row of ``docs``.
+    """Returns doc_id, th (a hash of the text), size (of the set), set_id, component and component_id, a row for each row of ``docs``.
 
-    component_id is the smallest doc_id that links reach, a document's own included.
+    component_id is the smallest doc_id that links reach, a document's own included; component tells components
+    apart even where doc_ids repeat or are null, and is null for a document without words.
     """
     docs = docs.select("doc_id", "text")
     with Scratch(docs.sparkSession) as scratch:
@@ -446,9 +448,9 @@ def linked(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Dat
     named = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, "component").select("set_id", "component_id")
+    named = named.join(least, "component").select("set_id", "component", "component_id")
     rows = sets.join(named, "set_id", "left")
-    return rows.select("doc_id", "size", "set_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "th", "size", "set_id", "component", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def open_pairs(lists: DataFrame, groups: DataFrame, maps: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -471,9 +473,26 @@ def open_pairs(lists: DataFrame, groups: DataFrame, maps: DataFrame, num: int, d
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents without all but one of each component: that with the smallest doc_id, or any one of equal rows."""
-    found = near_sets(docs, n, num, den)
-    gone = materialized(found.where("doc_id <> component_id").select("doc_id").distinct(), "ngram-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*[quoted(c) for c in docs.columns])
+    """One row of each component: that with the smallest doc_id (null last, then by a hash of the text), of several such rows any one.
+
+    Documents without words are in no component and stay. Rows are told apart by doc_id and text, so a
+    doc_id that several texts have, or none, does no harm.
+    """
+    found = near_sets(docs, n, num, den).where("component is not null")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = found.groupBy("component").agg(F.min(own).alias("best"), F.count("*").alias("rows"))
+    rows = found.groupBy("component", "doc_id", "th").agg(F.count("*").alias("own")).join(best.where("rows > 1"), "component")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    marked = rows.withColumn("is_best", is_best).where("not is_best or own > 1")
+    marked = materialized(marked.select(F.col("doc_id").alias("\x01d"), F.col("th").alias("\x01h"), F.col("is_best").alias("\x01b")), "ngram-marked")
+    counts = marked.groupBy("\x01b").count().collect()  # two rows at most
+    if sum(r["count"] for r in counts) <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    out = docs.withColumn("\x01t", F.xxhash64("text"))
+    out = out.join(marked, F.col("doc_id").eqNullSafe(F.col("\x01d")) & (F.col("\x01t") == F.col("\x01h")), "left").where("`\x01b` is null or `\x01b`")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    if not any(r["\x01b"] for r in counts):
+        return out.select(*columns)
+    # rows that are equal in doc_id and text, of a document that stays
+    single, several = out.where("`\x01b` is null"), out.where("`\x01b`")
+    return single.select(*columns).unionByName(several.dropDuplicates(["\x01d", "\x01h"]).select(*columns))

@@ -255,10 +255,10 @@ with cut as (
 ), firsts as (
     select line, length(line) as n, min((doc_id, no)) as place from lines where line <> '' group by line
 ), sides as (
-    select *, 'l' as side, left(line, (n // 2)::int) as half, (n // 2)::int as size from firsts where n >= 20
-    union select *, 'l', left(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts where n >= 20
-    union select *, 'r', right(line, (n // 2)::int), (n // 2)::int from firsts where n >= 20
-    union select *, 'r', right(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts where n >= 20
+    select *, 'l' as side, left(line, (n // 2)::int) as half, (n // 2)::int as size from firsts
+    union select *, 'l', left(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts
+    union select *, 'r', right(line, (n // 2)::int), (n // 2)::int from firsts
+    union select *, 'r', right(line, ((n - 1) // 2)::int), ((n - 1) // 2)::int from firsts
 ), near as (
     select distinct a.line from sides a join sides b
     on a.side = b.side and a.half = b.half and b.place < a.place and abs(a.n - b.n) <= 1
