@@ -4,8 +4,8 @@ Each stage gets what its predecessor kept, read back from Parquet, and returns t
 columns of ``documents``; the last returns token ids.
 
 Results at the edges: a null or empty text, or one without letters, is in no language
-and goes in the first stage; a null lang is filled in; of equal rows, and of equal or
-near texts, lines that came before go, and one document of a group stays; columns
+and goes in the first stage; a null lang is filled in; of equal or near texts, lines that
+came before go; of each group of near documents one row stays, be doc_ids repeated or null, and so of equal rows; columns
 beyond those of ``documents`` pass unchanged, whatever their names, up to the last stage; a
 very long text is a document like others; an empty table gives empty results.
 """
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from sheetspark.llm import byte_bpe, decontaminate, language_id, line_dedup, ngram_join
 from sheetspark.llm.common import materialized, quoted
 
-#: Bits for each byte above which no language is taken to have written a text. The first bytes of a text cost most, as
-#: nothing is known before them, and a plain text may hold a number or a key; so a text may cost SPARE_BITS beyond that.
-MOST_BITS, SPARE_BITS = 7.0, 256.0
+#: Bits for each byte above which no language is taken to have written a text, whatever its length: words of a known
+#: language cost two or three, a key or other random characters about sixteen, so about half of a text may be such.
+MOST_BITS = 10.0
+#: Characters from which on the pipeline takes lines to be near copies: in a line of few, one edit makes another word,
+#: and a short document would go for being like another one.
+NEAR_CHARS = 20
 
 
 def alongside(docs: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -37,9 +40,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id")) | F.col("doc_id").isNull()).select("doc_id", "text", "lang"))
 
     def work(rows: DataFrame) -> DataFrame:
-        size = F.octet_length("text")
-        plain = F.col("bits_per_byte") * size <= MOST_BITS * size + SPARE_BITS
-        found = language_id.identify(rows, model).where((F.col("lang_pred") != "und") & plain)
+        found = language_id.identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") <= MOST_BITS))
         return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
     return alongside(docs, ["doc_id", "text", "lang"], work)
@@ -49,7 +50,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that an earlier line equals within one edit; documents of which nothing is left go."""
 
     def work(rows: DataFrame) -> DataFrame:
-        found = line_dedup.dedup_lines(rows)
+        found = line_dedup.dedup_lines(rows, NEAR_CHARS)
         left = found.where((F.col("n_dropped") == 0) | (line_dedup.trimmed(F.regexp_replace("text", "\n", " ")) != ""))
         return left.withColumn("n_chars", F.length("text").cast("long"))
 
