@@ -73,6 +73,19 @@ def upright_size(width: Column, height: Column, orientation: Column) -> tuple[Co
     return F.when(lies, height).otherwise(width), F.when(lies, width).otherwise(height)
 
 
+def fitted_size(width: Column, height: Column, edge: Column) -> tuple[Column, Column]:
+    """The size of a picture whose longest side is at most ``edge``, sides in proportion; nothing is enlarged. Previews are such."""
+    longest = F.greatest(width, height)
+    side = lambda v: F.when(longest <= edge, v).otherwise(F.greatest(F.lit(1), half_away(v * edge / longest).cast("int")))
+    return side(width), side(height)
+
+
+def small_size(width: Column, height: Column, most: int = 400) -> tuple[Column, Column]:
+    """The size of the copy that searches work on: at most so wide, height in proportion, cut to a whole number."""
+    wide = width > most
+    return F.when(wide, F.lit(most)).otherwise(width), F.when(wide, F.greatest(F.lit(1), F.floor(height * most / width).cast("int"))).otherwise(height)
+
+
 def mask_place(x: Column, y: Column, full: tuple[Column, Column], small: tuple[Column, Column]) -> tuple[Column, Column]:
     """The pixel of a small mask that stands for a pixel of the full picture."""
     return F.floor(x * small[0] / full[0]).cast("int"), F.floor(y * small[1] / full[1]).cast("int")

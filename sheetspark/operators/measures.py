@@ -7,6 +7,8 @@ over pixels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +122,11 @@ def line_sharpness(pixels: DataFrame, sizes: DataFrame, angles: DataFrame) -> Da
     at = at.groupBy("image_id").agg(F.collect_list(F.struct("tilt", "sin", "cos", "shift", "last")).alias("angles"))
     spread = pixels.select("image_id", "x", "y", "v").join(at, "image_id").select("image_id", "x", "y", "v", F.explode("angles").alias("a")).select("image_id", "x", "y", "v", "a.*")
     bins = spread.groupBy("image_id", "tilt", F.least(place, "last").alias("bin"))
-    bins = bins.agg(F.avg(255 - F.col("v")).alias("dark"), F.count("*").alias("n"))
+    return sharpness_of_bins(bins.agg(F.avg(255 - F.col("v")).alias("dark"), F.count("*").alias("n")))
+
+
+def sharpness_of_bins(bins: DataFrame) -> DataFrame:
+    """image_id, tilt, sharpness from each bin's mean darkness and number of pixels."""
     along = Window.partitionBy("image_id", "tilt").orderBy("bin")
     full = F.greatest(F.lit(1), F.floor(F.max("n").over(Window.partitionBy("image_id", "tilt")) * 9 / 10))
     bins = bins.withColumn("full", full)
@@ -135,11 +141,16 @@ def line_sharpness(pixels: DataFrame, sizes: DataFrame, angles: DataFrame) -> Da
 
 def suggest_straightening(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
     """image_id, degrees to turn clockwise: none for pictures under eight pixels or without clear lines."""
+    return straightening(lambda angles: line_sharpness(pixels, sizes, angles), sizes)
+
+
+def straightening(sharpness: Callable[[DataFrame], DataFrame], sizes: DataFrame) -> DataFrame:
+    """The same from whatever tells the sharpness of each image's angles: whole degrees first, then tenths round the best."""
     large = sizes.where("width >= 8 and height >= 8")
-    rough = line_sharpness(pixels, sizes, large.select("image_id", tilts(-MOST_TILT, MOST_TILT, 1).alias("tilt")))
+    rough = sharpness(large.select("image_id", tilts(-MOST_TILT, MOST_TILT, 1).alias("tilt")))
     peak = rough.groupBy("image_id").agg(F.max(F.struct(F.round("sharpness", 9).alias("s"), "tilt")).alias("p")).where(F.col("p.s") >= CLEAR_LINES)
     near = peak.select("image_id", F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("k"), "p").select("image_id", F.round(F.col("p.tilt") + F.col("k") / 10, 6).alias("tilt"))
-    fine = line_sharpness(pixels, sizes, near)
+    fine = sharpness(near)
     best = fine.groupBy("image_id").agg(F.max(F.struct(F.round("sharpness", 9).alias("s"), (-F.col("tilt")).alias("t"))).alias("b"))
     found = best.select("image_id", F.when(F.col("b.s") > 0, F.least(F.greatest(F.col("b.t"), F.lit(-10.0)), F.lit(10.0))).otherwise(0.0).alias("degrees"))
     return sizes.select("image_id").join(found, "image_id", "left").select("image_id", F.coalesce("degrees", F.lit(0.0)).alias("degrees"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sheetspark.functions import geometry, tones
 from sheetspark.kernels import jpeg, raster
-from sheetspark.operators import acts, catalog, images, measures, sheet
+from sheetspark.operators import acts, catalog, images, lines, measures, runs, sheet
 from sheetspark.plans import recipe
 from sheetspark.sources import synthetic
 from sheetspark.sources.files import images_to_pdf
@@ -86,6 +86,10 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids(spark, sf_dir).select("image_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.lines(ids(spark, sf_dir))
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px(spark, sf_dir).where("sheet").select("image_id", "x", "y")
 
@@ -176,13 +180,15 @@ SHARP_ROUGH = PX + ", ang as (select page_id as image_id, (k - 10)::double as ti
 @query(SHARP_ROUGH + " select image_id, tilt, round(sharpness, 4) as sharpness from sharp")
 def a9_line_sharpness(spark, sf_dir):
     angles = ids(spark, sf_dir).select("image_id", measures.tilts(-10, 10, 1).alias("tilt"))
-    return measures.line_sharpness(px(spark, sf_dir), sizes(spark, sf_dir), angles).withColumn("sharpness", F.round("sharpness", 4))
+    of = sizes(spark, sf_dir)
+    return lines.line_sharpness(lines.darkness_sums(packed(spark, sf_dir), of), of, angles).withColumn("sharpness", F.round("sharpness", 4))
 
 
 @query(SHARP_ROUGH + ", r as (select *, row_number() over (partition by image_id order by round(sharpness, 9) desc, tilt) as k from sharp) select image_id, tilt, round(sharpness, 4) as sharpness from r where k = 1 and sharpness > 0")
 def a10_sharpest_tilt(spark, sf_dir):
     angles = ids(spark, sf_dir).select("image_id", measures.tilts(-10, 10, 1).alias("tilt"))
-    scored = measures.line_sharpness(px(spark, sf_dir), sizes(spark, sf_dir), angles).where("sharpness > 0")
+    of = sizes(spark, sf_dir)
+    scored = lines.line_sharpness(lines.darkness_sums(packed(spark, sf_dir), of), of, angles).where("sharpness > 0")
     best = scored.groupBy("image_id").agg(F.max(F.struct(F.round("sharpness", 9).alias("s"), (-F.col("tilt")).alias("t"))).alias("b"))
     return best.select("image_id", (-F.col("b.t")).alias("tilt"), F.round("b.s", 4).alias("sharpness"))
 
@@ -197,7 +203,7 @@ def a10_sharpest_tilt(spark, sf_dir):
     select page_id as image_id, coalesce(least(greatest(-tilt, -10.0), 10.0), 0.0)::double as degrees from pages left join fine on page_id = image_id"""
 )
 def a11_suggest_straightening(spark, sf_dir):
-    return measures.suggest_straightening(px(spark, sf_dir), sizes(spark, sf_dir)).select("image_id", (F.col("degrees") + 0.0).alias("degrees"))
+    return lines.suggest_straightening(packed(spark, sf_dir), sizes(spark, sf_dir)).select("image_id", (F.col("degrees") + 0.0).alias("degrees"))
 
 
 @query(PX + """ select image_id, count(*) as area, min(x) as "left", min(y) as top, max(x) as "right", max(y) as bottom from px where sheet group by image_id""")
@@ -236,7 +242,7 @@ def a17_colour_summary(spark, sf_dir):
     window h as (partition by image_id, y order by x), c as (partition by image_id, x order by y))
     select image_id, round(sqrt(avg(power(l + rr + u + d - 4 * v, 2))), 6) as detail from n where l is not null and rr is not null and u is not null and d is not null group by image_id""")
 def a18_detail(spark, sf_dir):
-    return measures.detail(px(spark, sf_dir)).withColumn("detail", F.round("detail", 6))
+    return lines.detail(packed(spark, sf_dir)).withColumn("detail", F.round("detail", 6))
 
 
 @query(PX + " select image_id, round(corr(v, least(255, v + x)), 6) as correlation from px where x % 3 = 0 and y % 3 = 0 group by image_id")
@@ -287,8 +293,7 @@ t as (select image_id, x, y, {0} from f)""".format(
     + DIGEST.format(RGB, "t")
 )
 def p4_apply_levels(spark, sf_dir):
-    pixels = px(spark, sf_dir)
-    return acts.digest(acts.apply_levels(pixels, measures.suggest_levels(pixels)))
+    return acts.digest(lines.stretched(packed(spark, sf_dir), measures.suggest_levels(px(spark, sf_dir))))
 
 
 @query(PX + ", s as (select image_id, x, y, least(255, r + image_id % 40)::int as sr, g::int as sg, b::int as sb from px)" + CALM + DIGEST.format(RGB, "t"))
@@ -357,7 +362,7 @@ t as (select n.image_id, n.x, n.y, """ + ", ".join(
 ) + """ from n join px p on p.image_id = n.image_id and p.x = l and p.y = u join px q on q.image_id = n.image_id and q.x = least(l + 1, 63) and q.y = u
     join px i on i.image_id = n.image_id and i.x = l and i.y = least(u + 1, 63) join px j on j.image_id = n.image_id and j.x = least(l + 1, 63) and j.y = least(u + 1, 63))""" + DIGEST.format(RGB, "t"))
 def p11_flatten(spark, sf_dir):
-    return acts.digest(acts.flatten(px(spark, sf_dir), quads(spark, sf_dir)))
+    return lines.digest(lines.flattened(packed(spark, sf_dir), quads(spark, sf_dir)))
 
 
 @query(QUAD_SQL + SIZE_SQL + " select image_id, w as width, h as height from z")
@@ -562,7 +567,7 @@ LINES = """with ln as (select page_id as image_id, (page_id % 3 - 1) / 100.0::do
     (page_id % 5 - 2) / 100.0::double as ts, 6 + page_id % 7 - 0.5::double as "to", 0.0::double as bs, 57 - page_id % 4 + 0.5::double as bo from pages)"""
 
 
-def lines(spark, sf_dir):
+def four_lines(spark, sf_dir):
     i = F.col("image_id")
     values = {
         "left": ((i % 3 - 1) / 100.0, 8 + i % 5 - 0.5),
@@ -579,18 +584,18 @@ CROSS = ", ".join(f"round(({v}s * {h}o + {v}o) / (1 - {v}s * {h}s), 6) as c{2 *
 
 @query(LINES + " select image_id, " + CROSS + " from ln")
 def g14_crossings(spark, sf_dir):
-    return sheet.quadrilaterals(lines(spark, sf_dir)).select("image_id", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(8)])
+    return sheet.quadrilaterals(four_lines(spark, sf_dir)).select("image_id", *[F.round(f"c{k}", 6).alias(f"c{k}") for k in range(8)])
 
 
 @query(PX + ", " + LINES[5:] + """ select image_id, count(*) filter (where sheet) as rough_area, count(*) filter (where q) as quad_area, count(*) filter (where q and sheet) as shared_area
     from (select px.*, x >= ls * y + lo and x <= rs * y + ro and y >= ts * x + "to" and y <= bs * x + bo as q from px join ln using (image_id)) group by image_id""")
 def g12_quad_shares(spark, sf_dir):
-    return sheet.quad_shares(marked(spark, sf_dir), sheet.quadrilaterals(lines(spark, sf_dir)))
+    return sheet.quad_shares(marked(spark, sf_dir), sheet.quadrilaterals(four_lines(spark, sf_dir)))
 
 
 @query()
 def g13_carried_on(spark, sf_dir):
-    return sheet.carried_on(marked(spark, sf_dir), sheet.quadrilaterals(lines(spark, sf_dir)))
+    return sheet.carried_on(marked(spark, sf_dir), sheet.quadrilaterals(four_lines(spark, sf_dir)))
 
 
 @query("""select page_id as image_id, page_id % 4 <> 0 as convex from pages""")
@@ -600,6 +605,143 @@ def g15_convex(spark, sf_dir):
     return ids(spark, sf_dir).select("image_id", geometry.convex(c).alias("convex"))
 
 
+# ---- areas as runs, and packed lines
+
+
+#: The images with sheen on the table and, in some, a bright lobe that leans on the sheet; and runs of what a condition tells.
+LIT = PX + """, lit as (select image_id, x, y, sheet, (case when x between 1 and 3 and y between 2 and 2 + image_id % 9 then 210
+    when image_id % 7 = 3 and x between 60 - image_id % 3 - 4 and 61 and y between 20 and 24 then 205 else v end)::int as v from px)"""
+RUN_SQL = """, {0} as (select image_id, y, min(x) as x0, max(x) as x1 from (select image_id, y, x, x - row_number() over (partition by image_id, y order by x) as g from {1} where {2}) group by image_id, y, g)"""
+DARK, EDGE = "v <= 100", "(x = 0 or y = 0 or x = 63 or y = 63)"
+FLOOD = LIT.replace("with px", "with recursive px") + f""", seen as (select image_id, x, y from lit where {DARK} and {EDGE}
+    union select l.image_id, l.x, l.y from seen s, (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(dx, dy), lit l where l.image_id = s.image_id and l.x = s.x + dx and l.y = s.y + dy and l.v <= 100)"""
+
+
+def lit_lines(spark, sf_dir):
+    i, y = F.col("image_id"), F.col("y")
+    spot = lambda x: x.between(1, 3) & y.between(2, 2 + i % 9)
+    lobe = lambda x: (i % 7 == 3) & x.between(60 - i % 3 - 4, 61) & y.between(20, 24)
+    v = F.transform("v", lambda v, x: F.when(spot(x), 210).when(lobe(x), 205).otherwise(v))
+    return packed(spark, sf_dir).select("image_id", "y", v.alias("v"))
+
+
+def rough(spark, sf_dir):
+    dark = runs.runs_of_lines(lit_lines(spark, sf_dir), lambda v: v <= 100)
+    return runs.rough_area(dark, sizes(spark, sf_dir))
+
+
+@query(FLOOD + " select image_id, count(*) as n_pixels, sum(x * 31 + y * 17 + 1)::bigint as weighed from seen group by image_id")
+def g1_border_flood(spark, sf_dir):
+    dark = runs.runs_of_lines(lit_lines(spark, sf_dir), lambda v: v <= 100)
+    found = runs.reaching_the_border(dark, sizes(spark, sf_dir)).withColumn("n", F.col("x1") - F.col("x0") + 1)
+    weighed = (F.col("x0") + F.col("x1")) * F.col("n") / 2 * 31 + F.col("n") * (F.col("y") * 17 + 1)
+    return found.groupBy("image_id").agg(F.sum("n").alias("n_pixels"), F.sum(weighed).cast("long").alias("weighed"))
+
+
+@query(FLOOD + """, ins as (select image_id, x, y from lit l where not exists (select 1 from seen s where s.image_id = l.image_id and s.x = l.x and s.y = l.y))"""
+    + RUN_SQL.format("rs", "ins", "true") + """, nodes as (select *, y * 64 + x0 as node from rs), links as (
+    select a.image_id, a.node as u, b.node as v from nodes a join nodes b on a.image_id = b.image_id and abs(a.y - b.y) = 1 and a.x0 <= b.x1 and b.x0 <= a.x1
+), reach as (select image_id, node as u, node as v from nodes union select r.image_id, r.u, l.v from reach r join links l on l.image_id = r.image_id and l.u = r.v),
+areas as (select n.*, r.label from nodes n join (select image_id, u, min(v) as label from reach group by image_id, u) r on r.image_id = n.image_id and r.u = n.node),
+best as (select image_id, label, sum(x1 - x0 + 1) as area, row_number() over (partition by image_id order by sum(x1 - x0 + 1) desc, label) as k from areas group by image_id, label)
+select a.image_id, any_value(area)::bigint as area, min(x0) as "left", min(y) as top, max(x1) as "right", max(y) as bottom, count(*) as n_runs, sum(x0 * 31 + y * 17 + x1 * 7)::bigint as weighed
+from areas a join best b on a.image_id = b.image_id and a.label = b.label and k = 1 group by a.image_id""")
+def g1_a12_largest_area(spark, sf_dir):
+    """The sheet with its writing, whatever else on the table is bright."""
+    found = rough(spark, sf_dir)
+    return found.groupBy("image_id").agg(
+        F.first("area").alias("area"), *[F.first(c).alias(c) for c in ("left", "top", "right", "bottom")], F.count("*").alias("n_runs"), F.sum(F.col("x0") * 31 + F.col("y") * 17 + F.col("x1") * 7).alias("weighed")
+    )
+
+
+#: Four lines round the sheet, some of them wrong.
+TRIED = LINES.replace("with ln", "with l0") + """, ln as (select image_id, case when image_id % 13 = 5 then 0.9 else ls end as ls, lo + case when image_id % 7 = 1 then 9 when image_id % 11 = 4 then 4 else 0 end as lo,
+    rs, ro + case when image_id % 9 = 2 then 7 else 0 end as ro, ts, "to" - case when image_id % 10 = 6 then 20 else 0 end as "to", bs, bo + case when image_id % 9 = 2 then 5 when image_id % 8 = 3 then -25 when image_id % 12 = 7 then -46 else 0 end as bo from l0)"""
+CORNERED = ", cn as (select *, " + CROSS + " from ln)"
+PAST_SQL = ", past as (" + " union all ".join(
+    f"""select image_id, '{side}' as side, count(*) filter (where n = 7) / greatest(1, max(b - a + 1))::double as share from (
+    select c.image_id, a, b, pos, count(p.x) as n from (select *, unnest(generate_series(a, b))::int as pos from (
+    select image_id, {s}s as s, {s}o as o, trunc(least({a}, {b}))::int as a, trunc(greatest({a}, {b}))::int as b from cn)) c
+    cross join range(4, 11) k(away) left join inside p on p.image_id = c.image_id and p.{along} = pos and p.{across} = floor(c.s * pos + c.o + {out} * k.away)::int group by all) group by image_id"""
+    for side, s, along, across, out, a, b in (("left", '"l', "y", "x", -1, "c1", "c7"), ("right", '"r', "y", "x", 1, "c3", "c5"), ("top", '"t', "x", "y", -1, "c0", "c2"), ("bottom", '"b', "x", "y", 1, "c6", "c4"))
+).replace('"ls', "ls").replace('"lo', "lo").replace('"rs', "rs").replace('"ro', "ro").replace('"ts', "ts").replace('"to', '"to"').replace('"bs', "bs").replace('"bo', "bo") + ")"
+
+
+def tried_quads(spark, sf_dir):
+    i, s, o = F.col("image_id"), F.col("slope"), F.col("offset")
+    of = lambda side: F.col("side") == side
+    wrong = F.when(of("left"), F.when(i % 7 == 1, 9).when(i % 11 == 4, 4).otherwise(0)).when(of("right"), F.when(i % 9 == 2, 7).otherwise(0)).when(of("top"), F.when(i % 10 == 6, -20).otherwise(0))
+    wrong = wrong.otherwise(F.when(i % 9 == 2, 5).when(i % 8 == 3, -25).when(i % 12 == 7, -46).otherwise(0))
+    sides = four_lines(spark, sf_dir).select("image_id", "side", F.when(of("left") & (i % 13 == 5), 0.9).otherwise(s).alias("slope"), (o + wrong).alias("offset"))
+    return sheet.quadrilaterals(sides)
+
+
+@query(PX + ", " + TRIED[5:] + CORNERED + ", inside as (select image_id, x, y from px where sheet)" + PAST_SQL + " select image_id, side, round(share, 9) as share from past")
+def g13_carried_on_over_runs(spark, sf_dir):
+    found = runs.carried_on(runs.runs_of_pixels(mask(spark, sf_dir)), tried_quads(spark, sf_dir))
+    return found.withColumn("share", F.round("share", 9))
+
+
+@query(PX + ", " + TRIED[5:] + CORNERED + ", inside as (select image_id, x, y from px where sheet)" + PAST_SQL + """, worst as (select image_id, max(share) as past from past group by image_id), m as (
+    select image_id, count(*) filter (where q) as quad_area, count(*) filter (where sheet) as rough_area, count(*) filter (where q and sheet) as shared_area,
+        min(x) filter (where q and sheet) as "left", min(y) filter (where q and sheet) as top, max(x) filter (where q and sheet) as "right", max(y) filter (where q and sheet) as bottom
+    from (select px.*, x >= ls * y + lo and x <= rs * y + ro and y >= ts * x + "to" and y <= bs * x + bo as q from px join ln using (image_id)) group by image_id
+), t as (select *, """ + ", ".join(f"(c{2 * b % 8} - c{2 * a}) * (c{(2 * c + 1) % 8} - c{(2 * b + 1) % 8}) - (c{(2 * b + 1) % 8} - c{2 * a + 1}) * (c{2 * c % 8} - c{2 * b % 8}) as t{a}" for a, b, c in ((0, 1, 2), (1, 2, 3), (2, 3, 0), (3, 0, 1))) + """ from cn)
+select image_id, case when least(c0, c1, c2, c3, c4, c5, c6, c7) < 0 or greatest(c0, c1, c2, c3, c4, c5, c6, c7) > 63 then 'outside'
+    when not (least(t0, t1, t2, t3) > 0 or greatest(t0, t1, t2, t3) < 0) then 'bent' when past > 0.3 then 'carries on' when shared_area = 0 then 'apart'
+    when shared_area < quad_area * 0.85::double then 'reaches out' when shared_area < rough_area * 0.9::double then 'leaves out'
+    when shared_area < 4096 * 0.15 or "right" - "left" + 1 < 16 or bottom - top + 1 < 16 then 'small' end as reason, quad_area, rough_area, shared_area, "left", top, "right", bottom
+from t join m using (image_id) join worst using (image_id)""")
+def g12_accepted_sheets(spark, sf_dir):
+    return runs.accepted(tried_quads(spark, sf_dir), runs.runs_of_pixels(mask(spark, sf_dir)), sizes(spark, sf_dir))
+
+
+BELL = ", k as (select unnest(range(-2, 3))::int as d, unnest([" + ", ".join(map(str, lines.gaussian(1.0))) + "])::bigint as w)"
+SOFT = BELL + """, h as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + """ from px a, k join px p on p.image_id = a.image_id and p.y = a.y and p.x = least(greatest(a.x + d, 0), 63) group by all),
+soft as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + " from h a, k join h p on p.image_id = a.image_id and p.x = a.x and p.y = least(greatest(a.y + d, 0), 63) group by all)"
+
+
+@query(PX + SOFT + ", t as (select image_id, x, y, " + ", ".join(f"least(greatest(2 * px.{c} - floor((2 * soft.{c} + n) / (2.0::double * n)), 0), 255)::int as {c}" for c in "rgb") + " from px join soft using (image_id, x, y), (select sum(w) ** 2 as n from k))" + DIGEST.format(RGB, "t"))
+def p8_sharpened_lines(spark, sf_dir):
+    return lines.digest(lines.sharpened(packed(spark, sf_dir), 1.0))
+
+
+#: Widths and heights that pictures are made: by the longest edge, and an odd size of its own.
+RESIZED = PX + """, sz as (select page_id as image_id, 16 + page_id % 9 as tw, 24 as th from pages), wx as (
+    select distinct tw, t::int as t, s::int as s, {0} as w from (select tw, tw as m, 64 as n, unnest(range(tw)) as t from (select distinct tw from sz)), range(64) q(s)),
+wy as (select t::int as t, s::int as s, {0} as w from (select 24 as m, 64 as n, unnest(range(24)) as t), range(64) q(s)),
+a as (select px.image_id, wx.t as x, px.y, """.replace("{0}", "{kind}") + ", ".join(f"sum(wx.w * {c}) as {c}" for c in "rgb") + """, sum(wx.w) as n from px join sz using (image_id) join wx on wx.tw = sz.tw and wx.s = px.x and wx.w > 0 group by all),
+b as (select a.image_id, a.x, wy.t as y, """ + ", ".join(f"sum(wy.w * {c}) as {c}" for c in "rgb") + """, sum(wy.w * n) as n from a join wy on wy.s = a.y and wy.w > 0 group by all),
+t as (select image_id, x, y, """ + ", ".join(f"floor((2 * {c} + n) / (2 * n)::double)::int as {c}" for c in "rgb") + " from b)" + DIGEST.format(RGB, "t")
+BOX = "greatest(0, least((t + 1) * n, (s + 1) * m) - greatest(t * n, s * m))"
+TRIANGLE = "greatest(0, 2 * greatest(n, m) - abs((2 * s + 1) * m - (2 * t + 1) * n))"
+
+
+def smaller(spark, sf_dir, kind):
+    to = sizes(spark, sf_dir).withColumns({"to_width": (16 + F.col("image_id") % 9).cast("int"), "to_height": F.lit(24)})
+    return lines.digest(lines.resized(packed(spark, sf_dir), to, kind))
+
+
+@query(RESIZED.replace("{kind}", BOX))
+def p10_resized_by_boxes(spark, sf_dir):
+    return smaller(spark, sf_dir, "box")
+
+
+@query(RESIZED.replace("{kind}", TRIANGLE))
+def p22_resized_by_triangles(spark, sf_dir):
+    return smaller(spark, sf_dir, "triangle")
+
+
+@query(f"""select image_id, width, height, case when greatest(width, height) <= 1600 then width else greatest(1, floor(width * 1600.0::double / greatest(width, height) + 0.5))::int end as preview_w,
+    case when greatest(width, height) <= 1600 then height else greatest(1, floor(height * 1600.0::double / greatest(width, height) + 0.5))::int end as preview_h,
+    case when width > 400 then 400 else width end as small_w, case when width > 400 then greatest(1, height * 400 // width)::int else height end as small_h from ({SHAPE})""")
+def p9_io16_fitted_sizes(spark, sf_dir):
+    """Previews of at most 1600 pixels, and the copy of at most 400 in width that searches work on."""
+    w, h = F.col("width"), F.col("height")
+    preview, small = geometry.fitted_size(w, h, F.lit(1600)), geometry.small_size(w, h)
+    return shapes(spark, sf_dir).select("image_id", "width", "height", preview[0].alias("preview_w"), preview[1].alias("preview_h"), small[0].alias("small_w"), small[1].alias("small_h"))
+
+
 # ---- pages
 
 

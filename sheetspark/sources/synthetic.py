@@ -6,7 +6,7 @@ and tones depend on the id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 64
@@ -35,15 +35,35 @@ def pixels(ids: DataFrame, side: int = SIDE) -> DataFrame:
     """
     grid = spread(ids).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y"))
     grid = grid.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"), "y")
-    i, x, y = F.col("image_id"), F.col("x"), F.col("y")
-    sheet = x.between(8 + i % 5, 55 - i % 3) & y.between(6 + i % 7, 57 - i % 4)
-    writing = sheet & (y % 6 < 2) & x.between(14, 48) & y.between(15, 50)
-    value = F.when(writing, 55 + i % 5).when(sheet, 150 + F.floor(x / 4) + i % 11).otherwise(20 + i % 9).cast("int")
+    sheet, writing, value = tones_at(F.col("x"))
     flat = grid.withColumn("sheet", sheet).withColumn("writing", writing).withColumn("v", value)
     paper = F.col("sheet") & ~F.col("writing")
     return flat.withColumn("r", F.col("v") + F.when(paper, 12).otherwise(0)).withColumn("g", F.col("v")).withColumn("b", F.col("v") - F.when(paper, 10).otherwise(0))
 
 
+def tones_at(x: Column) -> tuple[Column, Column, Column]:
+    """Whether the place x of line y of an image is on the sheet and on writing, and its brightness."""
+    i, y = F.col("image_id"), F.col("y")
+    sheet = x.between(8 + i % 5, 55 - i % 3) & y.between(6 + i % 7, 57 - i % 4)
+    writing = sheet & (y % 6 < 2) & x.between(14, 48) & y.between(15, 50)
+    return sheet, writing, F.when(writing, 55 + i % 5).when(sheet, 150 + F.floor(x / 4) + i % 11).otherwise(20 + i % 9).cast("int")
+
+
+def lines(ids: DataFrame, side: int = SIDE) -> DataFrame:
+    """The same images as packed lines: image_id, y and the arrays v, r, g and b."""
+    at = F.sequence(F.lit(0), F.lit(side - 1))
+    rows = spread(ids).select("image_id", F.explode(at).alias("y"))
+
+    def value(red: int, blue: int) -> Column:
+        def tone(x: Column) -> Column:
+            sheet, writing, v = tones_at(x)
+            return v + F.when(sheet & ~writing, red + blue).otherwise(0)
+
+        return F.transform(at, tone)
+
+    return rows.select("image_id", "y", *[value(*p).alias(n) for n, p in (("v", (0, 0)), ("r", (12, 0)), ("g", (0, 0)), ("b", (0, -10)))])
+
+
 def scan_files(ids: DataFrame) -> DataFrame:
     """scan_id, kind (photo, page or pdf), num and length: eight numbers to a scan, with gaps."""
     p = ids.select(F.col("image_id").alias("p")).withColumn("s", F.expr("p div 8")).withColumn("num", (F.col("p") % 8 + 1).cast("int"))
