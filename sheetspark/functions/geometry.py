@@ -137,6 +137,19 @@ def convex(c: list[Column]) -> Column:
     return (F.least(*turns) > 0) | (F.greatest(*turns) < 0)
 
 
+def corner_points(flat: Column) -> Column:
+    """Four points (x, y) from the eight numbers of an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.get(flat, 2 * k).alias("x"), F.get(flat, 2 * k + 1).alias("y")))
+
+
+def box_of_corners(xs: Column, ys: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The box round corners (arrays of pixels), in shares of the picture, each held in 0 to 1."""
+    share = lambda values, size: F.transform(values, lambda v: F.least(F.greatest(v / size, F.lit(0.0)), F.lit(1.0)))
+    sx, sy = share(xs, width), share(ys, height)
+    left, top = F.array_min(sx), F.array_min(sy)
+    return {"x": left, "y": top, "w": F.array_max(sx) - left, "h": F.array_max(sy) - top}
+
+
 def resize_choice(width: Column, height: Column, edge: Column) -> Column:
     """How a page gets its size: by an asked edge, by the memory cap, or not at all."""
     longest = F.greatest(width, height)

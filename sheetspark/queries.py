@@ -314,7 +314,7 @@ def p6_stretch_table(spark, sf_dir):
 @query(LEVELS + " select image_id, bool_and(black = 0 and white = 255) as unchanged from levels group by image_id")
 def p7_levels_unchanged(spark, sf_dir):
     levels = measures.suggest_levels(px(spark, sf_dir))
-    return levels.groupBy("image_id").agg(F.bool_and((F.col("black") == 0) & (F.col("white") == 255)).alias("unchanged"))
+    return levels.groupBy("image_id").agg(F.bool_and(tones.unchanged(F.col("black"), F.col("white"))).alias("unchanged"))
 
 
 #: Sizes and corners that vary with the id.
@@ -378,11 +378,13 @@ def p13_flatten_map(spark, sf_dir):
 
 @query(f"""with s as (select *, radians(-(image_id % 21 - 10)::double) as t from ({SHAPE})), f as (
     select *, sin(t) as sn, cos(t) as cs, least(width / (width * abs(cos(t)) + height * abs(sin(t))), height / (height * abs(cos(t)) + width * abs(sin(t)))) as k from s)
-    select image_id, round(width / 2.0::double + (-width / 2.0::double * cs + height / 2.0::double * sn) * k, 6) as x0, round(height / 2.0::double + (-width / 2.0::double * sn - height / 2.0::double * cs) * k, 6) as y0,
-    round(width / 2.0::double + (width / 2.0::double * cs - height / 2.0::double * sn) * k, 6) as x2, round(height / 2.0::double + (width / 2.0::double * sn + height / 2.0::double * cs) * k, 6) as y2 from f""")
+    select image_id, """ + ", ".join(
+    f"round(width / 2.0::double + ({a} * width / 2.0::double * cs - {d} * height / 2.0::double * sn) * k, 6) as x{n}, round(height / 2.0::double + ({a} * width / 2.0::double * sn + {d} * height / 2.0::double * cs) * k, 6) as y{n}"
+    for n, (a, d) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)))
+) + " from f")
 def p15_straighten_corners(spark, sf_dir):
     c = geometry.straighten_corners(F.col("width"), F.col("height"), (F.col("image_id") % 21 - 10).cast("double"))
-    return shapes(spark, sf_dir).select("image_id", *[F.round(c[k], 6).alias(n) for k, n in ((0, "x0"), (1, "y0"), (4, "x2"), (5, "y2"))])
+    return shapes(spark, sf_dir).select("image_id", *[F.round(v, 6).alias(f"{'xy'[k % 2]}{k // 2}") for k, v in enumerate(c)])
 
 
 @query(PX + " select a.image_id, count(*) as n from px a join px m on m.image_id = a.image_id and m.x = a.x // 2 * 2 and m.y = a.y // 2 * 2 and m.sheet where a.v > 100 group by a.image_id")
@@ -433,18 +435,20 @@ def p23_crop_range(spark, sf_dir):
     return shapes(spark, sf_dir).select("image_id", x.alias("x"), w.cast("int").alias("w"))
 
 
-@query("select page_id as image_id, [{'x': (page_id * (2 * k + 1))::double} for k in range(4)][3].x as x2 from pages")
+@query("select page_id as image_id, " + ", ".join(f"(page_id * {k + 1})::double as {'xy'[k % 2]}{k // 2}" for k in range(8)) + " from pages")
 def p24_corner_points(spark, sf_dir):
     flat = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (k * F.col("image_id")).cast("double"))
-    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(F.get(F.col("flat"), 2 * k).alias("x"), F.get(F.col("flat"), 2 * k + 1).alias("y")))
-    return ids(spark, sf_dir).select("image_id", flat.alias("flat")).select("image_id", F.get(points, F.lit(2))["x"].alias("x2"))
+    points = ids(spark, sf_dir).select("image_id", flat.alias("flat")).select("image_id", geometry.corner_points(F.col("flat")).alias("p"))
+    return points.select("image_id", *[F.get("p", F.lit(k))[c].alias(f"{c}{k}") for k in range(4) for c in "xy"])
 
 
-@query("""select image_id, q not between 1 and 100 as bad_quality, q between 1 and 100 and (e < 0 or e > 3000) as bad_edge from (select page_id as image_id, page_id % 120 - 5 as q, page_id * 31 % 4000 - 300 as e from pages)""")
+@query("""select image_id, case when q not between 1 and 100 then 'quality' when e < 0 or e > 3000 then 'range' when e > 0 and e < 600 then 'small' end as wrong
+    from (select page_id as image_id, page_id % 120 - 5 as q, page_id * 31 % 4000 - 300 as e from pages)""")
 def p25_rung_error(spark, sf_dir):
     i = F.col("image_id")
     text = geometry.rung_error(i % 120 - 5, i * 31 % 4000 - 300)
-    return ids(spark, sf_dir).select("image_id", F.coalesce(text.startswith("quality"), F.lit(False)).alias("bad_quality"), F.coalesce(text.startswith("the edge is from"), F.lit(False)).alias("bad_edge"))
+    kind = F.when(text.startswith("quality"), "quality").when(text.contains("from 0 to"), "range").when(text.contains("at least"), "small")
+    return ids(spark, sf_dir).select("image_id", kind.alias("wrong"))
 
 
 COMPOSED = """with s as (select page_id as image_id, (page_id % 5) / 10.0::double as x, (page_id % 4) / 10.0::double as y, case when page_id % 9 = 0 then 0 else 0.4::double end as w, 0.3::double as h, (page_id % 4 - page_id % 3 + 4) % 4 as k,
@@ -466,20 +470,20 @@ def p26_composed_crop(spark, sf_dir):
     return ids(spark, sf_dir).select("image_id", *[F.round(c, 9).alias(f"crop_{n}") for n, c in zip("xywh", out, strict=True)])
 
 
-@query("""select page_id as image_id, round((page_id % 200 + page_id % 90 + page_id % 40) / 3.0::double / 255 * 100, 6) as percent,
-    greatest(least(254, page_id % 200 + 13), 0)::int as moved from pages""")
+@query("select page_id as image_id, round((page_id % 200 + page_id % 90 + page_id % 40) / 3.0::double / 255 * 100, 6) as percent, " + ", ".join(f"least(page_id % {n} + 13, 254)::int as moved{k}" for k, n in enumerate((200, 90, 250))) + " from pages")
 def p27_percent_and_moved(spark, sf_dir):
     i = F.col("image_id")
-    black = F.array(i % 200, i % 90, i % 40)
-    percent = F.aggregate(black, F.lit(0.0), lambda s, v: s + v) / 3 / 255 * 100
-    moved = F.least(F.lit(254.0), F.greatest(F.lit(0.0), geometry.half_away(F.get(black, F.lit(0)) + 5.0 / 100 * 255)))
-    return ids(spark, sf_dir).select("image_id", F.round(percent, 6).alias("percent"), moved.cast("int").alias("moved"))
+    moved = tones.moved(F.array(i % 200, i % 90, i % 250), F.lit(5.0), 0, 254)
+    return ids(spark, sf_dir).select("image_id", F.round(tones.percent(F.array(i % 200, i % 90, i % 40)), 6).alias("percent"), moved.alias("m")).select("image_id", "percent", *[F.get("m", F.lit(k)).alias(f"moved{k}") for k in range(3)])
 
 
-@query("""select page_id as image_id, round(list_min(l), 6) as low, round(list_max(l) - list_min(l), 6) as span from (select page_id, [least(greatest((page_id * k % 17) / 10.0::double - 0.3, 0), 1) for k in [1, 2, 3, 5]] as l from pages)""")
+@query("""select page_id as image_id, round(list_min(a), 6) as x, round(list_min(b), 6) as y, round(list_max(a) - list_min(a), 6) as w, round(list_max(b) - list_min(b), 6) as h from (
+    select page_id, [least(greatest((page_id * k % 170 - 30) / 100.0::double, 0), 1) for k in [1, 2, 3, 5]] as a, [least(greatest((page_id * k % 90 - 10) / 60.0::double, 0), 1) for k in [1, 2, 3, 5]] as b from pages)""")
 def p28_box_of_corners(spark, sf_dir):
-    held = F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 5)]), lambda k: F.least(F.greatest((F.col("image_id") * k % 17) / 10.0 - 0.3, F.lit(0.0)), F.lit(1.0)))
-    return ids(spark, sf_dir).select("image_id", F.round(F.array_min(held), 6).alias("low"), F.round(F.array_max(held) - F.array_min(held), 6).alias("span"))
+    at = lambda size, less: F.transform(F.array(*[F.lit(k) for k in (1, 2, 3, 5)]), lambda k: F.col("image_id") * k % size - less)
+    box = geometry.box_of_corners(F.col("xs"), F.col("ys"), F.lit(100.0), F.lit(60.0))
+    rows = ids(spark, sf_dir).select("image_id", at(170, 30).alias("xs"), at(90, 10).alias("ys"))
+    return rows.select("image_id", *[F.round(v, 6).alias(k) for k, v in box.items()])
 
 
 # ---- the sheet
@@ -667,6 +671,9 @@ PAST_SQL = ", past as (" + " union all ".join(
 ).replace('"ls', "ls").replace('"lo', "lo").replace('"rs', "rs").replace('"ro', "ro").replace('"ts', "ts").replace('"to', '"to"').replace('"bs', "bs").replace('"bo', "bo") + ")"
 
 
+ORACLES["g13_carried_on"] = PX + ", " + LINES[5:] + CORNERED + ", inside as (select image_id, x, y from px where sheet)" + PAST_SQL + " select * from past"
+
+
 def tried_quads(spark, sf_dir):
     i, s, o = F.col("image_id"), F.col("slope"), F.col("offset")
     of = lambda side: F.col("side") == side
@@ -816,9 +823,14 @@ def state_lines(spark, sf_dir):
     return ids(spark, sf_dir).select("image_id", catalog.read_state(line).alias("state"))
 
 
-@query("select page_id as image_id, page_id % 5 > 1 as is_state, case when page_id % 5 > 1 then least(255, page_id % 400)::int end as white_g, case when page_id % 5 > 1 then least(3, page_id % 6)::int end as turns from pages")
+@query("""select page_id as image_id, page_id % 5 > 1 as is_state, case when page_id % 5 > 1 then least(255, page_id % 400)::int end as white_g, case when page_id % 5 > 1 then least(3, page_id % 6)::int end as turns,
+    case when page_id % 5 > 1 then '0.25,0.25,0.25,0.25,0.25,0.25,0.25,0.25' end as corners, case when page_id % 5 > 1 then '10,20,30' end as black, case when page_id % 5 > 1 then -2.5::double end as degrees, case when page_id % 5 > 1 then 0.6::double end as sharpen, case when page_id % 5 > 1 then true end as flat, case when page_id % 5 > 1 then true end as tones, case when page_id % 5 > 1 then false end as grey from pages""")
 def cat8_read_state(spark, sf_dir):
-    return state_lines(spark, sf_dir).select("image_id", F.col("state").isNotNull().alias("is_state"), F.get("state.white", F.lit(1)).alias("white_g"), "state.turns")
+    listed = lambda c: F.array_join(F.transform(f"state.{c}", lambda v: v.cast("string")), ",").alias(c)
+    real = lambda c: F.round(F.col(f"state.{c}").cast("double"), 4).alias(c)
+    return state_lines(spark, sf_dir).select(
+        "image_id", F.col("state").isNotNull().alias("is_state"), F.get("state.white", F.lit(1)).alias("white_g"), "state.turns", listed("corners"), listed("black"), real("degrees"), real("sharpen"), "state.flat", "state.tones", "state.grey"
+    )
 
 
 @query("select page_id as image_id, '1' || repeat(' 0.2500', 8) || ' 1 -2.5 10 20 30 200 ' || least(255, page_id % 400) || ' 180 1 0.6 0.0000 0.0000 0.0000 0.0000 ' || least(3, page_id % 6) || ' 0' as line from pages where page_id % 5 > 1")
@@ -832,9 +844,10 @@ def cat10_cleaned_name(spark, sf_dir):
     return ids(spark, sf_dir).select("image_id", catalog.cleaned_name(F.trim(raw)).alias("name"))
 
 
-@query(FILES + " select scan_id, string_agg(num, ', ' order by num) as skipped from skipped group by scan_id having count(*) > 1")
+@query(FILES.replace("where kind = 'photo')", "where kind = 'photo' and num % 3 <> 0)") + " select scan_id, string_agg(num, ', ' order by num) as skipped from skipped group by scan_id having count(*) > 1")
 def cat12_skipped_report(spark, sf_dir):
-    return catalog.skipped_report(files(spark, sf_dir))
+    """Every third photo of a scan is missing."""
+    return catalog.skipped_report(files(spark, sf_dir).where("kind <> 'photo' or num % 3 <> 0"))
 
 
 @query(FILES + " select scan_id, num from unscanned")
@@ -892,7 +905,7 @@ def o4_first_stored_decides_grey(spark, sf_dir):
     return catalog.is_grey(synthetic.scans(i), files(spark, sf_dir), stored.withColumn("grey", F.col("num") % 2 == 1))
 
 
-@query(FILES + """ select scan_id, pages || case when pages = 1 then ' page' else ' pages' end || ', the PDF and ' || photos || case when photos = 1 then ' photo' else ' photos' end || ' go. This cannot be undone.' as body from states""")
+@query(FILES + """ select scan_id, pages || case when pages = 1 then ' page' else ' pages' end || ' and ' || photos || case when photos = 1 then ' photo' else ' photos' end || ' are deleted for good' || case when has_pdf then ', with the document' else '' end as body from states""")
 def cat3_delete_text(spark, sf_dir):
     return catalog.delete_text(states(spark, sf_dir))
 
@@ -918,7 +931,7 @@ def cat6_debris(spark, sf_dir):
 def r9_rewritten_pages(spark, sf_dir):
     """Every third photo has stored values, the others are looked at anew; all become grey."""
     photos = shots(spark, sf_dir).select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"), "image")
-    stored = photos.where("num % 3 = 0").select("scan_id", "num", F.struct(F.lit(90.0).cast("float").alias("crop_x"), F.lit(1).alias("turns")).alias("values"))
+    stored = photos.where("num % 3 = 0").select("scan_id", "num", F.struct(*[F.lit(v).cast("float").alias(f"crop_{n}") for n, v in (("x", 0.1), ("y", 0.2), ("w", 0.5), ("h", 0.25))], F.lit(1).alias("turns")).alias("values"))
     out = recipe.rewritten(photos, stored, grey=True)
     return images.headers(out.drop("error"), "jpeg", ["scan_id", "num", "jpeg"]).select("scan_id", "num", "shape.*", F.md5("jpeg").alias("digest"), "error")
 
@@ -983,10 +996,11 @@ def p9_p22_resize(spark, sf_dir):
     return images.apply(large, ["image"], work, kind, "v", ["image_id"]).select("image_id", "v.*", "error")
 
 
-@query(PX + DIGEST.format(RGB, "px"))
+@query(PX + ", t as (select image_id, 63 - y as x, x as y, r, g, b from px)" + DIGEST.format(RGB, "t"))
 def io1_pictures_to_pixels(spark, sf_dir):
-    """Pixels become pictures and pixels again."""
-    return acts.digest(images.to_pixels(images.from_pixels(px(spark, sf_dir))))
+    """Pixels become pictures, which are turned, and pixels again."""
+    turned = images.act(images.from_pixels(px(spark, sf_dir)), lambda a: raster.rotate(a, 90), keep=["image_id"])
+    return acts.digest(images.to_pixels(turned, image="value"))
 
 
 @query()
