@@ -100,7 +100,7 @@ def to_pixels(df: DataFrame, key: str = "image_id", image: str = "image") -> Dat
 
 
 def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
-    """key and image: pictures from their pixels (key, x, y, r, g, b), which must all be there, once.
+    """key, image and error: pictures from their pixels (key, x, y, r, g, b), which must all be there, once; else the error says so.
 
     Pixels are put in order within their partition; a task holds the pixels of one picture at a time.
     """
@@ -111,7 +111,8 @@ def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     def picture(parts: list[np.ndarray]) -> dict:
         table = np.concatenate(parts)
         w, h = table[:, 0].max() + 1, table[:, 1].max() + 1
-        if len(table) != w * h:
+        at = table[:, 1].astype(np.int64) * w + table[:, 0]
+        if len(table) != int(w) * int(h) or table[:, :2].min() < 0 or (np.diff(at) != 1).any():
             raise ValueError(f"{len(table)} pixels are no picture of {w} by {h}")
         return to_image(table[:, 2:].astype(np.uint8).reshape(h, w, 3))
 
@@ -119,7 +120,11 @@ def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
         held, own = [], None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([own.as_py()], own.type), pa.array([picture(held)], arrow)], names=[key, "image"])
+            try:
+                made, error = picture(held), None
+            except ValueError as failed:
+                made, error = None, str(failed)
+            return pa.RecordBatch.from_arrays([pa.array([own.as_py()], own.type), pa.array([made], arrow), pa.array([error], pa.string())], names=[key, "image", "error"])
 
         for batch in batches:
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
@@ -134,7 +139,7 @@ def from_pixels(pixels: DataFrame, key: str = "image_id") -> DataFrame:
         if held:
             yield done()
 
-    return rows.mapInArrow(run, T.StructType([pixels.schema[key], T.StructField("image", IMAGE)]))
+    return rows.mapInArrow(run, T.StructType([pixels.schema[key], T.StructField("image", IMAGE), T.StructField("error", T.StringType())]))
 
 
 POINTS = T.ArrayType(T.FloatType())

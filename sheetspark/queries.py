@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,8 +15,9 @@ from sheetspark.functions import geometry, tones
 from sheetspark.kernels import jpeg, raster
 from sheetspark.operators import acts, catalog, images, lines, measures, runs, sheet
 from sheetspark.plans import recipe
-from sheetspark.sources import synthetic
-from sheetspark.sources.files import images_to_pdf
+from sheetspark.sources import deletes, documents, pictures, synthetic
+from sheetspark.sources.files import images_to_pdf, load_images
+from sheetspark.sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -999,7 +1002,7 @@ def p9_p22_resize(spark, sf_dir):
 @query(PX + ", t as (select image_id, 63 - y as x, x as y, r, g, b from px)" + DIGEST.format(RGB, "t"))
 def io1_pictures_to_pixels(spark, sf_dir):
     """Pixels become pictures, which are turned, and pixels again."""
-    turned = images.act(images.from_pixels(px(spark, sf_dir)), lambda a: raster.rotate(a, 90), keep=["image_id"])
+    turned = images.act(images.from_pixels(px(spark, sf_dir)).drop("error"), lambda a: raster.rotate(a, 90), keep=["image_id"])
     return acts.digest(images.to_pixels(turned, image="value"))
 
 
@@ -1041,6 +1044,69 @@ def io3_io4_documents(spark, sf_dir):
     return made.select("scan_id", F.length("pdf").alias("bytes"), F.decode(F.substring("pdf", 1, 8), "ISO-8859-1").alias("head"), "error")
 
 
+def tagged(data: bytes, tag: int) -> bytes:
+    """A JPEG with an EXIF orientation."""
+    tiff = b"MM\0*\0\0\0\x08\0\x01" + struct.pack(">HHIHH", 0x0112, 3, 1, tag, 0) + b"\0\0\0\0"
+    return data[:2] + jpeg.segment(0xE1, b"Exif\0\0" + tiff) + data[2:]
+
+
+def photo_files(spark, sf_dir) -> str:
+    """A folder of photos as files, a scan of eight a folder, with orientations; returns its address."""
+    folder = f"{shared_folder(spark)}/photos-{uuid.uuid4().hex}"
+    numbers = shots(spark, sf_dir).select("image_id", F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"), F.struct("image_id", "image").alias("both"))
+    made = images.apply(numbers, ["both"], lambda b: tagged(jpeg.encode(images.to_array(b["image"]), 70), b["image_id"] % 8 + 1), T.BinaryType(), "jpeg", ["scan_id", "num"])
+    documents.write_documents(made, folder, "pages")
+    return folder
+
+
+IN_FILES = "select page_id // 8 as scan_id, (page_id % 8 + 1)::int as num, (page_id % 8 + 1)::int as orientation from pages"
+PLACE = r"/([0-9]+)/page/([0-9]{4})\.jpg$"
+
+
+@query(f"select scan_id, num, 240 as width, 320 as height, orientation, case when orientation >= 5 then 320 else 240 end as upright_width, case when orientation >= 5 then 240 else 320 end as upright_height, 'jpeg' as kind from ({IN_FILES})")
+def io1_io17_headers_of_files(spark, sf_dir):
+    """Sizes and orientations of the photos in a folder, which are never read whole."""
+    found = pictures.picture_files(spark, photo_files(spark, sf_dir), pattern="[0-9][0-9][0-9][0-9].jpg")
+    part = lambda k: F.regexp_extract("path", PLACE, k)
+    return found.select(part(1).cast("long").alias("scan_id"), part(2).cast("int").alias("num"), "width", "height", "orientation", "upright_width", "upright_height", "kind")
+
+
+@query(f"select scan_id, num, case when orientation >= 5 then 320 else 240 end as width, case when orientation >= 5 then 240 else 320 end as height, true as decoded, true as dark_at_the_corner from ({IN_FILES})")
+def io1_opened_files(spark, sf_dir):
+    """Photos from a folder, decoded and upright; the table lies at every corner."""
+    found = load_images(spark, f"{photo_files(spark, sf_dir)}/*/page")
+    part = lambda k: F.regexp_extract("path", PLACE, k)
+    first = F.conv(F.hex(F.substring("image.data", 1, 1)), 16, 10).cast("int")
+    return found.select(part(1).cast("long").alias("scan_id"), part(2).cast("int").alias("num"), "image.width", "image.height", F.col("error").isNull().alias("decoded"), (first < 60).alias("dark_at_the_corner"))
+
+
+@query("select page_id // 8 as scan_id, count(*)::int as n_pages, true as whole from pages group by 1")
+def io12_r4_written_documents(spark, sf_dir):
+    """Pages written as documents, all at once, and the documents opened."""
+    encoded = images.encode(shots(spark, sf_dir), 60, keep=["image_id"]).select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"), "jpeg")
+    folder = f"{shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(encoded, folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path", F.decode("content", "ISO-8859-1").alias("text"))
+    whole = F.col("text").startswith("%PDF-") & F.rtrim(F.regexp_replace(F.substring("text", -8, 8), "\n", "")).endswith("%%EOF")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.pdf$", 1).cast("long").alias("scan_id"), (F.size(F.split("text", "/Type /Page ")) - 1).alias("n_pages"), whole.alias("whole"))
+
+
+@query(FILES + """, go as (select scan_id, k, coalesce(num, 0) as n, case k when 1 then 'scan.pdf' when 2 then 'page/' || lpad(num::varchar, 4, '0') || '.jpg' when 3 then 'state/' || lpad(num::varchar, 4, '0') || '.txt' else 'photo/' || lpad(num::varchar, 4, '0') || '.jpg' end as path
+    from (select scan_id, num, list_position(['pdf', 'page', 'state', 'photo'], kind) as k from files))
+    select scan_id, row_number() over (partition by scan_id order by k, n)::int as step, path from go""")
+def cat11_delete_plan(spark, sf_dir):
+    """The steps in which all scans would go."""
+    return deletes.plan(files(spark, sf_dir))
+
+
+@query("""select page_id // 8 as scan_id, k::int as step, ['scan.pdf', 'page/' || n || '.jpg', 'state/' || n || '.txt', 'photo/' || n || '.jpg'][k] as path
+    from (select page_id, lpad((page_id % 8 + 1)::varchar, 4, '0') as n from pages where page_id % 8 = 3), range(1, 5) q(k)""")
+def cat11_retakes(spark, sf_dir):
+    """The fourth page of each scan is to be taken anew."""
+    numbers = ids(spark, sf_dir).where("image_id % 8 = 3").select(F.expr("image_id div 8").alias("scan_id"), (F.col("image_id") % 8 + 1).cast("int").alias("num"))
+    return deletes.retakes(numbers)
+
+
 @query()
 def r1_scan_page(spark, sf_dir):
     out = recipe.scan_page(shots(spark, sf_dir), keep=["image_id"])
