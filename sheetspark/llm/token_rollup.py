@@ -6,16 +6,22 @@ Totals are additive, so a batch adds its sums to them and nothing is counted ane
 delete or a revision takes back what the ledger says, not what the change says.
 
 The ledger has a row for each document and tokenizer version, dealt by hash over
-``buckets`` folders. A batch reads and writes anew the buckets that it touches; a
-version's manifest tells for each bucket which version wrote it last. So neither the
-number of batches before nor what they changed makes a batch dearer.
+``buckets``. A batch appends what it changes to the buckets that it touches, deletes
+included, and no more; a version's manifest tells for each bucket the files that hold
+now: a base and the changes since, of which the last of a document holds. When the
+changes of a bucket outnumber its base they become its new base, and when there are many
+small ones they become one; so what is written, over time, is a few times what is
+changed, however large the ledger. To take back what held, a batch reads the touched
+buckets; one of few documents finds them by their row groups, as files are in order of
+doc_id. Versions that no kept manifest names are deleted.
 
 A batch is written under a name of its own attempt and published by one rename to
 the next version's name, which fails if that is there. Of two writers that read the
 same version one is first; the other reads anew and tries again, so what it takes
 back is what holds then. A version bears its batch's id, and a batch whose id is
 there changes nothing when it comes again, by a retry or a second writer. A writer
-that dies leaves no trace in the totals.
+that dies leaves no trace in the totals. The rename must be one step, as it is in file
+systems; in an object store, where it isn't, writers need a lock.
 
 Of several changes of a document and version in one batch the last by ``seq`` holds
 (then the largest count); an insert of what is there counts as a revision, a
@@ -29,6 +35,7 @@ columns are ignored.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
 from functools import reduce
 
 import pyarrow as pa
@@ -41,10 +48,27 @@ from sheetspark.llm.common import materialized, texts_of, with_arrow
 GROUP = ["source", "lang", "version"]
 KEY = ["doc_id", "version"]
 ENTRIES = "doc_id long, source string, lang string, version string, n_tokens long, bucket int"
+ROWS = "doc_id long, source string, lang string, version string, n_tokens long, gone boolean, at long, bucket int"
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long"
-MANIFEST = "bucket int, at long"
+MANIFEST = "bucket int, base long, base_rows long, deltas array<long>, delta_rows long"
 CHANGES = ["op", "doc_id", "source", "lang", "version", "n_tokens", "seq"]
 BUCKETS = 32
+#: Changes of a bucket that are kept apart at most; versions that readers may still hold; documents that a batch looks up by their ids.
+MOST_DELTAS, KEPT_VERSIONS, FEW_DOCS = 16, 8, 1000
+
+
+@dataclass
+class Bucket:
+    """Which versions' files hold for a bucket."""
+
+    base: int = 0
+    base_rows: int = 0
+    deltas: list[int] = field(default_factory=list)
+    delta_rows: int = 0
+
+    @property
+    def versions(self) -> list[int]:
+        return [v for v in (self.base, *self.deltas) if v]
 
 _engines: dict = {}
 
@@ -100,7 +124,8 @@ class Rollup:
         return list(_context(self.spark, self.root).util().globStatus(_path(self.spark, f"{self.root}/{pattern}")) or [])
 
     def committed(self, batch_id: str) -> bool:
-        return bool(self._found(f"versions/*/batch-{batch_id.encode().hex()}"))
+        name = batch_id.encode().hex()
+        return bool(self._found(f"batches/{name}") or self._found(f"versions/*/batch-{name}"))
 
     def head(self) -> int:
         """The newest version, 0 if there is none."""
@@ -109,17 +134,27 @@ class Rollup:
     def at(self, version: int) -> str:
         return f"{self.root}/versions/{version:012d}"
 
-    def manifest(self, version: int) -> dict[int, int]:
-        """Which version wrote a bucket last: a row for each bucket."""
-        return {r["bucket"]: r["at"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.at(version)}/manifest").collect()} if version else {}
+    def manifest(self, version: int) -> dict[int, Bucket]:
+        """The files of each bucket: a row for each bucket."""
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.at(version)}/manifest").collect() if version else []
+        return {r["bucket"]: Bucket(r["base"], r["base_rows"], list(r["deltas"]), r["delta_rows"]) for r in rows}
+
+    def _rows(self, files: dict[int, list[int]]) -> DataFrame:
+        """The rows that versions wrote to buckets, whether they still hold or not."""
+        paths = [f"{self.at(v)}/entries/bucket={k}" for k, versions in files.items() for v in versions]
+        if not paths:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.read.schema(f"{ROWS}, slot int").parquet(*paths).withColumn("bucket", F.col("slot")).select(*_names(ROWS))
 
     def entries(self, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
         """What holds of each document and tokenizer version, in some buckets or in all."""
         version = self.head() if version is None else version
-        paths = [f"{self.at(v)}/entries/bucket={k}" for k, v in self.manifest(version).items() if buckets is None or k in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], ENTRIES)
-        return self.spark.read.schema(ENTRIES).option("basePath", self.root).parquet(*paths).select(*_names(ENTRIES))
+        now = {k: b for k, b in self.manifest(version).items() if buckets is None or k in buckets}
+        # a base alone has each document once, and none that is gone
+        settled = self._rows({k: b.versions for k, b in now.items() if not b.deltas})
+        changed = {k: b.versions for k, b in now.items() if b.deltas}
+        rows = settled.unionByName(latest_rows(self._rows(changed))) if changed else settled
+        return rows.where("not gone").select(*_names(ENTRIES))
 
     def totals(self, version: int | None = None) -> DataFrame:
         version = self.head() if version is None else version
@@ -148,27 +183,69 @@ class Rollup:
             context.mkdir(_path(self.spark, f"{attempt}/batch-{batch_id.encode().hex()}"), _folder(self.spark), True)
             if self._publish(attempt, version + 1):
                 context.delete(_path(self.spark, base), True)
+                self.vacuum()
                 return True
         return False
 
     def _write(self, attempt: str, version: int, new: DataFrame) -> None:
-        """The buckets that change, the manifest and the totals, as they follow on a version."""
-        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most all buckets
-        old = self.entries(version, touched)
-        fresh = new.where("op <> 'delete'").select(*_names(ENTRIES))
-        kept = old.alias("o").join(new.select(*KEY).alias("n"), same("o", "n", KEY), "left_anti")
-        state = kept.unionByName(fresh).hint("rebalance", "bucket")
-        state.write.partitionBy("bucket").parquet(f"{attempt}/entries")
-        written = {int(f.getPath().getName().split("=")[1]) for f in _context(self.spark, self.root).util().globStatus(_path(self.spark, f"{attempt}/entries/bucket=*")) or []}
-        now = {k: v for k, v in self.manifest(version).items() if k not in touched} | {k: version + 1 for k in written}
-        self.spark.createDataFrame(list(now.items()), MANIFEST).coalesce(1).write.parquet(f"{attempt}/manifest")
-        # the signed sums of the batch
-        back = old.alias("o").join(new.select(*KEY).alias("n"), same("o", "n", KEY), "left_semi").select(*GROUP, "n_tokens", F.lit(-1).alias("sign"))
-        signed = back.unionByName(fresh.select(*GROUP, "n_tokens", F.lit(1).alias("sign")))
+        """The changes, what becomes of full buckets, the manifest and the totals, as they follow on a version."""
+        now = self.manifest(version)
+        touched = {r["bucket"]: r["count"] for r in new.groupBy("bucket").count().collect()}  # at most all buckets
+        rows = new.select("doc_id", "source", "lang", "version", "n_tokens", (F.col("op") == "delete").alias("gone"), F.lit(version + 1).cast("long").alias("at"), "bucket")
+        was = {k: now.get(k, Bucket()) for k in touched}
+        full = {k for k, b in was.items() if b.delta_rows + touched[k] > b.base_rows}
+        many = {k for k, b in was.items() if k not in full and len(b.deltas) >= MOST_DELTAS}
+        # of full buckets all comes together, of those with many changes only the changes
+        older = {k: was[k].versions if k in full else was[k].deltas for k in full | many}
+        out = rows
+        if any(older.values()):
+            together, base = F.col("bucket").isin(*older), F.col("bucket").isin(*full) if full else F.lit(False)
+            merged = latest_rows(self._rows(older).unionByName(rows.where(together)))
+            out = rows.where(~together).unionByName(merged.withColumn("at", F.lit(version + 1).cast("long")))
+            out = out.where(~(base & F.col("gone")))
+        elif full:
+            out = rows.where(~F.col("gone"))  # all buckets are new
+        # a file has its bucket too, as files of several versions are read by their own names
+        out = out.withColumn("slot", F.col("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "doc_id")
+        out.write.partitionBy("bucket").parquet(f"{attempt}/entries")
+        counts = {r["bucket"]: r["count"] for r in self.spark.read.schema(ROWS).parquet(f"{attempt}/entries").groupBy("bucket").count().collect()} if touched else {}
+        for k, b in was.items():
+            n = counts.get(k, 0)
+            if k in full:
+                now[k] = Bucket(version + 1 if n else 0, n)
+            elif k in many:
+                now[k] = Bucket(b.base, b.base_rows, [version + 1] if n else [], n)
+            else:
+                now[k] = Bucket(b.base, b.base_rows, [*b.deltas, version + 1], b.delta_rows + n)
+        listed = [(k, b.base, b.base_rows, b.deltas, b.delta_rows) for k, b in now.items()]
+        self.spark.createDataFrame(listed, MANIFEST).coalesce(1).write.parquet(f"{attempt}/manifest")
+        # the signed sums of the batch: what held of its documents goes, what they have now comes
+        held = self._rows({k: b.versions for k, b in was.items()})
+        if sum(touched.values()) <= FEW_DOCS:
+            ids = [r["doc_id"] for r in new.select("doc_id").distinct().collect()]
+            held = held.where(F.col("doc_id").isin(*[i for i in ids if i is not None]) | (F.col("doc_id").isNull() if None in ids else F.lit(False)))
+        held = held.alias("o").join(new.select(*KEY).alias("n"), same("o", "n", KEY), "left_semi")
+        back = latest_rows(held).where("not gone").select(*GROUP, "n_tokens", F.lit(-1).alias("sign"))
+        signed = back.unionByName(new.where("op <> 'delete'").select(*GROUP, "n_tokens", F.lit(1).alias("sign")))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         sums = self.totals(version).unionByName(delta).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.coalesce(1).write.parquet(f"{attempt}/totals")  # a row for each group
 
+    def vacuum(self, keep: int = KEPT_VERSIONS) -> None:
+        """Deletes files that none of the last ``keep`` versions names; that a batch was committed stays known."""
+        context, head = _context(self.spark, self.root), self.head()
+        old = [v for f in self._found("versions/*") if (v := int(f.getPath().getName())) <= head - keep]
+        if not old:
+            return
+        named = {(v, k) for version in range(max(1, head - keep + 1), head + 1) for k, b in self.manifest(version).items() for v in b.versions}
+        for v in old:
+            for f in self._found(f"versions/{v:012d}/batch-*"):
+                context.mkdir(_path(self.spark, f"{self.root}/batches/{f.getPath().getName()[6:]}"), _folder(self.spark), True)
+            own = self._found(f"versions/{v:012d}/entries/bucket=*")
+            left = [f for f in own if (v, int(f.getPath().getName().split("=")[1])) in named]
+            for f in [f for f in own if f not in left] if left else self._found(f"versions/{v:012d}"):
+                context.delete(f.getPath(), True)
+
     def _publish(self, attempt: str, version: int) -> bool:
         from py4j.protocol import Py4JJavaError
 
@@ -184,6 +261,12 @@ class Rollup:
         return True
 
 
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """Of the rows of a document and tokenizer version the last written."""
+    last = F.max_by(F.struct("source", "lang", "n_tokens", "gone"), "at").alias("l")
+    return rows.groupBy(*KEY, "bucket").agg(last, F.max("at").alias("at")).select(*KEY, "bucket", "at", "l.*").select(*_names(ROWS))
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 

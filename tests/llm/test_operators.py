@@ -4,6 +4,7 @@ repeated rows, empty tables, and columns with clashing names."""
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -699,10 +700,49 @@ def test_two_writers_of_one_document(spark, monkeypatch):
     # a batch that touches one bucket leaves the others where they were
     before = one.manifest(2)
     one.commit("third", spark.createDataFrame([("delete", 1, None, None, "v", 0, 0)], CHANGE))
-    assert sum(v == 3 for v in one.manifest(3).values()) + len(before) - len(one.manifest(3)) <= 1
+    assert sum(b != before.get(k) for k, b in one.manifest(3).items()) <= 1
     assert one.totals().first()["n_docs"] == 1
 
 
+def written(root):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root.removeprefix("file://")) for f in names if f.startswith("part-"))
+
+
+def test_a_batch_costs_what_it_changes(spark):
+    root = fresh_path(spark, "rollup")
+    rollup = token_rollup.Rollup(spark, root, buckets=4)
+    docs = spark.range(1_000_000).selectExpr("'insert' as op", "id as doc_id", "concat('s', id % 3) as source", "'en' as lang", "'v' as version", "id % 1000 as n_tokens", "0 as seq")
+    rollup.commit("load", docs)
+    whole = written(f"{root}/versions/000000000001/entries")
+    for k in range(12):
+        assert rollup.commit(f"one-{k}", spark.createDataFrame([("revise", k, "new", "en", "v", 7, 0)], CHANGE))
+        assert written(f"{rollup.at(rollup.head())}/entries") < whole / 1000
+    got = {r["source"]: (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}
+    assert got["new"] == (12, 84) and sum(n for n, _ in got.values()) == 1_000_000
+    assert sum(t for _, t in got.values()) == 1000 * 999 * 500 - sum(range(12)) + 84
+    assert not rollup.commit("load", docs) and not rollup.commit("one-0", docs)
+    assert rollup.entries().count() == 1_000_000
+
+
+def test_changes_become_bases(spark, monkeypatch):
+    monkeypatch.setattr(token_rollup, "MOST_DELTAS", 3)
+    rollup = token_rollup.Rollup(spark, fresh_path(spark, "rollup"), buckets=1)
+    monkeypatch.setattr(rollup, "vacuum", lambda real=rollup.vacuum: real(2))
+    rng, held = random.Random(5), {}
+    rows = [("insert", k, "a", "en", "v", k, 0) for k in range(30)]
+    shapes = set()
+    for b in range(14):
+        rollup.commit(f"b{b}", spark.createDataFrame(rows, CHANGE))
+        held |= {r[1]: None if r[0] == "delete" else r[5] for r in rows}
+        left = {k: n for k, n in held.items() if n is not None}
+        assert {r["doc_id"]: r["n_tokens"] for r in rollup.entries().collect()} == left
+        assert sum(r["n_tokens"] for r in rollup.totals().collect()) == sum(left.values())
+        shapes.add(len(rollup.manifest(rollup.head())[0].deltas))
+        rows = [(rng.choice(["revise", "delete"]), k, "a", "en", "v", rng.randint(0, 99), 0) for k in rng.sample(range(40), 3)]
+    assert shapes >= {0, 1, 2, 3} and all(not rollup.commit(f"b{b}", spark.createDataFrame(rows, CHANGE)) for b in range(14))
+    assert len(rollup._found("versions/*")) < 8
+
+
 def test_corpus_totals(spark, reference):
     docs = spark.createDataFrame([(1, "same text", "en", "a", 1), (2, "same text", "en", "b", 1), (3, "other", None, "a", 1), (4, None, "en", "a", 1), (5, "same text", "en", "a", 1), (None, "no id", "en", "c", 1)], "doc_id long, text string, lang string, source string, `n.tokens` int")
     got = {(r["source"], r["lang"]): tuple(r)[3:] for r in token_rollup.corpus_totals(docs, RANKS, "v", fresh_path(spark, "rollup")).collect()}
