@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sheetspark.functions import geometry, tones
 from sheetspark.operators import measures
+from sheetspark.sources.scratch import Rounds
 
 RGB = ("r", "g", "b")
 MOST_RADIUS = 20
@@ -101,12 +102,16 @@ def weight(kind: str, target: Column, source: Column, size: Column, to: Column)
         return F.greatest(F.lit(0), F.least((target + 1) * size, (source + 1) * to) - F.greatest(target * size, source * to))
     if kind == "triangle":
         return F.greatest(F.lit(0), 2 * F.greatest(size, to) - F.abs((2 * source + 1) * to - (2 * target + 1) * size))
-    raise ValueError(f"a filter is box or triangle, not {kind}")
+    if kind == "lanczos":
+        d = F.abs((2 * source + 1) * to - (2 * target + 1) * size) / (2 * F.greatest(size, to)).cast("double") * math.pi
+        bell = F.when(d == 0, 1.0).when(d >= 3 * math.pi, 0.0).otherwise(3 * F.sin(d) * F.sin(d / 3) / (d * d))
+        return F.floor(bell * 4096 + 0.5)
+    raise ValueError(f"a filter is box, triangle or lanczos, not {kind}")
 
 
 def reached(kind: str, target: Column, size: Column, to: Column) -> Column:
     """The places of the source that may count for a place of the target."""
-    over = F.lit(0) if kind == "box" else F.greatest(size, to)
+    over = F.lit(0) if kind == "box" else F.greatest(size, to) * (3 if kind == "lanczos" else 1)
     low, high = F.floor((target * size - over) / to), F.floor(((target + 1) * size + over) / to)
     return F.sequence(F.greatest(F.lit(0), low.cast("int")), F.least(size - 1, high.cast("int")))
 
@@ -128,16 +133,17 @@ def resized(lines: DataFrame, sizes: DataFrame, kind: str = "box", values: tuple
 
     rows = rows.select("image_id", "y", "width", "height", "to_width", "to_height", *[across(c).alias(c) for c in values])
     # the target lines for which a line may count are found like the places of the source for a target, the other way round
-    to = F.explode(F.sequence(F.greatest(F.lit(0), (F.floor((F.col("y") * th - F.greatest(h, th)) / h)).cast("int") - 1), F.least(th - 1, F.floor(((F.col("y") + 1) * th + F.greatest(h, th)) / h).cast("int") + 1)))
-    rows = rows.withColumn("t", to).withColumn("share", weight(kind, F.col("t"), F.col("y"), h, th).cast("long")).where("share > 0")
+    over = F.greatest(h, th) * (3 if kind == "lanczos" else 1)
+    to = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("y") * th - over) / h).cast("int") - 1), F.least(th - 1, F.floor(((F.col("y") + 1) * th + over) / h).cast("int") + 1)))
+    rows = rows.withColumn("t", to).withColumn("share", weight(kind, F.col("t"), F.col("y"), h, th).cast("long")).where("share <> 0")
     met = rows.groupBy("image_id", "t").agg(F.first("width").alias("width"), F.first("to_width").alias("to_width"), F.sum("share").alias("down"), F.collect_list(F.struct("share", *values)).alias("l"))
     at = F.sequence(F.lit(0), tw - 1)
-    total = F.transform(at, lambda t: F.aggregate(reached(kind, t, w, tw), none, lambda s, x: s + weight(kind, t, x, w, tw)))
+    total = F.transform(at, lambda t: F.aggregate(reached(kind, t, w, tw), none, lambda s, x: s + weight(kind, t, x, w, tw).cast("long")))
     met = met.withColumn("across", total)
 
     def made(c: str) -> Column:
         one = lambda t: divided(F.aggregate(F.col("l"), none, lambda s, e: s + e["share"] * F.get(e[c], t)), F.get(F.col("across"), t) * F.col("down"))
-        return F.transform(at, one)
+        return F.transform(F.transform(at, one), lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(255)))
 
     return met.select("image_id", F.col("t").alias("y"), *[made(c).alias(c) for c in values])
 
@@ -182,6 +188,26 @@ def detail(lines: DataFrame, values: str = "v") -> DataFrame:
     return rows.groupBy("image_id").agg(F.sqrt(F.sum("s") / F.sum("n")).alias("detail"))
 
 
+def in_grey(lines: DataFrame) -> DataFrame:
+    """image_id, y, v: brightness by the weights of a grey image."""
+    zipped = F.arrays_zip(F.col("r").alias("r"), F.col("g").alias("g"), F.col("b").alias("b"))
+    return lines.select("image_id", "y", F.transform(zipped, lambda p: tones.luma(p["r"], p["g"], p["b"])).alias("v"))
+
+
+def turned(lines: DataFrame, sizes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Lines of pictures turned clockwise by small angles (image_id, degrees), without empty corners; those with 0 stay as they are."""
+    rows = sizes.join(degrees.where("degrees <> 0"), "image_id")
+    c = geometry.straighten_corners(F.col("width"), F.col("height"), F.col("degrees"))
+    corners = Rounds(lines.sparkSession, "corners").write(rows.select("image_id", "width", "height", *[v.alias(f"c{k}") for k, v in enumerate(c)]))
+    stay = lines.select("image_id", "y", *RGB).join(corners.select("image_id"), "image_id", "left_anti")
+    return flattened(lines, corners).unionByName(stay)
+
+
+def sizes_of(lines: DataFrame, values: str = "r") -> DataFrame:
+    """image_id, width and height of the pictures that lines make."""
+    return lines.groupBy("image_id").agg(F.max(F.size(values)).alias("width"), (F.max("y") + 1).alias("height"))
+
+
 # ---- tilts
 
 
@@ -234,9 +260,14 @@ def line_sharpness(sums: DataFrame, sizes: DataFrame, angles: DataFrame) -> Data
     return measures.sharpness_of_bins(bins)
 
 
+def named(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is reckoned once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_place(guess: Column, holds) -> Column:
     """The first place from which on ``holds`` is true, one off the guess at most."""
-    return F.when(holds(guess - 1), guess - 1).when(holds(guess), guess).otherwise(guess + 1)
+    return named(guess, lambda g: F.when(holds(g - 1), g - 1).when(holds(g), g).otherwise(g + 1))
 
 
 def darkness_sums(lines: DataFrame, sizes: DataFrame, values: str = "v") -> DataFrame:
@@ -263,6 +294,8 @@ def flattened(lines: DataFrame, corners: DataFrame) -> DataFrame:
     c = [F.col(f"c{k}") for k in range(8)]
     w, h = geometry.flat_size(c)
     rows = corners.select("image_id", "width", "height", w.alias("w"), h.alias("h"), *[v.alias(k) for k, v in geometry.flatten_map(c).items()]).where("w >= 2 and h >= 2 and wa is not null")
+    # a row a picture, reckoned once: in one plan with all that follows, code for it would be generated over and over
+    rows = Rounds(lines.sparkSession, "maps").write(rows)
     rows = rows.withColumn("ty", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("down", (F.col("ty") + 0.5) / F.col("h"))
     rows = rows.withColumns({"share": F.col("wb") * F.col("down") + 1, "left": F.col("bx") * F.col("down") + F.col("x0"), "top": F.col("by") * F.col("down") + F.col("y0")})
     width, wa, ay = F.col("w"), F.col("wa"), F.col("ay")

@@ -20,6 +20,9 @@ FEWEST_POINTS = 8
 MOST_INWARD, MOST_LEAN = 60.0, 12
 QUAD_ON_SHEET, SHEET_IN_QUAD, CARRIED_ON = 0.85, 0.90, 0.30
 JUST_PAST, WELL_PAST = 4, 10
+#: And of the second reading: how many places a side, how far each looks, how wide the step, what it loses for safety.
+READINGS, REACH, GAP, FEWEST_READINGS, HAIR, INWARD = 29, 60, 2, 5, 1.5, 0.5
+ENDS = {"left": ("c1", "c7"), "right": ("c3", "c5"), "top": ("c0", "c2"), "bottom": ("c6", "c4")}
 
 SIDES = (("left", "y", "x", -1), ("right", "y", "x", 1), ("top", "x", "y", -1), ("bottom", "x", "y", 1))
 
@@ -166,3 +169,72 @@ def leans(readings: DataFrame) -> DataFrame:
 def places(readings: DataFrame) -> DataFrame:
     """image_id, side, place: the innermost reading, but at most sixty inside of their median."""
     return readings.groupBy("image_id", "side").agg(F.greatest(F.min("miss"), upper("miss") - MOST_INWARD).alias("place"))
+
+
+def feet(quads: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, side, k, part, slope, offset, begin, end, and fx, fy: places along each side, as points of the photo.
+
+    ``sizes`` has image_id, width and height of the photo, small_width and small_height of the copy that the sides are told on.
+    """
+    sides = []
+    for side, along, _, outward in SIDES:
+        a, b = ENDS[side]
+        sides.append(F.struct(F.lit(side).alias("side"), F.lit(along == "y").alias("upright"), F.lit(outward).alias("outward"), F.col(f"{side[0]}s").alias("slope"), F.col(f"{side[0]}o").alias("offset"), F.col(a).alias("begin"), F.col(b).alias("end")))
+    rows = quads.select("image_id", F.explode(F.array(*sides)).alias("s")).select("image_id", "s.*").join(sizes, "image_id")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(READINGS)))).withColumn("part", F.col("k") / (READINGS + 1))
+    rows = rows.withColumn("along", F.col("begin") + (F.col("end") - F.col("begin")) * F.col("part"))
+    rows = rows.withColumn("across", F.col("slope") * F.col("along") + F.col("offset"))
+    x, y = F.when(F.col("upright"), F.col("across")).otherwise(F.col("along")), F.when(F.col("upright"), F.col("along")).otherwise(F.col("across"))
+    return rows.withColumns({"fx": (x + 0.5) * F.col("width") / F.col("small_width"), "fy": (y + 0.5) * F.col("height") / F.col("small_height")})
+
+
+def readings_in_photo(places: DataFrame, lines: DataFrame, steps: DataFrame) -> DataFrame:
+    """image_id, side, part, miss: how far outward of each place the steepest fall in tone lies, where it is a ``step`` or more.
+
+    The pixels that all places ask for are brought together by the lines they lie on, so a packed line (image_id, y, r, g, b) is met once,
+    and only values move on. Tones are means of three; a fall is from one mean to that six pixels on.
+    """
+    reach = REACH + GAP + 2
+    asked = places.withColumn("at", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    move = F.col("outward") * F.col("at")
+    asked = asked.withColumns({"x": F.col("fx") + F.when(F.col("upright"), move).otherwise(0), "y": F.col("fy") + F.when(F.col("upright"), 0).otherwise(move)})
+    asked = asked.where("x >= 0 and y >= 0 and x < width and y < height")
+    by_line = asked.groupBy("image_id", F.floor("y").cast("int").alias("y")).agg(F.collect_list(F.struct("side", "k", "at", F.floor("x").cast("int").alias("x"))).alias("asked"))
+    tone = lambda x: 0.299 * F.get("r", x) + 0.587 * F.get("g", x) + 0.114 * F.get("b", x)
+    seen = by_line.join(lines.select("image_id", "y", "r", "g", "b"), ["image_id", "y"])
+    seen = seen.select("image_id", F.explode(F.transform("asked", lambda a: F.struct(a["side"].alias("side"), a["k"].alias("k"), a["at"].alias("at"), F.round(tone(a["x"]), 6).alias("tone")))).alias("s")).select("image_id", "s.*")
+    # the places of a ray within the picture follow one another
+    rays = seen.groupBy("image_id", "side", "k").agg(F.sort_array(F.collect_list(F.struct("at", "tone"))).alias("l"))
+    tones = F.transform(F.sequence(F.lit(0), F.lit(2 * reach)), lambda i: F.get("l", i - F.get("l", F.lit(0))["at"] - reach)["tone"])
+    # null where any of the three lies off the picture
+    means = lambda t: F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 2)), lambda i: (F.get(t, i) + F.get(t, i + 1) + F.get(t, i + 2)) / 3)
+    fall = lambda m, i: F.struct(F.round(F.coalesce(F.get(m, i) - F.get(m, i + 2 * GAP + 2), F.lit(0.0)), 6).alias("fall"), (-i).alias("first"))
+    steepest = lambda m: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(2 * REACH)), lambda i: fall(m, i)))
+    # in one expression: as columns of their own, the filter below would write each into the next, for every element
+    once = lambda v, use: F.get(F.transform(F.array(v), use), F.lit(0))
+    rays = rays.withColumn("best", once(tones, lambda t: once(means(t), steepest))).join(steps, "image_id").where("best.fall > 0 and best.fall >= step")
+    read = rays.select("image_id", "side", (F.col("k") / (READINGS + 1)).alias("part"), (-F.col("best.first") - REACH).cast("double").alias("miss"))
+    return read
+
+
+def sides_read_again(quads: DataFrame, lines: DataFrame, sizes: DataFrame, steps: DataFrame) -> DataFrame:
+    """image_id, side, slope, offset: the sides where the photo has them, on the small copy.
+
+    Where too few places of a side can be read, it moves inward by half a pixel instead.
+    """
+    places_of = feet(quads, sizes)
+    read = readings_in_photo(places_of, lines, steps)
+    enough = read.groupBy("image_id", "side").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST_READINGS)
+    read = read.join(enough, ["image_id", "side"])
+    sides = places_of.where("k = 1").select("image_id", "side", "upright", "outward", "slope", "offset", "begin", "end", "width", "height", "small_width", "small_height")
+    long = sides.where("abs(end - begin) >= 1").select("image_id", "side")
+    lean = leans(read.join(long, ["image_id", "side"], "left_semi"))
+    level = read.join(lean, ["image_id", "side"], "left").withColumn("lean", F.coalesce("lean", F.lit(0))).withColumn("miss", F.col("miss") - F.col("lean") * F.col("part"))
+    placed = places(level).join(level.groupBy("image_id", "side").agg(F.first("lean").alias("lean")), ["image_id", "side"])
+    rows = sides.join(placed, ["image_id", "side"], "left")
+    unit = F.col("outward") * F.when(F.col("upright"), F.col("small_width") / F.col("width")).otherwise(F.col("small_height") / F.col("height"))
+    rate = F.when(F.abs(F.col("end") - F.col("begin")) >= 1, F.col("lean") / (F.col("end") - F.col("begin"))).otherwise(0.0)
+    read_at = F.col("place").isNotNull()
+    slope = F.when(read_at, F.col("slope") + unit * rate).otherwise(F.col("slope"))
+    offset = F.when(read_at, F.col("offset") + unit * (F.col("place") - HAIR - rate * F.col("begin"))).otherwise(F.col("offset") - F.col("outward") * INWARD)
+    return rows.select("image_id", "side", slope.alias("slope"), offset.alias("offset"))

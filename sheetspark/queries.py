@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sheetspark.functions import geometry, tones
 from sheetspark.kernels import jpeg, raster
 from sheetspark.operators import acts, catalog, images, lines, measures, runs, sheet
-from sheetspark.plans import recipe
+from sheetspark.plans import pages, recipe
 from sheetspark.sources import deletes, documents, pictures, synthetic
 from sheetspark.sources.files import images_to_pdf, load_images
 from sheetspark.sources.scratch import shared_folder
@@ -706,6 +706,72 @@ def g12_accepted_sheets(spark, sf_dir):
     return runs.accepted(tried_quads(spark, sf_dir), runs.runs_of_pixels(mask(spark, sf_dir)), sizes(spark, sf_dir))
 
 
+FEET_SQL = ", feet as (" + " union all ".join(
+    f"""select image_id, '{side}' as side, k, k / 30.0::double as part, {x} as fx, {y} as fy, {dx} as dx, {dy} as dy from (
+    select image_id, k, {b} + ({e} - {b}) * (k / 30.0::double) as pos, {s} * ({b} + ({e} - {b}) * (k / 30.0::double)) + {o} as across from cn, range(1, 30) q(k))"""
+    for side, s, o, b, e, x, y, dx, dy in (
+        ("left", "ls", "lo", "c1", "c7", "across + 0.5", "pos + 0.5", -1, 0), ("right", "rs", "ro", "c3", "c5", "across + 0.5", "pos + 0.5", 1, 0),
+        ("top", "ts", '"to"', "c0", "c2", "pos + 0.5", "across + 0.5", 0, -1), ("bottom", "bs", "bo", "c6", "c4", "pos + 0.5", "across + 0.5", 0, 1),
+    )
+) + """), asked as (select feet.*, o, fx + dx * o as x, fy + dy * o as y from feet, range(-64, 65) q(o)),
+tone as (select a.image_id, a.side, a.k, a.part, a.o, round(0.299::double * p.r + 0.587::double * p.g + 0.114::double * p.b, 6) as tone
+    from (select *, floor(x)::int as ax, floor(y)::int as ay from asked) a left join px p on p.image_id = a.image_id and p.x = a.ax and p.y = a.ay),
+means as (select *, (tone + lead(tone) over w + lead(tone, 2) over w) / 3 as mean from tone window w as (partition by image_id, side, k order by o)),
+falls as (select *, round(coalesce(mean - lead(mean, 6) over (partition by image_id, side, k order by o), 0), 6) as fall from means),
+best as (select *, row_number() over (partition by image_id, side, k order by fall desc, o) as i from falls where o between -64 and 56),
+found as (select b.image_id, side, part, (o + 4)::double as miss from best b join lv using (image_id) where i = 1 and fall > 0 and fall >= step)"""
+
+
+def photo_sizes(spark, sf_dir):
+    return sizes(spark, sf_dir).withColumns({"small_width": F.col("width"), "small_height": F.col("height")})
+
+
+def steps(spark, sf_dir):
+    return measures.paper_and_table(px(spark, sf_dir), F.col("sheet")).select("image_id", "step")
+
+
+@query(MIDDLES + ", " + LINES[5:] + ", cn as (select *, " + CROSS + " from ln)" + FEET_SQL + " select image_id, side, round(part, 6) as part, miss from found")
+def g9_edges_across_sides(spark, sf_dir):
+    """Where the photo has the sides, place by place."""
+    feet = sheet.feet(sheet.quadrilaterals(four_lines(spark, sf_dir)), photo_sizes(spark, sf_dir))
+    return sheet.readings_in_photo(feet, packed(spark, sf_dir), steps(spark, sf_dir)).withColumn("part", F.round("part", 6))
+
+
+@query(MIDDLES + ", " + LINES[5:] + ", cn as (select *, " + CROSS + " from ln)" + FEET_SQL + """, enough as (select * from found where (image_id, side) in (select (image_id, side) from found group by image_id, side having count(*) >= 5)),
+    tried as (select image_id, side, l::int as lean, list_sort(list(miss - l * part)) as m from enough, range(-12, 13) q(l) group by all),
+    leans as (select *, row_number() over (partition by image_id, side order by round(m[len(m) // 2 + 1] - m[1], 6), abs(lean), -lean) as i from tried),
+    placed as (select image_id, side, lean, greatest(m[1], m[len(m) // 2 + 1] - 60) - 1.5::double as place from leans where i = 1),
+    given as (""" + " union all ".join(f"""select image_id, '{side}' as side, {s} as slope, {o} as "offset", {out} as outward, {b} as b, {e} as e from cn""" for side, s, o, out, b, e in (("left", "ls", "lo", -1, "c1", "c7"), ("right", "rs", "ro", 1, "c3", "c5"), ("top", "ts", '"to"', -1, "c0", "c2"), ("bottom", "bs", "bo", 1, "c6", "c4"))) + """)
+    select g.image_id, g.side, round(case when p.place is null then slope else slope + outward * (lean / (e - b)) end, 6) as slope,
+        round(case when p.place is null then "offset" - outward * 0.5 else "offset" + outward * (place - lean / (e - b) * b) end, 6) as "offset" from given g left join placed p on g.image_id = p.image_id and g.side = p.side""")
+def g8_sides_read_again(spark, sf_dir):
+    again = sheet.sides_read_again(sheet.quadrilaterals(four_lines(spark, sf_dir)), packed(spark, sf_dir), photo_sizes(spark, sf_dir), steps(spark, sf_dir))
+    return again.withColumns({"slope": F.round("slope", 6), "offset": F.round("offset", 6)})
+
+
+def framed(spark, sf_dir):
+    """The images with twelve more pixels of table all round, as lines."""
+    tone = (20 + F.col("image_id") % 9).cast("int")
+    edge = F.array_repeat(tone, F.lit(12))
+    rows = packed(spark, sf_dir).select("image_id", (F.col("y") + 12).alias("y"), *[F.concat(edge, F.col(c), edge).alias(c) for c in "rgb"])
+    n = SIDE + 24
+    table = ids(spark, sf_dir).withColumn("y", F.explode(F.concat(F.sequence(F.lit(0), F.lit(11)), F.sequence(F.lit(n - 12), F.lit(n - 1)))))
+    return rows.unionByName(table.select("image_id", "y", *[F.array_repeat(tone, F.lit(n)).alias(c) for c in "rgb"]))
+
+
+@query()
+def g2_sheets_over_lines(spark, sf_dir):
+    """The search as a whole, over relations: corners of each image's sheet."""
+    found = pages.find_sheets(framed(spark, sf_dir))
+    return found.select("image_id", "fitted", "runs_off", *[F.round(f"c{k}", 3).alias(f"c{k}") for k in range(8)])
+
+
+@query()
+def r1_scanned_lines(spark, sf_dir):
+    """Finished pages, as lines, of the first steps to the last."""
+    return lines.digest(pages.scan_pages(framed(spark, sf_dir)))
+
+
 BELL = ", k as (select unnest(range(-2, 3))::int as d, unnest([" + ", ".join(map(str, lines.gaussian(1.0))) + "])::bigint as w)"
 SOFT = BELL + """, h as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + """ from px a, k join px p on p.image_id = a.image_id and p.y = a.y and p.x = least(greatest(a.x + d, 0), 63) group by all),
 soft as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + " from h a, k join h p on p.image_id = a.image_id and p.x = a.x and p.y = least(greatest(a.y + d, 0), 63) group by all)"
