@@ -324,6 +324,12 @@ def int_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
+def covering(offsets: np.ndarray, start: int, stop: int) -> tuple[int, int]:
+    """The range of tokens, told by the byte at which each begins, that covers bytes start to stop."""
+    first = max(int(np.searchsorted(offsets, start, "right")) - 1, 0)
+    return first, max(first, int(np.searchsorted(offsets, stop, "left")))
+
+
 INTS = T.ArrayType(T.IntegerType())
 
 
@@ -365,3 +371,31 @@ def decode(rows: DataFrame, ranks_path: str, ids: str = "token_ids", keep: list[
         return call
 
     return with_arrow(rows, [ids] if offsets is None else [ids, offsets], [T.StructField("decoded", T.BinaryType())], make, keep)
+
+
+def decode_range(rows: DataFrame, ranks_path: str, start: str, stop: str, ids: str = "token_ids", offsets: str = "token_offsets", keep: list[str] | None = None) -> DataFrame:
+    """Adds ``decoded_range``, the bytes from ``start`` to ``stop`` (columns) of what the ids decode to.
+
+    The offsets tell which tokens cover them, and only those are decoded. A range beyond the end ends there; null bounds, or
+    a null list, give null.
+    """
+
+    def make():
+        bpe = loaded(ranks_path)
+
+        def call(column: pa.Array, places: pa.Array, starts: pa.Array, stops: pa.Array) -> list[pa.Array]:
+            out = []
+            for k, (a, b) in enumerate(zip(starts.to_pylist(), stops.to_pylist(), strict=True)):
+                if a is None or b is None or not column[k].is_valid or not places[k].is_valid:
+                    out.append(None)
+                    continue
+                at = places[k].values.to_numpy(zero_copy_only=False)
+                a = max(a, 0)
+                first, last = covering(at, a, max(a, b))
+                begin = int(at[first]) if first < len(at) else 0
+                out.append(bpe.decode(column[k].values.to_numpy(zero_copy_only=False)[first:last])[a - begin : max(a, b) - begin])
+            return [pa.array(out, pa.binary())]
+
+        return call
+
+    return with_arrow(rows, [ids, offsets, start, stop], [T.StructField("decoded_range", T.BinaryType())], make, keep)

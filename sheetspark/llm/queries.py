@@ -262,7 +262,9 @@ with cut as (
 ), near as (
     select distinct a.line from sides a join sides b
     on a.side = b.side and a.half = b.half and b.place < a.place and abs(a.n - b.n) <= 1
-    where levenshtein(a.line, b.line) <= 1
+    where levenshtein(a.line, b.line) <= 4 -- counts bytes, of which a character has four at most; then by characters
+        and case when a.n = b.n then len([k for k in range(a.n) if left(a.line, k::int) = left(b.line, k::int) and right(a.line, (a.n - 1 - k)::int) = right(b.line, (a.n - 1 - k)::int)]) > 0
+            else len([k for k in range(least(a.n, b.n) + 1) if left(a.line, k::int) = left(b.line, k::int) and right(a.line, (least(a.n, b.n) - k)::int) = right(b.line, (least(a.n, b.n) - k)::int)]) > 0 end
 ), kept as (
     select l.doc_id, l.no, l.raw, l.line = '' or (f.place = (l.doc_id, l.no) and l.line not in (select line from near)) as keep
     from lines l left join firsts f on l.line = f.line

@@ -1,5 +1,7 @@
 """The registered queries on a small scale, and the pipeline by its stages."""
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -24,6 +26,76 @@ def test_query_has_a_row_a_document(name, spark, sf):
     assert n == spark.read.parquet(f"{sf}/documents.parquet").count() or name == "op10_token_counts" and n > 10
 
 
+def texts_of(spark, sf):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def test_op1_columns_against_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    got = {r["doc_id"]: r for r in queries()["op1_token_records"](spark, sf).collect()}
+    for i, t in sorted(texts_of(spark, sf).items()):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_op3_columns_and_held_out_accuracy(spark, sf):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries()["op3_language_id"](spark, sf).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in rows)
+    told = [(r["lang_pred"], langs[r["doc_id"]]) for r in rows if r["held_out"] and langs[r["doc_id"]]]
+    assert sum(a == b for a, b in told) >= 0.97 * len(told) and len(told) > 20
+
+
+def test_op5_columns_against_the_library(spark, sf):
+    engine = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    got = {r["doc_id"]: r for r in queries()["op5_byte_bpe"](spark, sf).collect()}
+    for i, t in texts_of(spark, sf).items():
+        ids = engine.encode_ordinary(t)
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_ranges_of_bytes_by_offsets(spark):
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    texts = ["Plain words, naïve é 😀 and more.", "", None, "x" * 300]
+    spans = [(0, 5), (3, 3), (7, 1000), (-4, 9), (12, 20), (999, 1005), (None, 3)]
+    rows = spark.createDataFrame([(k, t, a, b) for k, t in enumerate(texts) for a, b in spans], "doc_id long, text string, a int, b int")
+    for r in byte_bpe.decode_range(byte_bpe.encode(rows, ranks), ranks, "a", "b").collect():
+        want = None if r["a"] is None else (r["text"] or "").encode()[max(r["a"], 0) : max(r["b"], 0)]
+        assert (r["decoded_range"] is None and want is None) or bytes(r["decoded_range"]) == want
+
+
+def test_op6_columns_by_plain_patterns(spark, sf):
+    got = {r["doc_id"]: r for r in queries()["op6_secret_scan"](spark, sf).collect()}
+    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    for i, t in texts_of(spark, sf).items():
+        spans = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 16]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0]))))
+        r = got[i]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(r["spans"].split(","))
+
+
+def test_op7_columns(spark, sf):
+    got, texts = {r["doc_id"]: r for r in queries()["op7_doc_fingerprint"](spark, sf).collect()}, texts_of(spark, sf)
+    ids, prints = sorted(texts), {}
+    for k, i in enumerate(ids):
+        t, other = texts[i], ids[(k + 1) % len(ids)]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + texts[other][:cut]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        if t == texts[other] and t:
+            assert r["near_next"] == 1
+
+
 def test_token_counts_of_all_and_of_distinct_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
     engine = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
@@ -95,6 +167,6 @@ def test_token_offsets_reach_the_end(spark, sf, monkeypatch):
 def test_language_stage_drops_what_no_language_explains(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     schema = docs.schema
-    more = [(10**9 + 1, "q8Zk2 xV9w! Jp0@Rt7", "en", "s", 19), (10**9 + 2, "Zx9#" * 3000, "en", "s", 12_000), (10**9 + 3, "½ ² ①", "en", "s", 5)]
+    more = [(10**9 + 1, "q8Zk2 xV9w! Jp0@Rt7", None, "s", 19), (10**9 + 2, "Zx9#" * 3000, None, "s", 12_000), (10**9 + 3, "½ ² ①", None, "s", 5)]
     out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(more, schema)), sf)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
