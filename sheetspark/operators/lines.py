@@ -20,6 +20,7 @@ RGB = ("r", "g", "b")
 MOST_RADIUS = 20
 #: What is added before a bin is cut to a whole number: places are exact to nine digits.
 NINTH = 5e-10
+BROADCAST_ANGLES = 500_000  # of about 50 bytes each
 
 
 def packed(pixels: DataFrame, values: tuple[str, ...] = RGB) -> DataFrame:
@@ -35,6 +36,12 @@ def unpacked(lines: DataFrame, values: tuple[str, ...] = RGB) -> DataFrame:
     return rows.select("image_id", "x", "y", *[F.col(f"p.{c}").alias(c) for c in values])
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over as many tasks as the session has: a line is few bytes and much work, so tasks mustn't be merged by bytes."""
+    session = df.sparkSession
+    return df.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def divided(total: Column, by: Column | int) -> Column:
     """A whole sum over a whole weight, rounded, halves upwards."""
     by = by if isinstance(by, Column) else F.lit(by)
@@ -231,32 +238,32 @@ def line_sharpness(sums: DataFrame, sizes: DataFrame, angles: DataFrame) -> Data
     at = sizes.join(angles, "image_id").withColumn("sin", F.sin(F.radians("tilt"))).withColumn("cos", F.cos(F.radians("tilt")))
     at = at.withColumn("shift", F.when(F.col("sin") > 0, F.col("width") * F.col("sin")).otherwise(0.0))
     at = at.withColumn("last", F.ceil(F.round(F.col("height") * F.col("cos") + F.col("width") * F.abs("sin"), 9)).cast("int"))
-    at = at.groupBy("image_id").agg(F.collect_list(F.struct("tilt", "sin", "cos", "shift", "last")).alias("angles"))
-    w, p = F.col("width"), F.col("p")
-
-    def pieces(a: Column) -> Column:
-        base, sin = F.col("y") * a["cos"] + a["shift"] + NINTH, a["sin"]
-        bin_of = lambda x: F.floor(base - x * sin).cast("int")
-        low, high = F.least(bin_of(F.lit(0)), bin_of(w - 1)), F.greatest(bin_of(F.lit(0)), bin_of(w - 1))
-
-        def begin(b: Column) -> Column:
-            """The first place in bin b, in order of x; the line's end for a bin after the last."""
-            falling, rising = F.floor((base - b - 1) / sin).cast("int") + 1, F.ceil((b - base) / sin * -1).cast("int")
-            down = first_place(falling, lambda x: bin_of(x) <= b)
-            up = first_place(rising, lambda x: bin_of(x) >= b)
-            return F.least(F.greatest(F.when(sin > 0, down).otherwise(up), F.lit(0)), w)
-
-        step = F.when(sin > 0, -1).otherwise(1)
-
-        def piece(b: Column) -> Column:
-            start = F.when(sin == 0, F.lit(0)).otherwise(begin(b))
-            stop = F.when((sin == 0) | (F.when(sin > 0, b == low).otherwise(b == high)), w).otherwise(begin(b + step))
-            return F.struct(a["tilt"].alias("tilt"), F.least(b, a["last"]).alias("bin"), (F.get(p, stop) - F.get(p, start)).alias("dark"), (stop - start).alias("n"))
-
-        return F.transform(F.sequence(low, high), piece)
-
-    rows = sums.join(at, "image_id").select("image_id", F.explode(F.flatten(F.transform("angles", pieces))).alias("b")).where("b.n > 0")
-    bins = rows.groupBy("image_id", "b.tilt", "b.bin").agg((F.sum("b.dark") / F.sum("b.n")).alias("dark"), F.sum("b.n").alias("n"))
+    # plain columns all the way to the sums, so that a piece costs compiled code and no row: the line's array is only looked into
+    # Spark takes packed lines for small; lines stay where they are while the angles, of a counted size, go to them
+    at = at.select("image_id", "tilt", "sin", "cos", "shift", "last")
+    rows = sums.join(F.broadcast(at) if at.count() <= BROADCAST_ANGLES else at.hint("merge"), "image_id")
+    w, sin, b = F.col("width"), F.col("sin"), F.col("b")
+    rows = rows.withColumn("base", F.col("y") * F.col("cos") + F.col("shift") + NINTH)
+    bin_of = lambda x: F.floor(F.col("base") - x * sin).cast("int")
+    ends = bin_of(F.lit(0)), bin_of(w - 1)
+    rows = rows.withColumn("b", F.explode(F.sequence(F.least(*ends), F.greatest(*ends))))
+
+    def begin(b: Column) -> Column:
+        """The first place in bin b, in order of x, or the line's end: the place where the bin's edge crosses, or the one beside it."""
+        falls = sin > 0
+        edge = F.when(falls, b + 1).otherwise(b)
+        guess = F.ceil(F.coalesce(F.try_divide(F.col("base") - edge, sin), F.lit(0.0))).cast("int")
+        holds = lambda x: F.when(falls, bin_of(x) <= b).otherwise(bin_of(x) >= b)
+        found = F.when(holds(guess - 1), guess - 1).when(holds(guess), guess).otherwise(guess + 1)
+        return F.least(F.greatest(found, F.lit(0)), w)
+
+    last = b == F.when(sin > 0, F.least(*ends)).otherwise(F.greatest(*ends))
+    start = F.when(sin == 0, F.lit(0)).otherwise(begin(b))
+    stop = F.when((sin == 0) | last, w).otherwise(begin(b + F.when(sin > 0, -1).otherwise(1)))
+    rows = rows.withColumns({"start": start, "stop": stop}).where("start < stop")
+    dark = F.sum(F.get("p", F.col("stop")) - F.get("p", F.col("start")))
+    n = F.sum(F.col("stop") - F.col("start"))
+    bins = rows.groupBy("image_id", "tilt", F.least(b, F.col("last")).alias("bin")).agg((dark / n).alias("dark"), n.alias("n"))
     return measures.sharpness_of_bins(bins)
 
 
@@ -324,7 +331,7 @@ def flattened(lines: DataFrame, corners: DataFrame) -> DataFrame:
     pairs = lines.select("image_id", "y", *RGB)
     below = Window.partitionBy("image_id").orderBy("y")
     pairs = pairs.withColumns({f"{k}_low": F.coalesce(F.lead(k).over(below), F.col(k)) for k in RGB})
-    met = rows.join(pairs, ["image_id", "y"])
+    met = dealt(rows, "image_id", "y").join(dealt(pairs, "image_id", "y"), ["image_id", "y"])
 
     def mixed(k: str) -> Column:
         def one(p: Column) -> Column:

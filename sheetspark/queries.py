@@ -296,6 +296,12 @@ t as (select image_id, x, y, {0} from f)""".format(
     + DIGEST.format(RGB, "t")
 )
 def p4_apply_levels(spark, sf_dir):
+    pixels = px(spark, sf_dir)
+    return acts.digest(acts.apply_levels(pixels, measures.suggest_levels(pixels)))
+
+
+@query(ORACLES["p4_apply_levels"])
+def p4_levels_over_lines(spark, sf_dir):
     return acts.digest(lines.stretched(packed(spark, sf_dir), measures.suggest_levels(px(spark, sf_dir))))
 
 
@@ -365,6 +371,11 @@ t as (select n.image_id, n.x, n.y, """ + ", ".join(
 ) + """ from n join px p on p.image_id = n.image_id and p.x = l and p.y = u join px q on q.image_id = n.image_id and q.x = least(l + 1, 63) and q.y = u
     join px i on i.image_id = n.image_id and i.x = l and i.y = least(u + 1, 63) join px j on j.image_id = n.image_id and j.x = least(l + 1, 63) and j.y = least(u + 1, 63))""" + DIGEST.format(RGB, "t"))
 def p11_flatten(spark, sf_dir):
+    return acts.digest(acts.flatten(px(spark, sf_dir), quads(spark, sf_dir)))
+
+
+@query(ORACLES["p11_flatten"])
+def p11_flatten_over_lines(spark, sf_dir):
     return lines.digest(lines.flattened(packed(spark, sf_dir), quads(spark, sf_dir)))
 
 

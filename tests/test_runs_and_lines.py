@@ -190,7 +190,7 @@ def test_sizes_against_whole_weights(spark, kind):
         assert [got[k][y] for y in range(h)] == want.tolist()
         if w <= 13 and h <= 10:
             assert np.abs(want - raster.resampled(pictures[k].astype(np.uint8), w, h, kind).astype(int)).max() <= 1
-    with pytest.raises(ValueError, match="box or triangle"):
+    with pytest.raises(ValueError, match="box, triangle or lanczos"):
         lines.resized(line_rows(spark, pictures), of, "sharp", ("v",))
 
 
