@@ -777,12 +777,6 @@ def g2_sheets_over_lines(spark, sf_dir):
     return found.select("image_id", "fitted", "runs_off", *[F.round(f"c{k}", 3).alias(f"c{k}") for k in range(8)])
 
 
-@query()
-def r1_scanned_lines(spark, sf_dir):
-    """Finished pages, as lines, of the first steps to the last."""
-    return lines.digest(pages.scan_pages(framed(spark, sf_dir)))
-
-
 BELL = ", k as (select unnest(range(-2, 3))::int as d, unnest([" + ", ".join(map(str, lines.gaussian(1.0))) + "])::bigint as w)"
 SOFT = BELL + """, h as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + """ from px a, k join px p on p.image_id = a.image_id and p.y = a.y and p.x = least(greatest(a.x + d, 0), 63) group by all),
 soft as (select a.image_id, a.x, a.y, """ + ", ".join(f"sum(w * p.{c}) as {c}" for c in "rgb") + " from h a, k join h p on p.image_id = a.image_id and p.x = a.x and p.y = least(greatest(a.y + d, 0), 63) group by all)"
