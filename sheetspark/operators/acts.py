@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetspark.functions import geometry, tones
+from sheetspark.operators.joined import merged
 
 
 def rotate(pixels: DataFrame, degrees: int, width: Column, height: Column) -> DataFrame:
@@ -76,7 +77,7 @@ def flatten(pixels: DataFrame, corners: DataFrame) -> DataFrame:
     from_y = (F.col("ay") * across + F.col("by") * down + F.col("y0")) / weight
     held = lambda v, size: F.round(F.least(F.greatest(v, F.lit(0.0)), F.col(size) - 1.0), 6)
     grid = grid.select("image_id", F.col("x").alias("tx"), F.col("y").alias("ty"), held(from_x, "width").alias("fx"), held(from_y, "height").alias("fy"))
-    met = grid.withColumn("y", F.floor("fy").cast("int")).join(scanlines(pixels), ["image_id", "y"])
+    met = merged(grid.withColumn("y", F.floor("fy").cast("int")), scanlines(pixels), ["image_id", "y"])
     left = F.floor("fx").cast("int")
     spots = {"a": ("line", left), "b": ("line", left + 1), "c": ("below", left), "d": ("below", left + 1)}
     # beyond the last pixel of a line its share is nothing
