@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetspark.functions import geometry
+from sheetspark.operators.joined import merged
 
 #: Fixed values of the search.
 EDGE_SAMPLES, STAYS_DARK = 3, 10
@@ -137,22 +138,20 @@ def quad_shares(pixels: DataFrame, quads: DataFrame) -> DataFrame:
 
 def carried_on(pixels: DataFrame, quads: DataFrame) -> DataFrame:
     """image_id, side, share: of each side's length, where the sheet goes on four to ten pixels beyond it."""
-    parts = []
-    ends = {"left": ("c1", "c7"), "right": ("c3", "c5"), "top": ("c0", "c2"), "bottom": ("c6", "c4")}
+    asked = None
     for side, along, across, outward in SIDES:
-        a, b = ends[side]
+        a, b = ENDS[side]
         line = F.expr(f"{side[0]}s * along + {side[0]}o")
         q = quads.withColumn("from", F.expr(f"cast(least({a}, {b}) as int)")).withColumn("upto", F.expr(f"cast(greatest({a}, {b}) as int)"))
         q = q.withColumn("along", F.explode(F.expr("sequence(from, upto)"))).withColumn("off", F.explode(F.sequence(F.lit(JUST_PAST), F.lit(WELL_PAST))))
-        q = q.select("image_id", "from", "upto", "along", F.floor(line + outward * F.col("off")).cast("int").alias("at"))
-        lit_up = pixels.where("inside").select("image_id", F.col(along).alias("along"), F.col(across).alias("at"), F.lit(1).alias("on"))
-        reach = q.join(lit_up, ["image_id", "along", "at"], "left").groupBy("image_id", "from", "upto", "along").agg(F.count("on").alias("n"))
-        share = F.count_if(F.col("n") == WELL_PAST - JUST_PAST + 1) / F.greatest(F.lit(1), F.max(F.col("upto") - F.col("from") + 1))
-        parts.append(reach.groupBy("image_id").agg(share.alias("share")).select("image_id", F.lit(side).alias("side"), "share"))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    return out
+        at = F.floor(line + outward * F.col("off")).cast("int")
+        q = q.select("image_id", F.lit(side).alias("side"), "from", "upto", "along", F.col("along").alias(along), at.alias(across))
+        asked = q if asked is None else asked.unionByName(q)
+    # the pixels that all four sides ask for meet the mask once
+    reach = merged(asked, pixels.where("inside").select("image_id", "x", "y", F.lit(1).alias("on")), ["image_id", "x", "y"], "left")
+    reach = reach.groupBy("image_id", "side", "from", "upto", "along").agg(F.count("on").alias("n"))
+    share = F.count_if(F.col("n") == WELL_PAST - JUST_PAST + 1) / F.greatest(F.lit(1), F.max(F.col("upto") - F.col("from") + 1))
+    return reach.groupBy("image_id", "side").agg(share.alias("share"))
 
 
 def leans(readings: DataFrame) -> DataFrame:
