@@ -1,8 +1,12 @@
 """What grows with the pictures is merged, not broadcast; and the kernels' quick ways tell what the plain ones tell."""
 
+import math
+
+import numpy as np
 import pytest
 
-from sheetspark.operators import runs
+from sheetspark.kernels import paper, raster
+from sheetspark.operators import images, runs
 from sheetspark.queries import QUERIES
 from sheetspark.sources import scratch, synthetic
 
@@ -33,3 +37,56 @@ def test_labels_of_runs_are_merged_and_never_broadcast(spark, sf, monkeypatch):
     dark = runs.runs_of_lines(synthetic.lines(ids), lambda v: v <= 100)
     plans.append(plan(runs.largest(runs.labelled(dark))))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+# ---- kernels: work that grows with what they look for, not with every pixel anew
+
+
+def by_pixels(g, tilt):
+    """The sharpness of a tilt with a bin for each pixel."""
+    h, w = g.shape
+    sin, cos = np.sin(np.float32(math.radians(tilt))), np.cos(np.float32(math.radians(tilt)))
+    n = int(math.ceil(h * cos + w * abs(sin))) + 1
+    y, x = np.mgrid[0:h, 0:w].astype(np.float32)
+    bins = np.clip((y * cos - x * sin + (np.float32(w) * sin if sin > 0 else np.float32(0))).astype(int), 0, n - 1).ravel()
+    count = np.bincount(bins, minlength=n)
+    mean = np.bincount(bins, 255.0 - g.ravel(), n) / np.maximum(count, 1)
+    whole = count >= max(1, count.max() * 9 // 10)
+    ok = whole[:-2] & whole[1:-1] & whole[2:]
+    bend = (mean[2:] - 2 * mean[1:-1] + mean[:-2]) ** 2
+    return float(bend[ok].mean()) if ok.sum() >= 3 else 0.0
+
+
+@pytest.mark.parametrize("tilt", [-10, -3.3, 0, 0.1, 7])
+def test_a_tilt_costs_the_bins_that_lines_cross(tilt):
+    g = raster.grey(synthetic.drawn(3))
+    assert raster.line_sharpness(g, tilt) == by_pixels(g, tilt)
+    assert len(raster.crossings(*g.shape, tilt)[0]) < g.size / 5
+
+
+def test_all_rays_of_a_side_are_read_at_once(monkeypatch):
+    calls, plain = [], paper.leaving
+    monkeypatch.setattr(paper, "leaving", lambda *given: calls.append(1) or plain(*given))
+    assert paper.find_paper(synthetic.drawn(2)) is not None
+    assert len(calls) == 2
+
+
+def test_all_offsets_of_a_cut_are_tried_at_once():
+    a = np.random.default_rng(2).integers(0, 256, (60, 70, 3)).astype(np.uint8)
+    whole, part = images.gradients(raster.grey(a)), images.gradients(raster.grey(a[11:41, 23:61]))
+
+    def alike(y, x):
+        return np.corrcoef(whole[y : y + 30, x : x + 38].ravel(), part.ravel())[0, 1]
+
+    best = max(((alike(y, x), -y, -x) for y in range(31) for x in range(33)))
+    assert images.best_offset(whole, part, range(33), range(31)) == (-best[2], -best[1]) == (23, 11)
+    assert not hasattr(images, "correlation")  # none is reckoned an offset at a time
+    assert images.best_offset(whole, part, range(40, 50), range(31)) == (0, 0)
+
+
+def test_resizing_takes_neighbours_where_they_are():
+    at, share = raster.weights(64, 20, "lanczos")
+    assert len(raster.bands(64, 20, "lanczos")) == 20
+    for k, (first, used) in enumerate(raster.bands(64, 20, "lanczos")):
+        places = np.flatnonzero(share[k])
+        assert at[k][places].tolist() == list(range(first, first + len(used))) and share[k][places].tolist() == used.tolist()
