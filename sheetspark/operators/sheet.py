@@ -6,8 +6,13 @@ that reaches the border).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheetspark.functions import geometry
 from sheetspark.operators.joined import merged
@@ -200,20 +205,26 @@ def readings_in_photo(places: DataFrame, lines: DataFrame, steps: DataFrame) ->
     asked = asked.where("x >= 0 and y >= 0 and x < width and y < height")
     by_line = asked.groupBy("image_id", F.floor("y").cast("int").alias("y")).agg(F.collect_list(F.struct("side", "k", "at", F.floor("x").cast("int").alias("x"))).alias("asked"))
     tone = lambda x: 0.299 * F.get("r", x) + 0.587 * F.get("g", x) + 0.114 * F.get("b", x)
-    seen = by_line.join(lines.select("image_id", "y", "r", "g", "b"), ["image_id", "y"])
+    seen = merged(by_line, lines.select("image_id", "y", "r", "g", "b"), ["image_id", "y"])
     seen = seen.select("image_id", F.explode(F.transform("asked", lambda a: F.struct(a["side"].alias("side"), a["k"].alias("k"), a["at"].alias("at"), F.round(tone(a["x"]), 6).alias("tone")))).alias("s")).select("image_id", "s.*")
-    # the places of a ray within the picture follow one another
-    rays = seen.groupBy("image_id", "side", "k").agg(F.sort_array(F.collect_list(F.struct("at", "tone"))).alias("l"))
-    tones = F.transform(F.sequence(F.lit(0), F.lit(2 * reach)), lambda i: F.get("l", i - F.get("l", F.lit(0))["at"] - reach)["tone"])
-    # null where any of the three lies off the picture
-    means = lambda t: F.transform(F.sequence(F.lit(0), F.lit(2 * reach - 2)), lambda i: (F.get(t, i) + F.get(t, i + 1) + F.get(t, i + 2)) / 3)
-    fall = lambda m, i: F.struct(F.round(F.coalesce(F.get(m, i) - F.get(m, i + 2 * GAP + 2), F.lit(0.0)), 6).alias("fall"), (-i).alias("first"))
-    steepest = lambda m: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(2 * REACH)), lambda i: fall(m, i)))
-    # in one expression: as columns of their own, the filter below would write each into the next, for every element
-    once = lambda v, use: F.get(F.transform(F.array(v), use), F.lit(0))
-    rays = rays.withColumn("best", once(tones, lambda t: once(means(t), steepest))).join(steps, "image_id").where("best.fall > 0 and best.fall >= step")
-    read = rays.select("image_id", "side", (F.col("k") / (READINGS + 1)).alias("part"), (-F.col("best.first") - REACH).cast("double").alias("miss"))
-    return read
+    rays = seen.groupBy("image_id", "side", "k").agg(F.sort_array(F.collect_list(F.struct("at", "tone"))).alias("l")).select("image_id", "side", "k", "l.at", "l.tone")
+    width, apart = 2 * reach + 1, 2 * GAP + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tone = batch.column(3), batch.column(4)
+            tones = np.full((batch.num_rows, width), np.nan)  # NaN off the picture
+            row = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy())
+            tones[row, at.flatten().to_numpy() + reach] = tone.flatten().to_numpy(zero_copy_only=False)
+            mean = (tones[:, :-2] + tones[:, 1:-1] + tones[:, 2:]) / 3
+            fall = np.round(np.nan_to_num(mean[:, : 2 * REACH + 1] - mean[:, apart : apart + 2 * REACH + 1], nan=0.0), 6)
+            first = fall.argmax(axis=1)
+            best = fall[np.arange(len(fall)), first]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(best), pa.array((first - REACH).astype(float))], names=["image_id", "side", "k", "fall", "miss"])
+
+    best = rays.mapInArrow(run, T.StructType([*[rays.schema[c] for c in ("image_id", "side", "k")], *T.StructType.fromDDL("fall double, miss double").fields]))
+    best = merged(best, steps, "image_id").where("fall > 0 and fall >= step")
+    return best.select("image_id", "side", (F.col("k") / (READINGS + 1)).alias("part"), "miss")
 
 
 def sides_read_again(quads: DataFrame, lines: DataFrame, sizes: DataFrame, steps: DataFrame) -> DataFrame:

@@ -95,3 +95,8 @@ def test_resizing_takes_neighbours_where_they_are():
 def test_tilts_of_lines_move_bins_and_not_stretches(spark, sf):
     found = plan(QUERIES["a9_line_sharpness"](spark, sf))
     assert "MapInArrow" in found and "Broadcast" not in found and "Generate sequence" not in found
+
+
+def test_rays_are_read_in_batches(spark, sf):
+    found = plan(QUERIES["g9_edges_across_sides"](spark, sf))
+    assert "MapInArrow" in found and "BroadcastHashJoin [image_id#" not in found.split("MapInArrow")[0]
