@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from sheetspark.kernels import paper, raster
+from sheetspark.kernels import jpeg, paper, raster
 from sheetspark.operators import images, lines, runs
 from sheetspark.queries import QUERIES
 from sheetspark.sources import scratch, synthetic
@@ -140,3 +140,31 @@ def test_a_blur_copies_no_neighbours(monkeypatch):
     want = raster.sharpen(a, 1.0)
     monkeypatch.setattr(np, "take", lambda *_, **__: pytest.fail("neighbours are copied"))
     assert (raster.sharpen(a, 1.0) == want).all()
+
+
+def test_a_scan_is_read_by_looked_up_steps(monkeypatch):
+    calls, plain = [], jpeg.windows
+    monkeypatch.setattr(jpeg, "windows", lambda raw, at: calls.append(len(at)) or plain(raw, at))
+    whole = jpeg.encode(synthetic.drawn(3), 85, jpeg.even_lengths)
+    want = jpeg.encode(synthetic.drawn(3), 85)
+    assert jpeg.rebuilt(whole) == want and len(calls) < 20
+    monkeypatch.setattr(jpeg, "AHEAD", 3 * jpeg.BLOCK_BITS)
+    assert jpeg.rebuilt(whole) == want
+    with pytest.raises(jpeg.NotBaseline):
+        jpeg.rebuilt(whole[: len(whole) // 2])
+
+
+def test_pictures_are_gathered_before_pixels_move(spark):
+    pixels = synthetic.pixels(spark.range(3).withColumnRenamed("id", "image_id"))
+    found = plan(images.from_pixels(pixels.repartition(3, "x")))
+    assert found.count("MapInArrow") == 2
+    made = {r["image_id"]: r for r in images.from_pixels(pixels.repartition(3, "x")).collect()}
+    assert made == {r["image_id"]: r for r in images.from_pixels(pixels).collect()} and all(r["error"] is None for r in made.values())
+
+
+def test_runs_of_pixels_sort_words_and_no_pixels(spark):
+    places = [*range(3, 40), *range(62, 66), 95, *range(127, 193)]
+    mask = spark.createDataFrame([(1, x, 5) for x in places] + [(2, 0, 0)], "image_id bigint, x int, y int")
+    found = runs.runs_of_pixels(mask)
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 3, 39), (1, 5, 62, 65), (1, 5, 95, 95), (1, 5, 127, 192), (2, 0, 0, 0)]
+    assert plan(found).count("bit_or") > 0
