@@ -4,10 +4,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetspark.kernels import jpeg, paper, raster
-from sheetspark.operators import images, lines, runs
-from sheetspark.queries import QUERIES
+from sheetspark.operators import images, lines, measures, runs, sheet
+from sheetspark.queries import QUERIES, framed
 from sheetspark.sources import scratch, synthetic
 
 
@@ -168,3 +169,43 @@ def test_runs_of_pixels_sort_words_and_no_pixels(spark):
     found = runs.runs_of_pixels(mask)
     assert sorted(map(tuple, found.collect())) == [(1, 5, 3, 39), (1, 5, 62, 65), (1, 5, 95, 95), (1, 5, 127, 192), (2, 0, 0, 0)]
     assert plan(found).count("bit_or") > 0
+
+
+def test_areas_that_one_task_has_whole_take_no_rounds(spark, sf, monkeypatch):
+    tags, write = [], scratch.Rounds.write
+    monkeypatch.setattr(scratch.Rounds, "write", lambda self, df: tags.append(self.root.rsplit("/", 1)[-1].split("-")[0]) or write(self, df))
+    dark = runs.runs_of_lines(synthetic.lines(synthetic.image_ids(spark, sf).where("image_id < 3")), lambda v: v <= 100)
+    tell = lambda df: sorted(map(tuple, df.select("image_id", "y", "x0", "x1", "label").collect()))
+    whole = tell(runs.labelled(dark))
+    assert whole and "labels" not in tags
+    monkeypatch.setattr(lines, "BAND", 5)  # areas are cut, and put together in rounds
+    assert tell(runs.labelled(dark)) == whole and "labels" in tags
+
+
+def test_edges_of_lines_are_those_of_pixels(spark, sf):
+    keep = lambda df: scratch.Rounds(spark, "test").write(df)
+    grey = keep(framed(spark, sf).where("image_id < 3").select("image_id", "y", F.col("g").alias("v")))
+    dark = runs.dark_runs(grey.withColumn("threshold", F.lit(100)))
+    assert dark.exceptAll(runs.runs_of_lines(grey, lambda v: v <= 100)).count() == 0 and dark.count() > 300
+    of = grey.select("image_id").distinct().selectExpr("image_id", "88 as width", "88 as height")
+    outside = runs.reaching_the_border(dark, of)
+    rough = keep(runs.largest(runs.labelled(runs.complement(outside, of))))
+    told = keep(runs.marked(grey, rough, outside))
+    pixels = keep(lines.unpacked(told, ("v",)).selectExpr("image_id", "x", "y", "v & 255 as v", "v & 256 <> 0 as inside", "v & 512 <> 0 as outside"))
+    counts = lines.counted(told).selectExpr("image_id", "value & 256 <> 0 as inside", "value & 255 as value", "n")
+    levels, boxes = keep(measures.paper_and_table(pixels, F.col("inside"))), keep(rough.select("image_id", "left", "top", "right", "bottom").distinct())
+    assert measures.edge_levels(counts).exceptAll(levels).count() == 0 and levels.count() == grey.select("image_id").distinct().count()
+    both = boxes.join(levels, "image_id")
+    found = sheet.edges_of_lines(told, both.withColumnsRenamed({"top": "low", "bottom": "high"}), "y")
+    found = found.unionByName(sheet.edges_of_lines(lines.columns(told, ("v",)), both.withColumnsRenamed({"left": "low", "right": "high"}), "x"))
+    tell = lambda df: sorted(map(tuple, df.select("image_id", "side", "along", "across").collect()))
+    assert tell(found) == tell(sheet.edge_points(pixels, levels, boxes)) and found.count() > 100
+
+
+def test_columns_are_put_together_from_bands(spark, monkeypatch):
+    rows = synthetic.lines(spark.range(3).withColumnRenamed("id", "image_id")).select("image_id", "y", "v")
+    monkeypatch.setattr(lines, "BAND", 7)
+    turned = lines.columns(rows, ("v",)).withColumnsRenamed({"x": "y"})
+    assert lines.columns(turned, ("v",)).withColumnsRenamed({"x": "y"}).exceptAll(rows).count() == 0
+    some = lines.columns(rows.withColumn("asked", F.array(F.lit(3), F.lit(70))), ("v",), "asked")
+    assert some.select("x").distinct().collect() == [(3,)] and some.count() == 3
