@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetspark.functions import geometry, tones
-from sheetspark.operators.joined import merged
+from sheetspark.operators.joined import beside, merged
 
 
 def rotate(pixels: DataFrame, degrees: int, width: Column, height: Column) -> DataFrame:
@@ -33,18 +33,40 @@ def to_grey(pixels: DataFrame) -> DataFrame:
 def apply_levels(pixels: DataFrame, levels: DataFrame) -> DataFrame:
     """Stretches each channel by its levels (image_id, channel, black, white), then calms faint colour.
 
-    Each image has a table of 256 values a channel, made once; a pixel looks its three values up.
-    Images without levels, or whose levels change nothing, stay as they are.
+    An image's levels are one row of six numbers, which its pixels meet where they are dealt by image; a pixel is neither sorted nor
+    carries more than these. Images without levels, or whose levels change nothing, stay as they are.
     """
+    return stretched(beside(pixels, ends(levels), "image_id", "left")).select(*pixels.columns)
+
+
+#: The columns that levels are in a row an image.
+ENDS = [f"{end}_{c}" for c in "rgb" for end in ("black", "white")]
+
+
+def ends(levels: DataFrame) -> DataFrame:
+    """image_id, black_r, white_r and so on: a row an image of those whose levels change anything; null for a channel that stays."""
     changed = levels.where((F.col("black") != 0) | (F.col("white") != 255))
-    table = lambda k, c: F.max(F.when(F.col("channel") == k, F.col("table"))).alias(f"t{c}")
-    tables = changed.withColumn("table", tones.stretch_table(F.col("black"), F.col("white")))
-    tables = tables.groupBy("image_id").agg(*[table(k, c) for k, c in enumerate("rgb")])
-    rows = pixels.join(tables, "image_id", "left")
-    rows = rows.withColumns({f"s{c}": F.coalesce(F.get(f"t{c}", F.col(c).cast("int")), F.col(c).cast("int")) for c in "rgb"})
-    calm = tones.calmed(F.col("sr"), F.col("sg"), F.col("sb"))
-    changes = F.coalesce("tr", "tg", "tb").isNotNull()
-    return rows.withColumns({c: F.when(changes, calm[c]).otherwise(F.col(c).cast("int")) for c in "rgb"}).select(*pixels.columns)
+    return changed.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == k, F.col(end))).alias(f"{end}_{c}") for k, c in enumerate("rgb") for end in ("black", "white")])
+
+
+def stretched(rows: DataFrame) -> DataFrame:
+    """Pixels that go along with their image's ends, stretched and calmed.
+
+    Each step stands in a projection of its own, and is used more than once by the next. Spark leaves such steps apart, so a pixel
+    reckons each once, in methods that are short enough for Java to compile; as one expression they are repeated where they are used.
+    """
+
+    def spread(c: str) -> Column:
+        v = F.col(c).cast("int")
+        return F.when(F.col(f"white_{c}").isNotNull() & v.between(0, 255), tones.stretched(v, F.col(f"black_{c}"), F.col(f"white_{c}"))).otherwise(v)
+
+    s = {c: F.col(f"s{c}") for c in "rgb"}
+    rows = rows.withColumns({f"s{c}": spread(c) for c in "rgb"})
+    rows = rows.withColumns({"high": F.greatest(*s.values()), "low": F.least(*s.values())})
+    rows = rows.withColumns({"out": tones.colour_to_take(F.col("high"), F.col("low")), "grey": tones.grey_sum(*s.values())})
+    stays = F.coalesce(*[F.col(f"white_{c}") for c in "rgb"]).isNull() | tones.colour_meant(F.col("high"), F.col("out"))
+    rows = rows.withColumn("stays", stays)
+    return rows.withColumns({c: F.when(F.col("stays"), v).otherwise(tones.towards(v, F.col("grey"), F.col("out"))) for c, v in s.items()})
 
 
 def scanlines(pixels: DataFrame) -> DataFrame:

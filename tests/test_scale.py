@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sheetspark.functions import tones
 from sheetspark.kernels import jpeg, paper, raster
-from sheetspark.operators import images, lines, measures, runs, sheet
+from sheetspark.operators import acts, images, lines, measures, runs, sheet
 from sheetspark.queries import QUERIES, framed
 from sheetspark.sources import scratch, synthetic
 
@@ -22,6 +23,75 @@ def test_pixels_and_runs_are_merged_and_never_broadcast(name, spark, sf):
     assert "SortMergeJoin" in found and "Broadcast" not in found
 
 
+@pytest.mark.parametrize("name, counts, draws", [("a3_suggest_levels", 1, 1), ("p4_apply_levels", 1, 2)])
+def test_levels_come_of_one_count_of_pixels_and_meet_them_unsorted(name, counts, draws, spark, sf):
+    found = plan(QUERIES[name](spark, sf))
+    assert "Broadcast" not in found and "SortMergeJoin" not in found
+    assert found.count("Generate posexplode(array(r") == counts and found.count("FileScan") == draws
+    assert found.count("Sort [") == 1 and found.count("ShuffledHashJoin") == draws - 1
+
+
+def test_levels_of_odd_histograms(spark):
+    """Ink and paper as walked value by value: no bright pixel, one value, gaps, equal tops, a hump down to the last value."""
+    rng = np.random.default_rng(41)
+    shapes = [{5: 900, 60: 100}, {200: 50}, {63: 10, 64: 10}, {0: 1, 1: 99, 255: 500}, {64: 40, 65: 40, 66: 40, 67: 3}, {k: 10 for k in range(256)}, {100: 11, 101: 1, 102: 10, 103: 100, 104: 100}]
+    shapes += [{int(v): int(n) for v, n in zip(rng.choice(256, 40, False), rng.integers(1, 60, 40), strict=True)} for _ in range(20)]
+    rows = [(k, 0, v, n) for k, shape in enumerate(shapes) for v, n in shape.items()]
+    counts = spark.createDataFrame(rows, "image_id long, channel int, value int, n long")
+
+    def black(shape):
+        seen, total = 0, sum(shape.values())
+        for v in sorted(shape):
+            seen += shape[v]
+            if seen > total // 100:
+                return v
+        return 0
+
+    def white(shape):
+        bright = [(n, v) for v, n in shape.items() if v >= 64]
+        if not bright:
+            return 255
+        most, v = max(bright)
+        while shape.get(v - 1, 0) > most // 10:
+            v -= 1
+        return v
+
+    keys = ["image_id", "channel"]
+    assert {r["image_id"]: r["black"] for r in measures.darkest_ink(counts, keys).collect()} == {k: black(s) for k, s in enumerate(shapes)}
+    assert {r["image_id"]: r["white"] for r in measures.paper_floor(counts, keys).collect()} == {k: white(s) for k, s in enumerate(shapes)}
+    pixels = counts.selectExpr("image_id", "explode(sequence(1, cast(n as int))) as x", "0 as y", "value as r", "255 - value as g", "null as b").union(spark.sql("select null, 1, 0, 9, 9, 9"))
+    found = {(r["image_id"], r["channel"]): (r["black"], r["white"]) for r in measures.suggest_levels(pixels).collect()}
+    useful = lambda s: (black(s), white(s)) if white(s) - black(s) >= 16 else (0, 255)
+    turned = [{255 - v: n for v, n in s.items()} for s in shapes]
+    want = {(k, c): useful(s) for c, of in ((0, shapes), (1, turned)) for k, s in enumerate(of)}
+    assert want.items() <= found.items() and {c for _, c in found} == {0, 1, 2} and None not in {i for i, _ in found}
+
+
+def test_stretching_by_ends_is_stretching_by_tables(spark):
+    """Every value of a channel, values that no table has, channels without levels, ends that are equal or stand the wrong way."""
+    values = [*range(256), -1, 256, None]
+    rng = np.random.default_rng(42)
+    some = lambda: [values[i] for i in rng.permutation(len(values))]
+    rows = [(i, x, 0, *rgb, i) for i in range(6) for x, rgb in enumerate(zip(values, some(), some(), strict=True))]
+    pixels = spark.createDataFrame(rows, "image_id long, x int, y int, r int, g int, b int, kept int")
+    ends = {0: [(0, 20, 200), (1, 30, 190), (2, 7, 255)], 1: [(1, 90, 90)], 2: [(0, 0, 255), (1, 0, 255), (2, 0, 255)], 3: [(0, 200, 20), (2, 0, 255)], 4: [(0, 17, 152), (1, 16, 141), (2, 11, 126)]}
+    levels = spark.createDataFrame([(i, *e) for i, of in ends.items() for e in of], "image_id long, channel int, black int, white int")
+    made = acts.apply_levels(pixels, levels)
+    got = {(r["image_id"], r["x"]): tuple(r[c] for c in "rgb") for r in made.collect()}
+    assert made.columns == pixels.columns and len(got) == len(rows)
+    tables = levels.where("black <> 0 or white <> 255").withColumn("t", tones.stretch_table(F.col("black"), F.col("white")))
+    tables = tables.groupBy("image_id").agg(*[F.first(F.when(F.col("channel") == k, F.col("t")), True).alias(f"t{c}") for k, c in enumerate("rgb")])
+    looked = pixels.join(tables, "image_id", "left").withColumns({c: F.coalesce(F.get(f"t{c}", c), c) for c in "rgb"})
+    calm, changes = tones.calmed(*map(F.col, "rgb")), F.coalesce("tr", "tg", "tb").isNotNull()
+    want = looked.select("image_id", "x", *[F.when(changes, calm[c]).otherwise(F.col(c)).alias(c) for c in "rgb"])
+    assert got == {(r["image_id"], r["x"]): tuple(r[c] for c in "rgb") for r in want.collect()}
+    for i, x, _, *rgb, _ in rows:
+        of = {c: (b, w) for c, b, w in ends.get(i, []) if (b, w) != (0, 255)}
+        if of and all(v is not None and 0 <= v <= 255 for v in rgb):
+            put = [raster.stretch_table(*of[k])[v] if k in of else v for k, v in enumerate(rgb)]
+            assert got[i, x] == tuple(raster.calm(np.array([[put]], np.uint8))[0, 0].tolist())
+
+
 def test_sharpening_takes_the_lines_along(spark, sf):
     assert "Join" not in plan(QUERIES["p8_sharpened_lines"](spark, sf))
 
