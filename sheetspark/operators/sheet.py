@@ -173,9 +173,13 @@ def quadrilaterals(sides: DataFrame) -> DataFrame:
 
 
 def quad_shares(pixels: DataFrame, quads: DataFrame) -> DataFrame:
-    """image_id, rough_area, quad_area, shared_area: pixels on the rough sheet, between the lines, and both."""
+    """image_id, rough_area, quad_area, shared_area: pixels on the rough sheet, between the lines, and both.
+
+    A picture's lines are one row of eight numbers, which its pixels meet where they are dealt by image.
+    """
     between = F.expr("x >= ls * y + lo and x <= rs * y + ro and y >= ts * x + to and y <= bs * x + bo")
-    return pixels.join(quads, "image_id").groupBy("image_id").agg(F.count_if("inside").alias("rough_area"), F.count_if(between).alias("quad_area"), F.count_if(between & F.col("inside")).alias("shared_area"))
+    lines = quads.select("image_id", *[f"{s[0]}{v}" for s, *_ in SIDES for v in "so"])
+    return beside(pixels, lines, "image_id").groupBy("image_id").agg(F.count_if("inside").alias("rough_area"), F.count_if(between).alias("quad_area"), F.count_if(between & F.col("inside")).alias("shared_area"))
 
 
 def carried_on(pixels: DataFrame, quads: DataFrame) -> DataFrame:

@@ -23,6 +23,13 @@ def test_pixels_and_runs_are_merged_and_never_broadcast(name, spark, sf):
     assert "SortMergeJoin" in found and "Broadcast" not in found
 
 
+@pytest.mark.parametrize("name", ["g12_quad_shares"])
+def test_pixels_meet_a_row_a_picture_where_they_are(name, spark, sf):
+    found = plan(QUERIES[name](spark, sf))
+    assert "Broadcast" not in found and "SortMergeJoin" not in found
+    assert found.count("ShuffledHashJoin") == 1 and "Sort [" not in found
+
+
 @pytest.mark.parametrize("name, counts, draws", [("a3_suggest_levels", 1, 1), ("p4_apply_levels", 1, 2)])
 def test_levels_come_of_one_count_of_pixels_and_meet_them_unsorted(name, counts, draws, spark, sf):
     found = plan(QUERIES[name](spark, sf))
