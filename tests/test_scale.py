@@ -30,6 +30,26 @@ def test_pixels_meet_a_row_a_picture_where_they_are(name, spark, sf):
     assert found.count("ShuffledHashJoin") == 1 and "Sort [" not in found
 
 
+def test_pixels_stay_where_they_are_to_meet_a_mask(spark, sf):
+    found = plan(QUERIES["j2_histogram_on_a_mask"](spark, sf))
+    assert found.count("ShuffledHashJoin [image_id") == 1
+    moved = [line for line in found.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and all("x#" not in line for line in moved)
+
+
+def test_masks_as_bits(spark):
+    """Masks of odd shapes: off the picture, with the last bit of a number, over several rows, with gaps, twice the same, of no picture."""
+    rng = np.random.default_rng(12)
+    own = {0: [(x, y) for x in range(-70, 140, 3) for y in (-5, 0, 1, 4095, 4096)], 1: [(63, 0), (64, 0), (127, 9), (4095, 3), (4096, 3), (9000, 20000)], 2: [(5, 5)] * 3, 3: [], None: [(0, 0)]}
+    own[4] = [(int(x), int(y)) for x, y in rng.integers(0, 300, (2000, 2))]
+    masked = [(i, x, y) for i, of in own.items() for x, y in of] + [(0, None, 1), (7, 1, 1)]
+    pixels = {(i, x + dx, y + dy) for i, x, y in masked if i != 7 and x is not None for dx in (-1, 0, 1, 64) for dy in (0, 1)} | {(3, 0, 0), (8, 1, 1)}
+    rows = [(*p, k) for k, p in enumerate(sorted(pixels, key=repr))] + [(0, None, 1, -1), (2, 5, 5, -2)]
+    a, b = spark.createDataFrame(rows, "image_id long, x int, y int, k int"), spark.createDataFrame(masked, "image_id long, x int, y int")
+    got = sorted(tuple(r) for r in measures.on_mask(a, b).collect())
+    assert got == sorted(tuple(r) for r in a.join(b, ["image_id", "x", "y"], "left_semi").collect()) and len(got) > 2000
+
+
 @pytest.mark.parametrize("name, counts, draws", [("a3_suggest_levels", 1, 1), ("p4_apply_levels", 1, 2)])
 def test_levels_come_of_one_count_of_pixels_and_meet_them_unsorted(name, counts, draws, spark, sf):
     found = plan(QUERIES[name](spark, sf))
