@@ -6,7 +6,7 @@ that reaches the border).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,51 +69,35 @@ def edge_points(pixels: DataFrame, levels: DataFrame, boxes: DataFrame) -> DataF
     """image_id, side, along, across: where each ray from the middle of its line leaves the paper.
 
     A place counts where it is brighter within than beyond by a step, paper within,
-    table beyond, and table for ten pixels more. A line is a window's partition, so
-    the work spreads over lines, however large one image is.
+    table beyond, and table for ten pixels more. Pixels are put together to lines as soon as they are met, and a line is read both ways
+    at once; so the work spreads over lines, however large one image is. Pixels of lines that no ray begins on go no further.
     """
-    found = []
-    for side, along, across, outward in SIDES:
-        order = F.col(across) if outward > 0 else F.desc(across)
-        ray = Window.partitionBy("image_id", along).orderBy(order)
-        far = ray.rowsBetween(EDGE_SAMPLES + 1, EDGE_SAMPLES + STAYS_DARK)
-        rows = pixels.select(
-            "image_id",
-            along,
-            across,
-            F.avg("v").over(ray.rowsBetween(1 - EDGE_SAMPLES, 0)).alias("within"),
-            F.avg("v").over(ray.rowsBetween(1, EDGE_SAMPLES)).alias("beyond"),
-            F.avg("v").over(far).alias("further"),
-            F.bool_and("outside").over(far).alias("table_on"),
-            F.count("*").over(far).alias("ahead"),
-            F.count("*").over(ray.rowsBetween(1 - EDGE_SAMPLES, 0)).alias("behind"),
-        )
-        low, high = ("top", "bottom") if along == "y" else ("left", "right")
-        size = F.col(high) - F.col(low) + 1
-        skip = F.floor(size / CORNER_PART)
-        rows = rows.join(levels, "image_id").join(boxes, "image_id").join(middle_of_lines(pixels, along, across), ["image_id", along])
-        rows = rows.where((F.col(along) >= F.col(low) + skip) & (F.col(along) < F.col(low) + size - skip))
-        rows = rows.where((F.col(across) - F.col("start")) * outward >= 0)
-        rows = rows.where((F.col("ahead") == STAYS_DARK) & (F.col("behind") == EDGE_SAMPLES) & F.col("table_on"))
-        rows = rows.where("within - beyond >= step and within >= paper and beyond <= table and further <= table")
-        first = (F.min if outward > 0 else F.max)(across)
-        found.append(rows.groupBy("image_id", along).agg((first + 0.5 * outward).alias("across")).select("image_id", F.lit(side).alias("side"), F.col(along).alias("along"), "across"))
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
-    return out
+    of = merged(levels.select("image_id", "step", "paper", "table"), boxes.select("image_id", "left", "top", "right", "bottom"), "image_id")
+    pixels = beside(pixels.select("image_id", "x", "y", "v", "inside", "outside"), of, "image_id")
+    found = None
+    for along, across, low, high in (("y", "x", "top", "bottom"), ("x", "y", "left", "right")):
+        # the place in a line, and below it the brightness and whether it is inside and outside
+        pixel = F.expr(f"shiftleft(cast({across} as long), 32) + shiftleft(cast(v as long), 2) + if(outside, 2, 0) + if(inside, 1, 0)")
+        rows = pixels.where(rays_begin(along, F.col(low), F.col(high))).select("image_id", along, pixel.alias("p"), "step", "paper", "table")
+        rows = rows.groupBy("image_id", along).agg(F.collect_list("p").alias("p"), *[F.first(c).alias(c) for c in ("step", "paper", "table")])
+        edges = edges_in(rows, along, lambda p: (p << 32 >> 34, p & 1, p >> 1 & 1, p >> 32))
+        found = edges if found is None else found.unionByName(edges)
+    return found
+
+
+def rays_begin(along: str, low: Column, high: Column) -> Column:
+    """Whether rays begin on a line: not on those near the ends of the rough sheet."""
+    size = high - low + 1
+    skip = F.floor(size / CORNER_PART)
+    return (F.col(along) >= low + skip) & (F.col(along) < low + size - skip)
 
 
-def edges_of_lines(lines: DataFrame, boxes: DataFrame, along: str) -> DataFrame:
-    """``edge_points`` of the two sides that lines of pictures cross, from packed lines or columns (image_id, along, v).
+def edges_in(rows: DataFrame, along: str, told: Callable[[np.ndarray], tuple]) -> DataFrame:
+    """The edges of lines (image_id, along, an array, step, paper and table), those of one length together.
 
-    Values tell by ``runs.marked`` where the rough sheet and the table are. ``boxes`` has image_id, low and high (the first and last line of
-    the rough sheet), step, paper and table. A line is read both ways where it is, lines of one length together.
+    ``told`` gives brightness, inside and outside of an array's elements, and their places, by which they are put in order, or None
+    where elements stand at their places.
     """
-    rows = beside(lines.select("image_id", along, "v"), boxes.select("image_id", "low", "high", "step", "paper", "table"), "image_id")
-    size = F.col("high") - F.col("low") + 1
-    skip = F.floor(size / CORNER_PART)
-    rows = rows.where((F.col(along) >= F.col("low") + skip) & (F.col(along) < F.col("low") + size - skip)).select("image_id", along, "v", "step", "paper", "table")
     sides = [s for s, a, *_ in SIDES if a == along]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,20 +106,35 @@ def edges_of_lines(lines: DataFrame, boxes: DataFrame, along: str) -> DataFrame:
             for n in np.unique(lengths):
                 of = np.flatnonzero(lengths == n)
                 part = batch.take(pa.array(of))
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(of), n)
-                inside = np.cumsum(v >> 8 & 1, axis=1)
+                v, inside, outside, place = told(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(of), n))
+                if place is not None:
+                    order = np.argsort(place, axis=1, kind="stable")
+                    v, inside, outside, place = (np.take_along_axis(c, order, 1) for c in (v, inside, outside, place))
+                inside = np.cumsum(inside, axis=1)
                 some = inside[:, -1] > 0 if n else np.zeros(len(of), bool)
                 if not some.any():
                     continue
-                part, v, inside = part.filter(pa.array(some)), v[some], inside[some]
+                part, v, inside, outside = part.filter(pa.array(some)), v[some], inside[some], outside[some]
                 # element n div 2 of the places inside; a ray that begins nearer to an end than three places can only find what lies further in
                 starts = np.clip((inside > inside[:, -1:] // 2).argmax(axis=1), EDGE_SAMPLES - 1, n - EDGE_SAMPLES)
                 levels = [part.column(k).to_numpy(zero_copy_only=False)[:, None] for k in (3, 4, 5)]
-                for side, at, out in zip(sides, paper.leaving(v & 255, v >> 9 & 1, starts, levels), (-0.5, 0.5)):
-                    found = pa.array(np.flatnonzero(at >= 0))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(found), pa.array([side] * len(found), pa.string()), part.column(1).take(found), pa.array(at[at >= 0] + out)], names=["image_id", "side", "along", "across"])
+                for side, at, out in zip(sides, paper.leaving(v, outside, starts, levels), (-0.5, 0.5)):
+                    found = np.flatnonzero(at >= 0)
+                    where = at[found] if place is None else place[some][found, at[found]]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found)), pa.array([side] * len(found), pa.string()), part.column(1).take(pa.array(found)), pa.array(where + out)], names=["image_id", "side", "along", "across"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["image_id"], *T.StructType.fromDDL("side string, along int, across double").fields]))
 
-    return rows.mapInArrow(run, T.StructType([lines.schema["image_id"], *T.StructType.fromDDL("side string, along int, across double").fields]))
+
+def edges_of_lines(lines: DataFrame, boxes: DataFrame, along: str) -> DataFrame:
+    """``edge_points`` of the two sides that lines of pictures cross, from packed lines or columns (image_id, along, v).
+
+    Values tell by ``runs.marked`` where the rough sheet and the table are. ``boxes`` has image_id, low and high (the first and last line of
+    the rough sheet), step, paper and table. A line is read both ways where it is, lines of one length together.
+    """
+    rows = beside(lines.select("image_id", along, "v"), boxes.select("image_id", "low", "high", "step", "paper", "table"), "image_id")
+    rows = rows.where(rays_begin(along, F.col("low"), F.col("high"))).select("image_id", along, "v", "step", "paper", "table")
+    return edges_in(rows, along, lambda v: (v & 255, v >> 8 & 1, v >> 9 & 1, None))
 
 
 def upper(value: str) -> Column:

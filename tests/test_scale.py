@@ -306,3 +306,37 @@ def test_columns_are_put_together_from_bands(spark, monkeypatch):
     assert lines.columns(turned, ("v",)).withColumnsRenamed({"x": "y"}).exceptAll(rows).count() == 0
     some = lines.columns(rows.withColumn("asked", F.array(F.lit(3), F.lit(70))), ("v",), "asked")
     assert some.select("x").distinct().collect() == [(3,)] and some.count() == 3
+
+
+def test_edge_points_read_lines_and_no_windows_of_pixels(spark):
+    """Lines with gaps, off the picture's corner and brighter than a byte, their pixels in any order, as they are read one by one."""
+    rng = np.random.default_rng(2)
+    rows, levels, boxes = [], {}, {}
+    for i in range(3):
+        x, y, at = np.arange(-7, 60), np.arange(-3, 50), (i, i + 20)
+        inside = (x[None, :] >= 13) & (x[None, :] <= 39 - i) & (y[:, None] >= 12) & (y[:, None] <= 34)
+        v = np.where(inside, 300, 20) + rng.integers(0, 9, inside.shape)
+        gone = rng.random(inside.shape) < (0.03 if i else 0)
+        rows += [(i, int(x[b]), int(y[a]), int(v[a, b]), bool(inside[a, b]), bool(not inside[a, b] and b + a != 70 + at[0])) for a, b in zip(*np.nonzero(~gone))]
+        levels[i], boxes[i] = (40.0, 150.0, 90.0), (13, 12, 39 - i, 34)
+    pixels = spark.createDataFrame(rows, "image_id long, x int, y int, v int, inside boolean, outside boolean").repartition(5, "x").sortWithinPartitions(F.hash("x", "y"))
+    of = spark.createDataFrame([(i, *v) for i, v in levels.items()], "image_id long, step double, paper double, table double")
+    box = spark.createDataFrame([(i, *v) for i, v in boxes.items()], "image_id long, left int, top int, right int, bottom int")
+    want = set()
+    for side, along, _, outward in sheet.SIDES:
+        for i, (step, level, table) in levels.items():
+            low, high = (boxes[i][1], boxes[i][3]) if along == "y" else (boxes[i][0], boxes[i][2])
+            skip = (high - low + 1) // 6
+            for a in range(low + skip, high + 1 - skip):
+                line = sorted((r[1], *r[3:]) if along == "y" else (r[2], *r[3:]) for r in rows if r[0] == i and r[2 if along == "y" else 1] == a)
+                on = [p[0] for p in line if p[2]]
+                ray = line[::outward]
+                for k in range(2, len(ray) - 13):
+                    mean = lambda n, m, k=k, ray=ray: sum(p[1] for p in ray[k + n : k + m]) / (m - n)
+                    near, past = mean(-2, 1), mean(1, 4)
+                    if on and (ray[k][0] - on[len(on) // 2]) * outward >= 0 and near - past >= step and near >= level and past <= table and mean(4, 14) <= table and all(p[3] for p in ray[k + 4 : k + 14]):
+                        want.add((i, side, a, ray[k][0] + 0.5 * outward))
+                        break
+    found = sheet.edge_points(pixels, of, box)
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+    assert "Window" not in plan(found)
