@@ -340,3 +340,15 @@ def test_edge_points_read_lines_and_no_windows_of_pixels(spark):
     found = sheet.edge_points(pixels, of, box)
     assert {tuple(r) for r in found.collect()} == want and len(want) > 100
     assert "Window" not in plan(found)
+
+
+def test_kinds_of_lines_are_put_together_once_an_image(spark):
+    ids = spark.range(40).withColumnRenamed("id", "image_id")
+    for side in (64, 50):
+        found = synthetic.lines(ids, side)
+        drawn = plan(found)
+        assert drawn.index("Generate explode") < drawn.index("array_repeat")  # which stands below, before lines are spread
+        keys = ("image_id", "x", "y", "v", "r", "g", "b")
+        got = lines.unpacked(found, ("v", "r", "g", "b")).select(*keys)
+        want = synthetic.pixels(ids, side).select(*keys)
+        assert got.exceptAll(want).count() == 0 and got.count() == 40 * side * side
