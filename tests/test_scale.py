@@ -371,3 +371,32 @@ def test_tilts_make_no_row_a_bin_in_any_batches(spark, monkeypatch):
         assert tell(lines.line_sharpness(lines.darkness_sums(rows.repartition(3, "y"), of), of, angles)) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_leans_are_tried_in_batches(spark):
+    rng = np.random.default_rng(7)
+    of = {(i, side): [(k / 30, float(m)) for k, m in zip(range(1, n + 1), rng.integers(-60, 61, n))] for i, n in enumerate((1, 2, 5, 29, 29, 28, 3)) for side in ("left", "top")}
+    of[9, "top"] = [(k / 30, 4.0) for k in range(1, 30)]  # even
+    of[9, "left"] = [(k / 30, -7.0 * k / 30) for k in range(1, 30)]
+    of[8, "left"] = [(0.2, 1.0), (0.6, 1.0)]  # leans of both signs leave the same bow
+    want = {}
+    for key, readings in of.items():
+        tried = []
+        for lean in range(-12, 13):
+            level = sorted(m - lean * p for p, m in readings)
+            tried.append((round(level[len(level) // 2] - level[0], 6), abs(lean), -lean))
+        want[key] = -min(tried)[2]
+    rows = [(*key, p, m) for key, readings in of.items() for p, m in readings]
+    found = sheet.leans(spark.createDataFrame(rows, "image_id long, side string, part double, miss double").repartition(3))
+    assert {(r["image_id"], r["side"]): r["lean"] for r in found.collect()} == want
+    assert "Generate" not in plan(found) and plan(found).count("collect_list") <= 2
+
+
+def test_channels_are_swapped_a_channel_at_a_time():
+    for n in (3, 4):
+        a = np.random.default_rng(n).integers(0, 256, (5, 7, n)).astype(np.uint8)
+        image = {"height": 5, "width": 7, "nChannels": n, "mode": 16, "data": a.tobytes()}
+        got = images.to_array(image)
+        assert got.flags.c_contiguous and got.flags.writeable and (got == a[..., 2::-1]).all()
+        assert images.to_array(images.to_image(got)).tolist() == got.tolist()
+    assert (images.swapped(a) == a[..., 2::-1]).all()
